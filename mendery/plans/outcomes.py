@@ -129,7 +129,12 @@ def error_detail(contract: Contract) -> Column:
     """``field: message; field: message`` of the first pass."""
     errors = contract.errors(value_of, kind_of, F.col("error_type"))
     text = F.array_join(F.transform(errors, lambda e: F.concat(e["field"], F.lit(": "), e["msg"])), "; ")
-    detail = F.when(F.size(errors) == 0, F.lit("unknown error")).otherwise(text)
+    return F.when(text == "", F.lit("unknown error")).otherwise(text)
+
+
+def quarantine_detail(contract: Contract) -> Column:
+    """Error detail of a settled row; a healed row whose key was taken shows that key."""
+    detail = error_detail(contract)
     if contract.unique_key is None:
         return detail
     key = contract.unique_key
@@ -158,7 +163,7 @@ def quarantine_rows(settled: DataFrame, contract: Contract) -> DataFrame:
         "row_index",
         original.alias("original_data"),
         F.coalesce("quarantine_type", F.lit("unknown")).alias("error_type"),
-        error_detail(contract).alias("error_detail"),
+        quarantine_detail(contract).alias("error_detail"),
         F.size("attempts").alias("attempt_count"),
         history.alias("diagnosis_history"),
         F.col("end_reason").alias("end_reason"),
