@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mendery.functions.binding import let
 from mendery.functions.text import SPACE_CLASS
 
-_NUMBER = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,6}))?\z"
+_NUMBER = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?\z"
 _HAS_MANTISSA = r"^[+-]?[.]?[0-9]"
 _NOT_FINITE = r"(?i)^[+-]?(?:inf|infinity|s?nan[0-9]*)\z"
 _POSITIVE = r"^[+]?(?=[0-9.]*[1-9])(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?\z"
