@@ -88,9 +88,27 @@ def first_pass(rows: DataFrame, contract: Contract, known: DataFrame | None) ->
 
 def unknown_keys(checked: DataFrame, contract: Contract, known: DataFrame) -> DataFrame:
     """Report form of the key check: rows that pass the contract and have an unknown key."""
-    (column,) = known.columns
-    keys = known.select(F.col(column).alias(contract.foreign_key)).distinct()
-    return checked.filter(F.col("error_type").isNull()).join(keys, contract.foreign_key, "left_anti")
+    valid = checked.filter(F.col("error_type").isNull())
+    flagged = known_flag(
+        valid, F.col(contract.foreign_key), known, "__known_here", F.struct("run_id", "row_index")
+    )
+    return flagged.filter(~F.col("__known_here")).drop("__known_here")
+
+
+def store_duplicates(checked: DataFrame, contract: Contract, existing: DataFrame) -> DataFrame:
+    """Valid rows whose unique key the store already holds.
+
+    The keys are reduced to one row each before they meet the store; what the store holds of them is
+    looked up again from the rows, with hot keys kept apart.
+    """
+    valid = valid_rows(checked)
+    key = F.col(contract.unique_key)
+    (column,) = existing.columns
+    held = existing.select(F.col(column).alias("claim")).distinct()
+    claims = valid.groupBy(key.alias("claim")).agg(F.count("*").alias("n_rows"))
+    facts = claims.join(held, "claim", "left_semi").withColumn("__held", F.lit(True))
+    found = salted_lookup(valid, facts, {"claim": key}, ["__held"], F.struct("run_id", "row_index"))
+    return found.filter(F.col("__held")).drop("__held")
 
 
 def with_errors(checked: DataFrame, contract: Contract, name: str = "errors") -> DataFrame:

@@ -341,10 +341,9 @@ def v11_foreign_key(spark: SparkSession, folder: str) -> DataFrame:
     statement(FIRST_PASS, "SELECT customer_id, count(*) AS n_rows FROM checked WHERE contract_type IS NULL AND NOT key_known GROUP BY ALL"),
 )
 def v11_unknown_customers(spark: SparkSession, folder: str) -> DataFrame:
-    """Report form; rows are reduced to distinct keys before the anti join."""
-    judged = checks.valid_rows(checks.check_contract(messy_orders(spark, folder), ORDERS))
-    keys = judged.groupBy("customer_id").agg(F.count("*").alias("n_rows"))
-    return keys.join(known_customers(spark, folder).distinct(), "customer_id", "left_anti")
+    judged = checks.check_contract(messy_orders(spark, folder), ORDERS)
+    unknown = checks.unknown_keys(judged, ORDERS, known_customers(spark, folder))
+    return unknown.groupBy("customer_id").agg(F.count("*").alias("n_rows"))
 
 
 @register(
@@ -355,9 +354,8 @@ def v11_unknown_customers(spark: SparkSession, folder: str) -> DataFrame:
     ),
 )
 def v12_store_duplicates(spark: SparkSession, folder: str) -> DataFrame:
-    valid = checks.valid_rows(checked_orders(spark, folder))
-    held = existing_orders(spark, folder).distinct()
-    return valid.join(held, "order_id", "left_semi").select("run_id", "row_index", "order_id")
+    found = checks.store_duplicates(checked_orders(spark, folder), ORDERS, existing_orders(spark, folder))
+    return found.select("run_id", "row_index", "order_id")
 
 
 @register(
