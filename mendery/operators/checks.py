@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendery.contract import Contract
 from mendery.functions.text import strip
-from mendery.operators.lookup import known_flag, salted_lookup
+from mendery.operators.lookup import known_flag, keyed_lookup
 
 
 class SchemaDriftError(Exception):
@@ -62,9 +64,14 @@ def kind_of(field: str) -> Column:
     return F.col(fail_name(field))
 
 
+@lru_cache(maxsize=64)
+def _failures(contract: Contract) -> dict[str, Column]:
+    return {fail_name(n): c for n, c in contract.failures(value_of).items()}
+
+
 def check_contract(rows: DataFrame, contract: Contract) -> DataFrame:
     """Add one ``fail_<field>`` error kind per field and ``error_type`` (NULL when the row passes)."""
-    judged = rows.withColumns({fail_name(n): c for n, c in contract.failures(value_of).items()})
+    judged = rows.withColumns(_failures(contract))
     return judged.withColumn("error_type", contract.first_failure(kind_of))
 
 
@@ -107,7 +114,7 @@ def store_duplicates(checked: DataFrame, contract: Contract, existing: DataFrame
     held = existing.select(F.col(column).alias("claim")).distinct()
     claims = valid.groupBy(key.alias("claim")).agg(F.count("*").alias("n_rows"))
     facts = claims.join(held, "claim", "left_semi").withColumn("__held", F.lit(True))
-    found = salted_lookup(valid, facts, {"claim": key}, ["__held"], F.struct("run_id", "row_index"))
+    found = keyed_lookup(valid, facts, {"claim": key}, ["__held"], F.struct("run_id", "row_index"))
     return found.filter(F.col("__held")).drop("__held")
 
 
@@ -174,7 +181,7 @@ FACTS = ["first_valid", "first_healed", "taken"]
 
 def attach_facts(rows: DataFrame, facts: DataFrame, claim: Column) -> DataFrame:
     """Bring the claim facts to the rows; rows without a claim get NULLs."""
-    return salted_lookup(
+    return keyed_lookup(
         rows,
         facts.withColumnRenamed("run_id", "claim_run"),
         {"claim": claim, "claim_run": F.col("run_id")},

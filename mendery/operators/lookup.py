@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mendery.session import settle_table
+
 # A key carried by at least this many rows is hot. At most rows / HOT_KEY_ROWS keys can be hot, which
 # bounds what is broadcast below: 10**12 rows give no more than 500 000 keys.
 HOT_KEY_ROWS = 2_000_000
@@ -29,7 +31,7 @@ def below_broadcast_limit(frame: DataFrame) -> bool:
     return size is not None and 0 <= size <= number
 
 
-def salted_lookup(
+def keyed_lookup(
     rows: DataFrame,
     facts: DataFrame,
     keys: dict[str, Column],
@@ -42,34 +44,42 @@ def salted_lookup(
 
     ``keys`` maps the key columns of ``facts`` to expressions over ``rows``; ``facts`` also holds
     ``weight``, the number of rows that carry the key, which the pre-aggregation that made the facts
-    knows anyway. Facts of hot keys are broadcast: their number is bounded by ``hot_rows``. All other
-    facts are joined on (key, salt), where the salt is 0 for rows that still need a match and spread
-    for rows that do not (hot or NULL key), so neither kind gathers in one partition. Adaptive
-    execution turns the second join into a broadcast when the remaining facts turn out small.
+    knows anyway.
+
+    The facts are written to the shared folder first, so the join is planned with their real size. Facts
+    are about exceptions and mostly few: then Spark broadcasts them by its own threshold and the wide
+    rows are not shuffled at all. Otherwise the facts of hot keys are broadcast, whose number is bounded
+    by ``hot_rows``, and all other facts are joined on (key, salt): the salt is 0 for rows that still
+    need a match and spread for rows that do not (hot or NULL key), so neither kind fills a partition.
     """
+    facts = settle_table(facts, "facts")
     names = list(keys)
     key_columns = {n: f"__key_{i}" for i, n in enumerate(names)}
     out = rows.withColumns({key_columns[n]: keys[n] for n in names})
 
-    hot = facts.filter(F.col(weight) >= hot_rows).select(
-        *[F.col(n).alias(f"__hot_{i}") for i, n in enumerate(names)],
-        F.struct(*values).alias("__hot_facts"),
-    )
-    cold = facts.filter(F.col(weight) < hot_rows).select(
-        *[F.col(n).alias(f"__cold_{i}") for i, n in enumerate(names)],
-        F.lit(0).cast("bigint").alias("__cold_salt"),
-        F.struct(*values).alias("__cold_facts"),
-    )
-    hot_match = [F.col(key_columns[n]) == F.col(f"__hot_{i}") for i, n in enumerate(names)]
-    cold_match = [F.col(key_columns[n]) == F.col(f"__cold_{i}") for i, n in enumerate(names)]
+    def side(part: DataFrame, label: str) -> DataFrame:
+        renamed = [F.col(n).alias(f"__{label}_{i}") for i, n in enumerate(names)]
+        return part.select(*renamed, F.struct(*values).alias(f"__{label}_facts"))
 
-    out = out.join(F.broadcast(hot), _all(hot_match), "left")
+    def match(label: str) -> list[Column]:
+        return [F.col(key_columns[n]) == F.col(f"__{label}_{i}") for i, n in enumerate(names)]
+
+    if below_broadcast_limit(facts):
+        out = out.join(side(facts, "few"), _all(match("few")), "left")
+        found = F.col("__few_facts")
+        return out.select(*rows.columns, *[found[v].alias(v) for v in values])
+
+    hot = side(facts.filter(F.col(weight) >= hot_rows), "hot")
+    cold = side(facts.filter(F.col(weight) < hot_rows), "cold").withColumn(
+        "__cold_salt", F.lit(0).cast("bigint")
+    )
+    out = out.join(F.broadcast(hot), _all(match("hot")), "left")
     settled = F.col("__hot_facts").isNotNull() | F.col(key_columns[names[0]]).isNull()
     out = out.withColumn(
         "__salt",
         F.when(settled, F.pmod(F.xxhash64(row_salt), F.lit(_SALTS)) + 1).otherwise(F.lit(0).cast("bigint")),
     )
-    out = out.join(cold, _all([*cold_match, F.col("__salt") == F.col("__cold_salt")]), "left")
+    out = out.join(cold, _all([*match("cold"), F.col("__salt") == F.col("__cold_salt")]), "left")
     found = F.coalesce(F.col("__hot_facts"), F.col("__cold_facts"))
     return out.select(*rows.columns, *[found[v].alias(v) for v in values])
 
@@ -109,6 +119,6 @@ def known_flag(
         .join(reference, F.col("__probe") == F.col("__known"), "left_anti")
         .withColumn("__is_unknown", F.lit(True))
     )
-    out = salted_lookup(rows, unknown, {"__probe": key}, ["__is_unknown"], row_salt)
+    out = keyed_lookup(rows, unknown, {"__probe": key}, ["__is_unknown"], row_salt)
     is_known = F.col("__is_unknown").isNull() & F.coalesce(key.isNotNull(), F.lit(False))
     return out.select(*rows.columns, is_known.alias(flag))

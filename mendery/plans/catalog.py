@@ -727,7 +727,7 @@ def o10_time_to_heal(spark: SparkSession, folder: str) -> DataFrame:
     statement(
         FIRST_PASS,
         "SELECT run_id, CASE WHEN count(*) FILTER (run_id % 3 = 0 AND mode = 5) > 0 THEN 'rejected_schema_drift' ELSE 'completed' END AS status, "
-        "count(*) AS row_count, CASE WHEN count(*) FILTER (run_id % 3 = 0 AND mode = 5) > 0 THEN 1 ELSE 0 END AS unexpected_columns "
+        "count(*) AS row_count, cast(count(*) FILTER (run_id % 3 = 0 AND mode = 5) > 0 AS bigint) AS unexpected_columns "
         "FROM norm GROUP BY run_id",
     ),
 )

@@ -13,13 +13,16 @@ from mendery.operators.checks import (
     attach_facts,
     claim_facts,
     first_pass,
+    invalid_rows,
     is_duplicate,
     is_healed_collision,
     kind_of,
+    valid_rows,
     value_of,
 )
 from mendery.operators.diagnose import duplicate_diagnosis
 from mendery.operators.repair import MAX_ATTEMPTS, attempt_type, repair_rows
+from mendery.session import settle_table
 
 HEALED, NO_FIX, STILL_INVALID = "healed", "no_fix", "still_invalid"
 
@@ -49,6 +52,18 @@ def duplicate_attempt(contract: Contract) -> Column:
     return F.array(entry).cast(attempt_type(contract))
 
 
+def untouched(valid: DataFrame, contract: Contract) -> DataFrame:
+    """Valid rows in the shape of repaired ones."""
+    return valid.withColumns(
+        {
+            "healed": F.lit(False),
+            "end_reason": F.lit(None).cast("string"),
+            "attempts": F.array().cast(attempt_type(contract)),
+            "final": F.struct(*contract.columns),
+        }
+    )
+
+
 def settle(
     repaired: DataFrame, rules: Rules, existing: DataFrame | None = None, across_runs: bool = True
 ) -> DataFrame:
@@ -106,11 +121,17 @@ def outcomes(
     rules: Rules | None = None,
     across_runs: bool = True,
 ) -> DataFrame:
-    """One row per input row of a row frame, for any number of runs, without running anything."""
+    """One row per input row of a row frame, for any number of runs.
+
+    The invalid rows are repaired and written to the shared folder at once, as are the keys in question:
+    both are read more than once, are far smaller than the input, and give the rest of the plan, which the
+    caller runs, sizes to go by. Valid rows, the bulk, are only scanned.
+    """
     rules = rules or Rules()
     checked = first_pass(rows, rules.contract, known)
-    repaired = repair_rows(checked, rules.contract, known, rules.transforms, rules.max_attempts)
-    return settle(repaired, rules, existing, across_runs)
+    bad = repair_rows(invalid_rows(checked), rules.contract, known, rules.transforms, rules.max_attempts)
+    valid = untouched(valid_rows(checked), rules.contract)
+    return settle(valid.unionByName(settle_table(bad, "repairs")), rules, existing, across_runs)
 
 
 # ------------------------------------------------------------------------------------ tables

@@ -160,12 +160,11 @@ def _process(
     checked = first_pass(rows, contract, known)
     existing = store.existing_keys(not_run=run_id) if contract.unique_key else None
 
-    # Keys in question, as a small table of known size; the wide rows are then scanned, not shuffled.
     if contract.unique_key:
         claims = valid_rows(checked).select(
             F.col(contract.unique_key).alias("claim"), "run_id", "row_index", F.lit(False).alias("healed")
         )
-        facts = settle_table(claim_facts(claims, existing, across_runs=False), "claims")
+        facts = claim_facts(claims, existing, across_runs=False)
         claim = F.when(F.col("error_type").isNull(), F.col(contract.unique_key))
         marked = attach_facts(checked, facts, claim)
         duplicate = F.when(F.col("error_type").isNull() & is_duplicate(), F.lit(contract.duplicate_type))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from mendery.contract import ORDERS, Contract, Field, OneOf, Pattern, PositiveDecimal
 from mendery.operators import checks, lookup
-from mendery.operators.lookup import known_flag, salted_lookup
+from mendery.operators.lookup import known_flag, keyed_lookup
 from mendery.operators.row_index import with_row_index
 from mendery.sources.rows import normalise_columns, ragged_row_frame
 
@@ -86,10 +86,18 @@ def brute_force(rows, stored):
     return out
 
 
+@pytest.fixture(params=["10485760", "-1"])
+def threshold(spark, request):
+    """Small facts are broadcast by Spark's threshold; -1 forces the path for large facts."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield request.param
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("hot_rows", [10, 10**9])
-def test_duplicates_with_a_hot_key(spark, make_rows, known, monkeypatch, hot_rows):
+def test_duplicates_with_a_hot_key(spark, make_rows, known, monkeypatch, hot_rows, threshold):
     """A key that holds a third of the rows, as a broadcast hot key and as an ordinary one."""
-    monkeypatch.setattr(lookup.salted_lookup, "__defaults__", ("n_rows", hot_rows))
+    monkeypatch.setattr(lookup.keyed_lookup, "__defaults__", ("n_rows", hot_rows))
     changes = [
         {"order_id": "ORD-HOTHOT" if i % 3 == 0 else f"ORD-{i // 2:06d}", "run_id": 1 + i // 60, "row_index": i}
         for i in range(180)
@@ -99,15 +107,19 @@ def test_duplicates_with_a_hot_key(spark, make_rows, known, monkeypatch, hot_row
     marked = checks.check_duplicates(checked, ORDERS, store, across_runs=True).collect()
     want = brute_force([(c["run_id"], c["row_index"], c["order_id"]) for c in changes], {"ORD-000001"})
     assert {(r["run_id"], r["row_index"]): r["error_type"] is not None for r in marked} == want
+    held = checks.store_duplicates(checked, ORDERS, store).collect()
+    assert {r["row_index"] for r in held} == {c["row_index"] for c in changes if c["order_id"] == "ORD-000001"}
 
 
-def test_salted_lookup_spreads_rows_without_a_match(spark):
+@pytest.mark.parametrize("hot_rows", [100, 10**9])
+def test_keyed_lookup_spreads_rows_without_a_match(spark, hot_rows, threshold):
     rows = spark.range(1000).select(F.col("id").alias("i"), F.when(F.col("id") % 3 == 0, F.lit("hot")).alias("k"))
     facts = spark.createDataFrame([("hot", 334, "yes"), ("cold", 1, "no")], "k string, n_rows bigint, v string")
-    for limit in (100, 10**9):
-        got = salted_lookup(rows, facts, {"k": F.col("k")}, ["v"], F.col("i"), hot_rows=limit)
-        assert got.columns == ["i", "k", "v"]
-        assert got.filter("v = 'yes'").count() == 334 and got.count() == 1000
+    got = keyed_lookup(rows, facts, {"k": F.col("k")}, ["v"], F.col("i"), hot_rows=hot_rows)
+    assert got.columns == ["i", "k", "v"]
+    assert got.filter("v = 'yes'").count() == 334 and got.count() == 1000
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("__salt" in plan) == (threshold == "-1")
 
 
 def test_known_flag_keeps_every_row(spark, known):
