@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows and bytes that one Arrow batch brings to a Python worker. A single text may be larger.
 BATCH_ROWS = 2_000
@@ -24,19 +26,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def bound_batches(frame: DataFrame) -> None:
+    conf = frame.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable[..., list[tuple]]]) -> DataFrame:
     """Run Python over Arrow batches: ``make()`` is called once per task and returns a function that takes
     the columns of a batch (lists; text as UTF-8 bytes) and returns rows.
 
     Batches are bounded in rows and bytes, so memory does not depend on the size of a partition.
     """
-    conf = frame.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    out = to_arrow_schema(_parse_datatype_string(schema))
+    bound_batches(frame)
+    out = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = make()
@@ -51,6 +54,19 @@ def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable[..., lis
     return frame.mapInArrow(run, schema)
 
 
+def filter_rows(frame: DataFrame, column: str, make: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Keep the rows whose value passes; the rows themselves are handed through untouched."""
+    bound_batches(frame)
+    at = frame.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = make()
+        for batch in batches:
+            yield batch.filter(pa.array([passes(v) for v in as_list(batch.column(at))], pa.bool_()))
+
+    return frame.mapInArrow(run, frame.schema)
+
+
 def as_list(column: pa.Array) -> list:
     if pa.types.is_string(column.type):
         column = column.cast(pa.binary())
