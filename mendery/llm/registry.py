@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from mendery.llm.quality import op7_line_field
+from mendery.llm.secrets import op2_layered_secrets
 from mendery.llm.sharding import op6_hash_tree_sharding
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op2_layered_secrets,
         op7_line_field,
         op6_hash_tree_sharding,
     )
