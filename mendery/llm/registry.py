@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
 from mendery.llm.secrets import op2_layered_secrets
 from mendery.llm.sharding import op6_hash_tree_sharding
@@ -11,6 +12,7 @@ QUERIES = {
     for f in (
         op2_layered_secrets,
         op7_line_field,
+        op8_skip_chain_private,
         op6_hash_tree_sharding,
     )
 }
