@@ -54,15 +54,16 @@ def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable[..., lis
     return frame.mapInArrow(run, schema)
 
 
-def filter_rows(frame: DataFrame, column: str, make: Callable[[], Callable[..., bool]]) -> DataFrame:
-    """Keep the rows whose value passes; the rows themselves are handed through untouched."""
+def filter_rows(frame: DataFrame, names: list[str], make: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Keep the rows whose values pass; the rows themselves are handed through untouched."""
     bound_batches(frame)
-    at = frame.columns.index(column)
+    at = [frame.columns.index(n) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = make()
         for batch in batches:
-            yield batch.filter(pa.array([passes(v) for v in as_list(batch.column(at))], pa.bool_()))
+            values = zip(*[as_list(batch.column(i)) for i in at], strict=True)
+            yield batch.filter(pa.array([bool(passes(*v)) for v in values], pa.bool_()))
 
     return frame.mapInArrow(run, frame.schema)
 

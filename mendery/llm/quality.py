@@ -275,4 +275,4 @@ def op7_line_field(spark: SparkSession, folder: str) -> DataFrame:
 
 def keep_good(documents: DataFrame, field: Field) -> DataFrame:
     """The documents whose verdict is to keep them, with all their columns."""
-    return filter_rows(documents, "text", lambda: lambda text: judge(text, field)[6])
+    return filter_rows(documents, ["text"], lambda: lambda text: judge(text, field)[6])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mendery.llm.decontamination import op9_template_leaks
 from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
 from mendery.llm.secrets import op2_layered_secrets
@@ -13,6 +14,7 @@ QUERIES = {
         op2_layered_secrets,
         op7_line_field,
         op8_skip_chain_private,
+        op9_template_leaks,
         op6_hash_tree_sharding,
     )
 }
