@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mendery.llm.decontamination import op9_template_leaks
+from mendery.llm.licenses import op10_compressed_licenses
 from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
 from mendery.llm.secrets import op2_layered_secrets
@@ -15,6 +16,7 @@ QUERIES = {
         op7_line_field,
         op8_skip_chain_private,
         op9_template_leaks,
+        op10_compressed_licenses,
         op6_hash_tree_sharding,
     )
 }
