@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from mendery.llm.decontamination import op9_template_leaks
 from mendery.llm.licenses import op10_compressed_licenses
+from mendery.llm.mixing import op1_raked_mixture
 from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
 from mendery.llm.secrets import op2_layered_secrets
@@ -12,6 +13,7 @@ from mendery.llm.sharding import op6_hash_tree_sharding
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_raked_mixture,
         op2_layered_secrets,
         op7_line_field,
         op8_skip_chain_private,
