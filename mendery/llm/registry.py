@@ -9,12 +9,14 @@ from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
 from mendery.llm.secrets import op2_layered_secrets
 from mendery.llm.sharding import op6_hash_tree_sharding
+from mendery.llm.urls import op4_segmented_hosts
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_raked_mixture,
         op2_layered_secrets,
+        op4_segmented_hosts,
         op7_line_field,
         op8_skip_chain_private,
         op9_template_leaks,
