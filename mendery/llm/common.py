@@ -36,7 +36,8 @@ def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable[..., lis
     """Run Python over Arrow batches: ``make()`` is called once per task and returns a function that takes
     the columns of a batch (lists; text as UTF-8 bytes) and returns rows.
 
-    Batches are bounded in rows and bytes, so memory does not depend on the size of a partition.
+    Batches are bounded in rows and bytes, so memory does not depend on the size of a partition. A function
+    that gathers rows over batches has a method ``finish`` that returns the last rows of its task.
     """
     bound_batches(frame)
     out = to_arrow_schema(T.StructType.fromDDL(schema))
@@ -46,14 +47,19 @@ def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable[..., lis
         for batch in batches:
             rows = function(*[as_list(batch.column(i)) for i in range(batch.num_columns)])
             if rows:
-                columns = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip(columns, out, strict=True)], schema=out
-                )
+                yield record_batch(rows, out)
+        rows = function.finish() if hasattr(function, "finish") else None
+        if rows:
+            yield record_batch(rows, out)
 
     return frame.mapInArrow(run, schema)
 
 
+def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def filter_rows(frame: DataFrame, names: list[str], make: Callable[[], Callable[..., bool]]) -> DataFrame:
     """Keep the rows whose values pass; the rows themselves are handed through untouched."""
     bound_batches(frame)

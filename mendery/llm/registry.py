@@ -7,6 +7,7 @@ from mendery.llm.licenses import op10_compressed_licenses
 from mendery.llm.mixing import op1_raked_mixture
 from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
+from mendery.llm.repeats import op3_prefix_suffix_trees
 from mendery.llm.secrets import op2_layered_secrets
 from mendery.llm.sharding import op6_hash_tree_sharding
 from mendery.llm.urls import op4_segmented_hosts
@@ -16,6 +17,7 @@ QUERIES = {
     for f in (
         op1_raked_mixture,
         op2_layered_secrets,
+        op3_prefix_suffix_trees,
         op4_segmented_hosts,
         op7_line_field,
         op8_skip_chain_private,
