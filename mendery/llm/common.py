@@ -55,6 +55,25 @@ def map_rows(frame: DataFrame, schema: str, make: Callable[[], Callable[..., lis
     return frame.mapInArrow(run, schema)
 
 
+class ByKey:
+    """Hands the rows of one key, sorted by it in column 0, to a function; a key may span batches."""
+
+    def __init__(self, function: Callable[[list[tuple]], list[tuple]]):
+        self.function, self.rows = function, []
+
+    def __call__(self, *columns: list) -> list[tuple]:
+        out: list[tuple] = []
+        for row in zip(*columns, strict=True):
+            if self.rows and row[0] != self.rows[0][0]:
+                out += self.finish()
+            self.rows.append(row)
+        return out
+
+    def finish(self) -> list[tuple]:
+        rows, self.rows = self.rows, []
+        return self.function(rows) if rows else []
+
+
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

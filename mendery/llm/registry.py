@@ -5,6 +5,7 @@ from __future__ import annotations
 from mendery.llm.decontamination import op9_template_leaks
 from mendery.llm.licenses import op10_compressed_licenses
 from mendery.llm.mixing import op1_raked_mixture
+from mendery.llm.near_duplicates import op5_chosen_path_join
 from mendery.llm.private import op8_skip_chain_private
 from mendery.llm.quality import op7_line_field
 from mendery.llm.repeats import op3_prefix_suffix_trees
@@ -19,6 +20,7 @@ QUERIES = {
         op2_layered_secrets,
         op3_prefix_suffix_trees,
         op4_segmented_hosts,
+        op5_chosen_path_join,
         op7_line_field,
         op8_skip_chain_private,
         op9_template_leaks,
