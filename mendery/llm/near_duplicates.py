@@ -301,7 +301,32 @@ def near_duplicate_report(documents: DataFrame, similarity: Similarity) -> DataF
     )
 
 
+def without_near_duplicates(documents: DataFrame, similarity: Similarity) -> DataFrame:
+    """One document of each group, the one with the smallest id, with all its columns.
+
+    Rows without an id stay. Of rows that repeat an id the smallest (by text, then by the other columns) stays.
+    """
+    report = settle_table(near_duplicate_report(documents, similarity), "near-report")
+    gone = report.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    repeated = (
+        report.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1")
+    ).select("__again")
+    out = documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    if repeated.isEmpty():
+        return out
+    names = ["text", *[c for c in documents.columns if c != "text"]]
+    once = (
+        out.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi")
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.min(F.struct(*names)).alias("__row"))
+        .select("__row.*")
+        .select(*documents.columns)
+    )
+    return out.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
+
+
 CONTRACT = Similarity(words=3, percent=85)
+PIPELINE = Similarity(words=5, percent=80)
 
 
 def op5_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
