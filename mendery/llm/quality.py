@@ -222,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame) -> Field:
     chosen = marked.filter("good").orderBy(*order).limit(TRAIN_PER_CLASS).union(
         marked.filter("NOT good").orderBy(*order).limit(TRAIN_PER_CLASS)
     )
-    texts = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "good")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text", "good")
 
     def make():
         def rows(text, good):
