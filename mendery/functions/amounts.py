@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mendery.functions.binding import let
 from mendery.functions.text import SPACE_CLASS
 
 _NUMBER = r"^([+-]?)([0-9]*)[.]?([0-9]*)(?:[eE]([+-]?[0-9]{1,9}))?\z"
@@ -23,46 +22,34 @@ def decimal_failure(value: Column, precision: int, scale: int) -> Column:
     """Error kind of a text that should be a positive decimal, NULL when acceptable.
 
     Plain notation is settled by one pattern. Exponents, signs, underscores and over-long digit strings
-    take a slower branch, which a CASE evaluates only for the rows that reach it.
+    take a slower branch, which a CASE evaluates only for the rows that reach it. Everything here has
+    generated code: parts that are used more than once are written out again, because naming them would
+    need a higher-order function, and one such function takes a whole projection out of code generation.
     """
     whole = precision - scale
     plain = value.rlike(rf"^(?=[0-9.]*[1-9])[0-9]{{1,{whole}}}(?:[.][0-9]{{1,{scale}}})?\z")
-    return F.when(~plain, let(F.replace(value, F.lit("_"), F.lit("")), lambda t: _digit_failure(t, precision, scale)))
+    return F.when(~plain, _digit_failure(F.replace(value, F.lit("_"), F.lit("")), precision, scale))
 
 
 def _digit_failure(text: Column, precision: int, scale: int) -> Column:
-    is_number = text.rlike(_NUMBER) & text.rlike(_HAS_MANTISSA)
-
     def part(group: int) -> Column:
         return F.regexp_extract(text, _NUMBER, group)
 
-    # digits without leading zeros, and the exponent that belongs to them
-    digits = F.struct(
-        F.ltrim(F.concat(part(2), part(3)), F.lit("0")).alias("all"),
-        (F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3))).alias("power"),
-    )
-
-    def without_zeros(d: Column) -> Column:
-        kept = F.length(F.rtrim(d["all"], F.lit("0")))
-        return let(
-            F.struct(kept.alias("kept"), (d["power"] + F.length(d["all"]) - kept).alias("power")), judged
-        )
-
-    def judged(n: Column) -> Column:
-        places = F.greatest(-n["power"], F.lit(0))
-        total = F.when(n["power"] >= 0, n["kept"] + n["power"]).otherwise(F.greatest(n["kept"], places))
-        return (
-            F.when(n["kept"] == 0, F.lit("greater_than"))
-            .when(total > precision, F.lit("decimal_max_digits"))
-            .when(places > scale, F.lit("decimal_max_places"))
-            .when(total - places > precision - scale, F.lit("decimal_whole_digits"))
-            .when(text.startswith("-"), F.lit("greater_than"))
-        )
-
+    # digits without leading zeros, the exponent that belongs to the last of them, and both again without
+    # the zeros at the end
+    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
+    kept = F.length(F.rtrim(digits, F.lit("0")))
+    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3)) + F.length(digits) - kept
+    places = F.greatest(-power, F.lit(0))
+    total = F.when(power >= 0, kept + power).otherwise(F.greatest(kept, places))
     return (
         F.when(text.rlike(_NOT_FINITE), F.lit("finite_number"))
-        .when(~is_number, F.lit("decimal_parsing"))
-        .otherwise(let(digits, without_zeros))
+        .when(~(text.rlike(_NUMBER) & text.rlike(_HAS_MANTISSA)), F.lit("decimal_parsing"))
+        .when(digits == "", F.lit("greater_than"))
+        .when(total > precision, F.lit("decimal_max_digits"))
+        .when(places > scale, F.lit("decimal_max_places"))
+        .when(total - places > precision - scale, F.lit("decimal_whole_digits"))
+        .when(text.startswith("-"), F.lit("greater_than"))
     )
 
 

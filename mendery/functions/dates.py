@@ -71,9 +71,16 @@ def _full_year(two_digits: Column) -> Column:
     return F.concat(F.when(two_digits >= "69", F.lit("19")).otherwise(F.lit("20")), two_digits)
 
 
+# English names of months; the first three letters are the short form.
+MONTHS = (
+    "january", "february", "march", "april", "may", "june",
+    "july", "august", "september", "october", "november", "december",
+)
+
+
 def _month_number(name: Column) -> Column:
-    place = F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(name, 1, 3)))
-    return ((place + 2) / 3).cast("int").cast("string")
+    short = F.lower(F.substring(name, 1, 3))
+    return F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), short).cast("string")
 
 
 _Y, _M, _D = r"((?!0000)[0-9]{4})", r"([0-9]{1,2})", r"( ?[0-9]|[0-9]{2})"

@@ -7,6 +7,7 @@ dates are shown as doubles and texts, so that both engines can be compared value
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -32,7 +33,6 @@ from mendery.plans.sample_orders import (
     known_customers,
     messy_orders,
     raw_orders,
-    spread,
     table,
     with_run_state,
 )
@@ -92,7 +92,7 @@ def audit_table(spark: SparkSession, folder: str) -> DataFrame:
 def quarantine_table(spark: SparkSession, folder: str) -> DataFrame:
     """Quarantine with every fifth row resolved."""
     rows = out.quarantine_rows(settled_orders(spark, folder), ORDERS)
-    keys = spread(table(spark, folder, "orders"), "o_orderkey").filter("o_orderkey % 5 = 0")
+    keys = table(spark, folder, "orders").filter("o_orderkey % 5 = 0")
     done = keys.select(
         (F.floor(F.col("o_orderkey") / 500).cast("bigint") + 1).alias("run_id"),
         F.col("o_orderkey").alias("row_index"),
@@ -163,27 +163,27 @@ def s5_value_trim(spark: SparkSession, folder: str) -> DataFrame:
 
 @register("s7_row_index", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders")
 def s7_row_index(spark: SparkSession, folder: str) -> DataFrame:
-    keys = spread(table(spark, folder, "orders"), "o_orderkey").select("o_orderkey")
+    keys = table(spark, folder, "orders").select("o_orderkey")
     return with_row_index(keys, order_by=["o_orderkey"])
 
 
 @register(
     "s8_known_customers",
-    "SELECT DISTINCT concat('CUST-', lpad(cast(o_custkey AS string), 6, '0')) AS customer_id FROM orders",
+    "SELECT DISTINCT concat('CUST-', lpad(cast(o_custkey AS string), 12, '0')) AS customer_id FROM orders",
 )
 def s8_known_customers(spark: SparkSession, folder: str) -> DataFrame:
     """Customers seen in the orders; the key is reduced before it is rendered as text."""
     seen = known_keys(table(spark, folder, "orders"), "o_custkey")
-    return seen.select(F.concat(F.lit("CUST-"), F.lpad(F.col("o_custkey").cast("string"), 6, "0")).alias("customer_id"))
+    return seen.select(F.concat(F.lit("CUST-"), F.lpad(F.col("o_custkey").cast("string"), 12, "0")).alias("customer_id"))
 
 
 @register(
     "s9_existing_orders",
-    "SELECT DISTINCT concat('ORD-', lpad(cast(l_orderkey AS string), 6, '0')) AS order_id FROM lineitem",
+    "SELECT DISTINCT concat('ORD-', lpad(cast(l_orderkey AS string), 12, '0')) AS order_id FROM lineitem",
 )
 def s9_existing_orders(spark: SparkSession, folder: str) -> DataFrame:
     seen = known_keys(table(spark, folder, "lineitem"), "l_orderkey")
-    return seen.select(F.concat(F.lit("ORD-"), F.lpad(F.col("l_orderkey").cast("string"), 6, "0")).alias("order_id"))
+    return seen.select(F.concat(F.lit("ORD-"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0")).alias("order_id"))
 
 
 @register(
@@ -516,26 +516,30 @@ def r1_coerce_amount(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-_LAYOUTS = ["d/m/Y", "m/d/Y", "d-m-Y", "Y/m/d", "d/m/y", "m/d/y", "d.m.Y", "clock", "B d, Y", "b d, Y", "d B Y", "d b Y", "iso"]
+# The twelve layouts that reformat_date knows.
+_LAYOUTS = [
+    "%d/%m/%Y", "%m/%d/%Y", "%d-%m-%Y", "%Y/%m/%d", "%d/%m/%y", "%m/%d/%y", "%d.%m.%Y",
+    "%Y-%m-%dT%H:%M:%S", "%B %d, %Y", "%b %d, %Y", "%d %B %Y", "%d %b %Y",
+]
 _MONTHS = "January February March April May June July August September October November December".split()
 
 
 def _written_date(layout: str) -> str:
     """SQL, valid in both engines, that writes the ship date of a line item in a layout."""
-    y, m, d = "substr(t, 1, 4)", "substr(t, 6, 2)", "substr(t, 9, 2)"
-    month = f"CASE {m} " + " ".join(f"WHEN '{i:02d}' THEN '{name}'" for i, name in enumerate(_MONTHS, 1)) + " END"
-    parts = {"Y": y, "y": "substr(t, 3, 2)", "m": m, "d": d, "B": month, "b": f"substr({month}, 1, 3)"}
-    if layout == "iso":
-        return "t"
-    if layout == "clock":
-        return "concat(t, 'T08:05:09')"
-    return "concat(" + ", ".join(parts.get(c, f"'{c}'") for c in layout) + ")"
+    month = "CASE substr(t, 6, 2) " + " ".join(f"WHEN '{i:02d}' THEN '{name}'" for i, name in enumerate(_MONTHS, 1)) + " END"
+    parts = {
+        "Y": "substr(t, 1, 4)", "y": "substr(t, 3, 2)", "m": "substr(t, 6, 2)", "d": "substr(t, 9, 2)",
+        "B": month, "b": f"substr({month}, 1, 3)", "H": "'08'", "M": "'05'", "S": "'09'",
+    }
+    pieces = [p for p in re.split("%(.)", layout) if p]
+    letters = set(re.findall("%(.)", layout))
+    return "concat(" + ", ".join(parts[p] if p in letters and len(p) == 1 else f"'{p}'" for p in pieces) + ")"
 
 
 _DATES_SQL = (
     "SELECT k, line, CASE k % 13 "
     + " ".join(f"WHEN {i} THEN {_written_date(layout)}" for i, layout in enumerate(_LAYOUTS))
-    + " END AS written FROM (SELECT l_orderkey AS k, l_linenumber AS line, cast(cast(l_shipdate AS date) AS string) AS t FROM {lineitem}) b"
+    + " ELSE t END AS written FROM (SELECT l_orderkey AS k, l_linenumber AS line, cast(cast(l_shipdate AS date) AS string) AS t FROM {lineitem}) b"
 )
 
 
@@ -545,7 +549,7 @@ _DATES_SQL = (
 )
 def r2_reformat_date(spark: SparkSession, folder: str) -> DataFrame:
     """Ship dates in all twelve layouts, and in the ISO form that needs no repair."""
-    items = spread(table(spark, folder, "lineitem"), "l_orderkey")
+    items = table(spark, folder, "lineitem")
     written = spark.sql(_DATES_SQL, lineitem=items)
     return written.withColumn("fixed", reformat_date(F.col("written")))
 

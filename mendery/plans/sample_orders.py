@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from mendery.contract import ORDERS
 from mendery.sources.rows import normalise_columns, row_frame
 
-RUN_ROWS = 500
-
 MESSY_SQL = """
 SELECT k AS row_index, cast(floor(k / 500) AS bigint) + 1 AS run_id, m AS mode,
   CASE WHEN m IN (4, 10, 16) THEN concat(oid, moji)
@@ -24,7 +22,7 @@ SELECT k AS row_index, cast(floor(k / 500) AS bigint) + 1 AS run_id, m AS mode,
        WHEN m = 20 THEN concat('  ', oid, chr(9))
        ELSE oid END AS order_id,
   CASE WHEN m IN (5, 10) THEN concat(cid, moji)
-       WHEN m IN (7, 16) THEN concat('CUST-X', lpad(cast(k AS string), 6, '0'))
+       WHEN m IN (7, 16) THEN concat('CUST-X', lpad(cast(k AS string), 12, '0'))
        WHEN m = 6 AND bf = 1 THEN ''
        ELSE cid END AS customer_id,
   CASE WHEN m IN (3, 10) THEN concat(substr(d, 9, 2), '/', substr(d, 6, 2), '/', substr(d, 1, 4))
@@ -43,9 +41,9 @@ SELECT k AS row_index, cast(floor(k / 500) AS bigint) + 1 AS run_id, m AS mode,
   CASE WHEN m = 12 THEN 'unknown' WHEN m = 6 AND bf = 5 THEN '' ELSE st END AS status
 FROM (
   SELECT o_orderkey AS k, o_orderkey % 40 AS m,
-    concat('ORD-', lpad(cast(o_orderkey AS string), 6, '0')) AS oid,
-    concat('ORD-', lpad(cast(o_orderkey + 1 AS string), 6, '0')) AS oid_next,
-    concat('CUST-', lpad(cast(o_custkey AS string), 6, '0')) AS cid,
+    concat('ORD-', lpad(cast(o_orderkey AS string), 12, '0')) AS oid,
+    concat('ORD-', lpad(cast(o_orderkey + 1 AS string), 12, '0')) AS oid_next,
+    concat('CUST-', lpad(cast(o_custkey AS string), 12, '0')) AS cid,
     cast(cast(o_orderdate AS date) AS string) AS d,
     cast(cast(o_totalprice AS decimal(12,2)) AS string) AS amt,
     cast(floor(o_orderkey / 40) AS bigint) % 6 AS bf,
@@ -56,12 +54,12 @@ FROM (
 """
 
 KNOWN_SQL = """
-SELECT concat('CUST-', lpad(cast(c_custkey AS string), 6, '0')) AS customer_id
+SELECT concat('CUST-', lpad(cast(c_custkey AS string), 12, '0')) AS customer_id
 FROM {customer} WHERE c_custkey % 97 <> 0
 """
 
 EXISTING_SQL = """
-SELECT concat('ORD-', lpad(cast(o_orderkey AS string), 6, '0')) AS order_id
+SELECT concat('ORD-', lpad(cast(o_orderkey AS string), 12, '0')) AS order_id
 FROM {orders} WHERE o_orderkey % 53 = 0
 """
 
@@ -70,15 +68,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Split a table that the scan gives to fewer tasks than there are cores; large tables stay as they are."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores, key) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Messy orders as they arrive: untrimmed text, with run_id, row_index and mode."""
-    return spark.sql(MESSY_SQL, orders=spread(table(spark, folder, "orders"), "o_orderkey"))
+    return spark.sql(MESSY_SQL, orders=table(spark, folder, "orders"))
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:

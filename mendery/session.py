@@ -25,10 +25,20 @@ def local_session(app: str = "mendery", cores: int | str = "*", **conf: str) ->
     return builder.getOrCreate()
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster session without a folder for intermediate tables."""
+
+
+def is_one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) a temporary folder is made and set.
+    Where the session names none, a temporary folder is made, but only if driver and executors are one
+    process (``local`` masters). Anywhere else each executor would write to a disk of its own and rows would
+    be lost without an error, so that is refused.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -37,6 +47,10 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(found)
         return found.rstrip("/")
     if context.getCheckpointDir() is None:
+        if not is_one_process(context.master):
+            raise NoSharedFolder(
+                f"The master is {context.master}: set spark.checkpoint.dir to a folder that the driver and all executors share"
+            )
         context.setCheckpointDir(tempfile.mkdtemp(prefix="mendery-"))
     return context.getCheckpointDir().rstrip("/")
 
