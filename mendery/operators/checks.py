@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mendery.contract import Contract
 from mendery.functions.text import strip
 from mendery.operators.lookup import known_flag, keyed_lookup
+from mendery.session import settle_table
 
 
 class SchemaDriftError(Exception):
@@ -110,14 +111,25 @@ def store_duplicates(checked: DataFrame, contract: Contract, existing: DataFrame
     """
     valid = valid_rows(checked)
     key = F.col(contract.unique_key)
-    (column,) = existing.columns
-    held = existing.select(F.col(column).alias("claim")).distinct()
     claims = valid.groupBy(key.alias("claim")).agg(F.count("*").alias("n_rows"))
-    facts = claims.join(held, "claim", "left_semi").withColumn("__held", F.lit(True))
+    claims = settle_table(claims, "claims")
+    facts = claims.join(held_keys(existing, claims), "claim").withColumn("__held", F.lit(True))
     found = keyed_lookup(valid, facts, {"claim": key}, ["__held"], F.struct("run_id", "row_index"))
     return found.filter(F.col("__held")).drop("__held")
 
 
+def held_keys(existing: DataFrame, claims: DataFrame) -> DataFrame:
+    """Distinct claims that the store holds.
+
+    The store is looked up from its own side: its key column is only scanned where Spark broadcasts the
+    claims, which are written before and so have a known size. Where they are too many for that, Spark
+    filters the scan with a Bloom filter of them. The store is never reduced or sorted as a whole.
+    """
+    (column,) = existing.columns
+    keys = existing.select(F.col(column).alias("claim"))
+    return keys.join(claims.select("claim").distinct(), "claim", "left_semi").distinct()
+
+
 def with_errors(checked: DataFrame, contract: Contract, name: str = "errors") -> DataFrame:
     """Add the list of all errors of the first pass."""
     return checked.withColumn(name, contract.errors(value_of, kind_of, F.col("error_type")))
@@ -165,8 +177,8 @@ def claim_facts(
         per_run = per_run.withColumn("__nth_run", F.row_number().over(earlier))
         taken = F.col("__nth_run") > 1
     if existing is not None:
-        (column,) = existing.columns
-        held = existing.select(F.col(column).alias("claim")).distinct().withColumn("__held", F.lit(True))
+        per_run = settle_table(per_run, "claims")
+        held = held_keys(existing, per_run).withColumn("__held", F.lit(True))
         per_run = per_run.join(held, "claim", "left")
         taken = taken | F.coalesce(F.col("__held"), F.lit(False))
     return (

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from mendery.contract import Contract, TransformRegistry
 from mendery.operators.diagnose import DIAGNOSIS_TYPE, diagnosis
-from mendery.session import shared_dir
+from mendery.session import settle_table
 
 Client = Callable[[str, str], str]
 ClientFactory = Callable[[], Client]
@@ -95,7 +95,8 @@ def call_service(factory: ClientFactory, instructions: str):
 def parse_response(response: Column, transforms: tuple[str, ...]) -> Column:
     """Validated diagnosis of a response text, as ``struct<diagnosis,error>``.
 
-    All members are read as text, because a typed schema would turn a quoted number into NULL. Exactly
+    A null hypothesis, transform or reasoning counts as missing and falls back to the heuristic. All members
+    are read as text, because a typed schema would turn a quoted number into NULL. Exactly
     one of the two members is set.
     """
     fields = "hypothesis string, transform string, confidence string, reasoning string"
@@ -130,24 +131,29 @@ def external_diagnoser(
 ) -> Callable[[DataFrame], DataFrame]:
     """A diagnoser for the repair loop that asks the service first.
 
-    ``coalesce`` bounds how many tasks call at the same time. Answers are checkpointed to the shared
-    folder, since asking again could give other answers: a lost executor must not change the result.
+    The rows are written before, and only the prompts of rows that are still being repaired travel, with
+    their position, to at most ``max_in_flight`` tasks: that bounds how many calls run at the same time and
+    narrows nothing else. Answers are written to the shared folder, since asking again could give other
+    answers: a lost executor must not change the result.
     """
     instructions = system_prompt(contract, registry)
     ask = call_service(factory, instructions)
+    position = ["run_id", "row_index"]
 
     def diagnose(frame: DataFrame) -> DataFrame:
+        rows = settle_table(frame, "attempt")
         state = F.col("__state")
-        prompt = F.when(state["active"], user_prompt(state["row"], state["type"], F.col("__errors")))
-        asked = frame.coalesce(max_in_flight).withColumn("__call", ask(prompt))
-        shared_dir(frame.sparkSession)
-        asked = asked.checkpoint()
-        answer = parse_response(F.col("__call")["response"], registry.ids)["diagnosis"]
-        answered = F.when(state["active"] & F.col("__call")["error"].isNull(), answer)
-        spent = F.coalesce(F.col("__call")["elapsed_ms"], F.lit(0.0))
+        prompts = rows.filter(state["active"]).select(
+            *position, user_prompt(state["row"], state["type"], F.col("__errors")).alias("__prompt")
+        )
+        asked = prompts.repartition(max_in_flight).withColumn("__call", ask(F.col("__prompt")))
+        answers = settle_table(asked.select(*position, "__call"), "answers")
+        answered = rows.join(answers, position, "left")
+        call = F.col("__call")
+        answer = F.when(call.isNotNull() & call["error"].isNull(), parse_response(call["response"], registry.ids)["diagnosis"])
         before = F.col("heal_ms") if "heal_ms" in frame.columns else F.lit(0.0)
-        return asked.withColumn("__diagnosis", F.coalesce(answered, F.col("__heuristic"))).withColumn(
-            "heal_ms", before + spent
+        return answered.withColumn("__diagnosis", F.coalesce(answer, F.col("__heuristic"))).withColumn(
+            "heal_ms", before + F.coalesce(call["elapsed_ms"], F.lit(0.0))
         )
 
     return diagnose

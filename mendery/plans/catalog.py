@@ -197,7 +197,7 @@ def s11_csv_layout(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"))
     path = scratch_path(spark, "csv-export")
     write_csv(path, csv_layout(customers, orders))
-    return read_csv(spark, path, multi_line=False)
+    return read_csv(spark, path)
 
 
 _SINGLE = settled_stages(store=False, many_runs=False)

@@ -32,11 +32,11 @@ from mendery.plans.outcomes import (
     alert_rows,
     audit_rows,
     clean_rows,
-    counts_by_fix,
-    counts_by_kind,
     quarantine_rows,
+    run_counts,
 )
-from mendery.session import settle_table
+from mendery.session import scratch_space, settle_table
+from mendery.sources.csv import read_csv
 from mendery.sources.rows import row_frame
 from mendery.sources.tables import RUNS, Store
 
@@ -95,9 +95,14 @@ class _RunRow:
         return self.store.spark.createDataFrame([self.values], RUNS).coalesce(1)
 
 
-def send_alerts(runs: DataFrame, sinks: Sequence[AlertSink]) -> None:
-    """Log an alert per run row with quarantined rows and hand it to the sinks; sinks cannot fail a run."""
-    for alert in alert_rows(runs).toLocalIterator():
+def send_alerts(store: Store, run: DataFrame, run_id: int, sinks: Sequence[AlertSink]) -> None:
+    """Write an alert row if the run quarantined anything, log it and hand it to the sinks.
+
+    The row is written whatever becomes of its delivery; a sink cannot fail a run.
+    """
+    alerts = alert_rows(run).withColumn("created_at", F.current_timestamp())
+    store.write(alerts.coalesce(1), "alerts", run_id)
+    for alert in alerts.toLocalIterator():
         logger.warning(alert["text"])
         for sink in sinks:
             try:
@@ -116,20 +121,50 @@ def run_batch(
 ) -> dict:
     """Process one batch and return its run row.
 
-    ``frame`` is an all-string table with normalised names (see ``read_csv``), ``known`` one column of
-    known foreign keys. ``row_index`` names a column that holds the position of a row, if there is one.
+    ``frame`` is an all-string table with normalised names, ``known`` one column of known foreign keys.
+    ``row_index`` names a column that holds the position of a row, if there is one.
 
     Schema drift is a normal end (``rejected_schema_drift``). A batch over the cap and any error end as
-    ``failed`` and raise.
+    ``failed``, with the number of rows as far as it can be counted, and raise.
     """
-    options = options or RunOptions()
+    return _tracked(store, lambda: frame, known, run_id, options, row_index)
+
+
+def run_files(
+    store: Store, path: str | list[str], known: DataFrame, run_id: int, options: RunOptions | None = None
+) -> dict:
+    """Process CSV files as one batch. A file that cannot be read is a failed run."""
+    return _tracked(
+        store, lambda: read_csv(store.spark, path, row_index="row_index"), known, run_id, options, "row_index"
+    )
+
+
+def _tracked(
+    store: Store,
+    source: Callable[[], DataFrame],
+    known: DataFrame,
+    run_id: int,
+    options: RunOptions | None,
+    row_index: str | None,
+) -> dict:
     row = _RunRow(store, run_id)
     row.save()
+    frame = None
+    with scratch_space(store.spark):
+        try:
+            frame = source()
+            return _process(store, frame, known, row, options or RunOptions(), row_index)
+        except Exception:
+            row.save(status="failed", row_count=row.values["row_count"] or _rows_of(frame))
+            raise
+
+
+def _rows_of(frame: DataFrame | None) -> int:
+    """Rows of a batch whose run failed; 0 where not even that can be read."""
     try:
-        return _process(store, frame, known, row, options, row_index)
+        return frame.count() if frame is not None else 0
     except Exception:
-        row.save(status="failed")
-        raise
+        return 0
 
 
 def _process(
@@ -139,7 +174,6 @@ def _process(
     reserved = (row_index,) if row_index else ()
 
     cap = options.max_batch_rows
-    row_count = None
     if cap is not None and frame.limit(cap + 1).count() > cap:
         row_count = frame.count()
         row.save(row_count=row_count)
@@ -157,7 +191,8 @@ def _process(
     if row_index is None:
         frame, row_index = with_row_index(frame, "row_index"), "row_index"
     rows = row_frame(frame, contract, run_id, F.col(row_index))
-    checked = first_pass(rows, contract, known)
+    # The contract and the key check run once; claims, clean rows and repairs read what they wrote.
+    checked = settle_table(first_pass(rows, contract, known), "checked")
     existing = store.existing_keys(not_run=run_id) if contract.unique_key else None
 
     if contract.unique_key:
@@ -175,30 +210,30 @@ def _process(
         typed_rows(checked, contract).withColumn("created_at", stamp), "clean", run_id, "origin=first_pass"
     )
 
-    # Invalid rows are repaired and written once; every other table is read off that result.
+    # Invalid rows are repaired and written once; every other table is read off that result. They are
+    # written before the clock starts, so that the time is that of the repairs.
     diagnoser = None
     if options.client_factory is not None:
         diagnoser = external_diagnoser(
             options.client_factory, contract, rules.transforms, options.max_in_flight
         )
+    bad = settle_table(invalid_rows(checked), "invalid")
     started = time.perf_counter()
-    repaired = repair_rows(
-        invalid_rows(checked), contract, known, rules.transforms, rules.max_attempts, diagnoser
+    repaired = settle_table(
+        repair_rows(bad, contract, known, rules.transforms, rules.max_attempts, diagnoser), "repairs"
     )
-    repaired = settle_table(repaired, "repairs")
     spent_ms = (time.perf_counter() - started) * 1000
-    settled = _settle_repaired(store, repaired, rules, existing, run_id)
+    settled = settle_table(_settle_repaired(store, repaired, rules, existing, run_id), "settled")
 
     healed = clean_rows(settled, contract).drop("disposition").withColumn("created_at", stamp)
     store.write(healed, "clean", run_id, "origin=healed")
     store.write(quarantine_rows(settled, contract).withColumn("created_at", stamp), "quarantine", run_id)
     store.write(audit_rows(settled, contract).withColumn("created_at", stamp), "audit", run_id)
 
-    # Counts: a few rows each, read from the written tables.
-    first = store.clean().filter(F.col("run_id") == run_id).groupBy("origin").count()
-    by_origin = {r["origin"]: r["count"] for r in first.collect()}
-    n_bad = settled.count()
-    n_clean, n_healed = by_origin.get("first_pass", 0), by_origin.get("healed", 0)
+    # One aggregation over the repaired rows gives all counts; the clean rows are counted where they lie.
+    n_clean = store.accepted(run_id).count()
+    counts = run_counts(settled, rules).first()
+    n_bad, n_healed = (counts["row_count"], counts["healed"]) if counts else (0, 0)
     if "heal_ms" in settled.columns:
         mean = settled.filter("disposition = 'healed'").agg(F.avg("heal_ms")).first()[0]
     else:
@@ -209,11 +244,11 @@ def _process(
         clean_first_pass=n_clean,
         healed=n_healed,
         quarantined=n_bad - n_healed,
-        error_types={r["error_type"]: r["n_rows"] for r in counts_by_kind(settled).collect()},
-        fixes_applied={r["transform"]: r["n_proposals"] for r in counts_by_fix(settled).collect()},
+        error_types=dict(counts["error_types"]) if counts else {},
+        fixes_applied=dict(counts["fixes_applied"]) if counts else {},
         avg_time_to_heal_ms=mean,
     )
-    send_alerts(row.frame(), options.alert_sinks)
+    send_alerts(store, row.frame(), run_id, options.alert_sinks)
     return done
 
 
@@ -229,7 +264,7 @@ def _settle_repaired(
         healed = repaired.select(claim.alias("claim"), "run_id", "row_index", "healed").filter(
             F.col("claim").isNotNull()
         )
-        written = store.spark.read.parquet(store.path("clean", run_id, "origin=first_pass"))
+        written = store.accepted(run_id)
         held = (
             written.select(F.col(contract.unique_key).alias("claim"), "row_index")
             .join(healed.select("claim").distinct(), "claim", "left_semi")

@@ -1,14 +1,21 @@
-"""CSV in and out."""
+"""CSV in and out.
+
+Files are read as lines, which Spark splits, and every line is parsed under the header of its own file. One
+pass over the lines finds the headers, how many rows each block holds, and which files have quoted line
+breaks; only those files are read whole, one task each.
+"""
 
 from __future__ import annotations
 
+import csv
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mendery.functions.text import strip
+from mendery.session import settle_table
 from mendery.sources.rows import resolve_names
 
 # RFC quoting doubles the quote. Blank fields are empty text whether quoted or not, and over-long rows
@@ -21,57 +28,206 @@ _READ = {
     "mode": "PERMISSIVE",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
+    "maxColumns": "100000",
+    "maxCharsPerColumn": "-1",
 }
+# A table whose rows have more different names than this is refused: each name becomes a column.
+MAX_COLUMNS = 10_000
+# Facts about blocks are broadcast up to this many numbers in them (16 MB); a larger table is joined as Spark
+# sees fit.
+BROADCAST_CELLS = 2_000_000
+_MIN_SPLITS = "spark.sql.files.minPartitionNum"
 
 
-def read_header(spark: SparkSession, path: str | list[str]) -> list[str]:
-    """First record of the first file, as it is written there."""
-    first = spark.read.options(**_READ, multiLine="true", header="false").csv(path).limit(1).collect()
-    return [name or "" for name in first[0]] if first else []
+class TooManyColumns(ValueError):
+    """Free-form keys cannot be spread into columns."""
 
 
-def _positional(columns: list[str]) -> T.StructType:
+def _positional(n: int) -> T.StructType:
     # Spark renames headers that differ only by case or blanks, so columns are read by position.
-    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
+    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(n)])
+
+
+def _place() -> list[Column]:
+    return [
+        F.col("_metadata.file_path").alias("__file"),
+        F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
+    ]
+
+
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines with their file and block. Inside a block ``__at`` rises by one from line to line.
+
+    The survey and the rows are two scans that must split the files alike. What splitting depends on, beside
+    the files, is fixed here; a scan that splits otherwise all the same is refused by ``_rows``.
+    """
+    if spark.conf.get(_MIN_SPLITS, None) is None:
+        spark.conf.set(_MIN_SPLITS, str(spark.sparkContext.defaultParallelism))
+    return spark.read.text(paths).select("value", *_place())
+
+
+def _survey(lines: DataFrame) -> DataFrame:
+    """One row per block: number of lines, first place, first line with text, places of empty lines (counted
+    from the block's first), and whether a quoted field goes on over a line break."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    text_at = F.when(F.col("value") != "", F.col("__at"))
+    found = lines.groupBy("__file", "__block").agg(
+        F.count("*").alias("n_lines"),
+        F.min("__at").alias("first_at"),
+        F.min_by("value", text_at).alias("first_line"),
+        F.min(text_at).alias("text_at"),
+        F.collect_list(F.when(F.col("value") == "", F.col("__at"))).alias("empty_at"),
+        F.max(quotes % 2 == 1).alias("torn"),
+    )
+    return found.withColumns(
+        {
+            "text_at": F.col("text_at") - F.col("first_at"),
+            "empty_at": F.transform("empty_at", lambda at: at - F.col("first_at")),
+        }
+    )
 
 
-def finish_csv(frame: DataFrame, header: list[str]) -> DataFrame:
-    """Give positional columns their normalised names; fields that a row lacks become empty text."""
-    return frame.select(
-        *[F.coalesce(strip(F.col(f"c{i}")), F.lit("")).alias(n) for n, i in resolve_names(header).items()]
+def _names(header: str) -> list[str]:
+    return next(csv.reader([header]))
+
+
+def _rows(lines: DataFrame, blocks: DataFrame, width: int, columns: list[str]) -> DataFrame:
+    """Rows of the lines, parsed and put under the names of their own file's header."""
+    known = blocks.select(
+        F.col("__file").alias("of"), F.col("__block").alias("at_block"), "first_at", "n_lines", "header_at", "passed", "start", "places"
+    )
+    cells = blocks.agg(F.sum(F.size("places") + F.size("passed") + F.lit(8))).first()[0] or 0
+    if cells <= BROADCAST_CELLS:  # then the lines stay where they are
+        known = F.broadcast(known)
+    joined = lines.filter(F.col("value") != "").join(
+        known, (F.col("__file") == F.col("of")) & (F.col("__block") == F.col("at_block")), "left"
     )
+    offset = F.col("__at") - F.col("first_at")
+    alike = F.coalesce((offset >= 0) & (offset < F.col("n_lines")), F.lit(False))
+    refused = F.raise_error(F.concat(F.lit("The file was split differently by two scans: "), F.col("__file")))
+    placed = joined.withColumn("offset", F.when(alike, offset).otherwise(refused.cast("bigint")))
+    rows = placed.filter(F.col("places").isNotNull() & ~F.col("offset").eqNullSafe(F.col("header_at")))
+    fields = ", ".join(f"c{i} string" for i in range(width))
+    parsed = rows.withColumn("p", F.from_csv("value", fields, _READ))
+    cells = parsed.withColumn("cells", F.array(*[F.col(f"p.c{i}") for i in range(width)]))
+    index = F.col("start") + F.col("offset") - F.size(F.filter("passed", lambda at: at < F.col("offset")))
 
+    def value(place: Column) -> Column:
+        return F.when(place >= 0, F.coalesce(strip(F.get("cells", place)), F.lit("")))
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
-    """All-string table from CSV files with one common header; names and values are normalised.
+    return cells.select(*[value(F.col("places")[i]).alias(n) for i, n in enumerate(columns)], index.cast("bigint").alias("__index"))
 
-    ``path`` may be a file, a landing folder for uploads, or a list. Quoted line breaks need
-    ``multi_line``, which reads a file in one task; turn it off for large files without them, which
-    Spark then splits.
+
+def _torn_rows(spark: SparkSession, file: str, header: list[str]) -> DataFrame:
+    """Rows of a file with quoted line breaks; Spark reads such a file in one task."""
+    reader = spark.read.options(**_READ, header="true", multiLine="true", enforceSchema="true")
+    return reader.schema(_positional(len(header))).csv(file).withColumn("__at", F.monotonically_increasing_id())
+
+
+def read_header(spark: SparkSession, path: str) -> list[str]:
+    """First record of a file, as it is written there."""
+    first = spark.read.options(**_READ, multiLine="true", header="false").csv(path).limit(1).collect()
+    return [name or "" for name in first[0]] if first else []
+
+
+def read_csv(spark: SparkSession, path: str | list[str], row_index: str | None = None) -> DataFrame:
+    """All-string table from CSV files; names and values are normalised.
+
+    ``path`` may be a file, a landing folder for uploads, or a list. Every file has its own header: columns
+    are brought together by name, in the order in which the files, by path, first name them. A field that a
+    short row lacks is empty text, one that its file does not have is NULL. A file without rows adds no
+    column. A line of blanks is a row, an empty line is none. ``row_index`` adds the position of a row, 0 to
+    n-1, in the order of files by path and of lines in a file, without writing or sorting rows: the lines of
+    a block are in order, and blocks, a few bytes each, are counted and summed up.
+
+    The driver sees one row per file: its header, whether it has rows and quoted line breaks.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = _lines(spark, paths)
+    survey = settle_table(_survey(lines), "csv-survey")
+    by_file = survey.groupBy("__file").agg(
+        F.min_by("first_line", F.when(F.col("first_line").isNotNull(), F.col("__block"))).alias("header"),
+        F.max("torn").alias("torn"),
+        (F.sum(F.col("n_lines") - F.size("empty_at")) > 1).alias("has_rows"),
+    )
+    found = sorted((r for r in by_file.collect() if r["header"] is not None), key=lambda r: r["__file"])
+    named = [T.StructField(row_index, T.LongType())] if row_index else []
+    if not found:
+        return spark.createDataFrame([], T.StructType(named))
+    headers = {r["__file"]: read_header(spark, r["__file"]) if r["torn"] else _names(r["header"]) for r in found}
+    naming = [r for r in found if r["has_rows"]]
+    columns = list(dict.fromkeys(n for r in naming or found for n in resolve_names(headers[r["__file"]])))
+    if not naming:
+        fields = [T.StructField(c, T.StringType()) for c in columns]
+        return spark.createDataFrame([], T.StructType([*fields, *named]))
+
+    torn = {r["__file"]: i for i, r in enumerate(naming) if r["torn"]}
+    whole = {file: _torn_rows(spark, file, headers[file]) for file in torn}
+    counts = {file: rows.count() if row_index else 0 for file, rows in whole.items()}
+    facts = [
+        (
+            r["__file"],
+            [resolve_names(headers[r["__file"]]).get(c, -1) for c in columns] if r["__file"] not in torn else None,
+            counts.get(r["__file"]),
+        )
+        for r in naming
+    ]
+    files = spark.createDataFrame(facts, "of_file string, places array<int>, n_whole bigint")
+    blocks = settle_table(_starts(survey, files), "csv-blocks")
+    width = max((len(headers[r["__file"]]) for r in naming), default=1)
+    out = _rows(lines, blocks, width, columns)
+    for file, rows in whole.items():
+        places = resolve_names(headers[file])
+        start = blocks.filter(F.col("__file") == file).agg(F.min("start").alias("s")).first()["s"]
+        out = out.unionByName(
+            rows.select(
+                *[(F.coalesce(strip(F.col(f"c{places[n]}")), F.lit("")) if n in places else F.lit(None).cast("string")).alias(n) for n in columns],
+                (F.col("__at") + F.lit(start)).alias("__index"),
+            )
+        )
+    return out.select(*columns, *([F.col("__index").alias(row_index)] if row_index else []))
+
+
+def _starts(survey: DataFrame, files: DataFrame) -> DataFrame:
+    """The blocks with the place of the header line, the places that are no rows, and the rows before them.
+
+    Blocks of files with quoted line breaks hold no rows of their own; the first of such a file stands for
+    the whole file. The window runs over one small row per block of the input.
     """
-    header = read_header(spark, path)
-    if not header:
-        return spark.createDataFrame([], T.StructType([]))
-    reader = spark.read.options(**_READ, header="true", multiLine=str(multi_line).lower())
-    return finish_csv(reader.schema(_positional(header)).csv(path), header)
+    blocks = survey.join(files, F.col("__file") == F.col("of_file"))
+    of_file = Window.partitionBy("__file")
+    is_first = F.col("__block") == F.min(F.when(F.col("text_at").isNotNull(), F.col("__block"))).over(of_file)
+    header_at = F.when(is_first, F.col("text_at"))
+    blocks = blocks.withColumn("header_at", header_at)
+    passed = F.when(F.col("header_at").isNotNull(), F.array_append("empty_at", F.col("header_at"))).otherwise(F.col("empty_at"))
+    own = F.when(F.col("n_whole").isNull(), F.col("n_lines") - F.size(passed)).otherwise(
+        F.when(F.col("header_at").isNotNull(), F.col("n_whole")).otherwise(F.lit(0))
+    )
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("passed", passed).withColumn("start", F.coalesce(F.sum(own).over(before), F.lit(0)))
 
 
-def stream_csv(spark: SparkSession, folder: str, header: list[str], max_files: int | None = None) -> DataFrame:
-    """Streaming form of :func:`read_csv` over a folder in which files arrive."""
-    reader = spark.readStream.options(**_READ, header="true", multiLine="true")
+def stream_files(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
+    """Stream of (file) over a folder in which CSV files arrive: which file each line came from."""
+    reader = spark.readStream
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return finish_csv(reader.schema(_positional(header)).csv(folder), header)
+    return reader.text(folder).select(F.col("_metadata.file_path").alias("file"))
 
 
 def spread_ragged(frame: DataFrame, raw: str = "raw") -> DataFrame:
     """Ragged ``map<string,string>`` rows as a table whose columns are the union of all keys.
 
-    Only the distinct key names come to the driver; they become column names.
+    Only the distinct key names come to the driver; they become column names. More than ``MAX_COLUMNS`` of
+    them are an error, since no table has that many columns.
     """
-    keys = frame.select(F.explode(F.map_keys(raw)).alias("key")).distinct().collect()
+    distinct = frame.select(F.explode(F.map_keys(raw)).alias("key")).distinct()
+    keys = sorted(r["key"] for r in distinct.limit(MAX_COLUMNS + 1).collect())
+    if len(keys) > MAX_COLUMNS:
+        raise TooManyColumns(f"The rows have more than {MAX_COLUMNS} different keys")
     rest = [c for c in frame.columns if c != raw]
-    return frame.select(*rest, *[F.col(raw)[k].alias(k) for k in sorted(r["key"] for r in keys)])
+    return frame.select(*rest, *[F.col(raw)[k].alias(k) for k in keys])
 
 
 def csv_layout(*frames: DataFrame) -> DataFrame:
@@ -84,4 +240,3 @@ def csv_layout(*frames: DataFrame) -> DataFrame:
 
 def write_csv(path: str, *frames: DataFrame, mode: str = "error") -> None:
     csv_layout(*frames).write.mode(mode).options(header="true", quote='"', escape='"', emptyValue="").csv(path)
-

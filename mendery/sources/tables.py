@@ -30,6 +30,7 @@ AUDIT = (
     "row_index bigint, attempt_no int, row_identifier string, hypothesis string, transform_chosen string, "
     "confidence double, reasoning string, diagnosis_source string, outcome string, created_at timestamp, run_id bigint"
 )
+ALERTS = "quarantined_count bigint, error_types map<string,bigint>, text string, created_at timestamp, run_id bigint"
 RESOLUTIONS = "run_id bigint, row_index bigint, resolved_at timestamp"
 
 
@@ -66,11 +67,25 @@ class Store:
         )
 
     def existing_keys(self, not_run: int | None = None) -> DataFrame:
-        """Distinct unique keys of the clean store; a run that is repeated must not see itself."""
+        """Unique keys of the clean store, as they stand there; a repeated run must not see itself.
+
+        They are not reduced here: whoever looks keys up does so with the keys at hand, so that the cost
+        follows the batch and not the history.
+        """
         clean = self.clean()
         if not_run is not None:
             clean = clean.filter(F.col("run_id") != not_run)
-        return known_keys(clean, self.contract.unique_key)
+        return clean.select(self.contract.unique_key)
+
+    def accepted(self, run_id: int, origin: str = "first_pass") -> DataFrame:
+        """Rows of one run, read from its own folder without listing the others."""
+        typed = ", ".join(f"{f.name} {f.rule.sql_type}" for f in self.contract.fields)
+        schema = f"row_index bigint, {typed}, created_at timestamp"
+        return self.spark.read.schema(schema).parquet(self.path("clean", run_id, f"origin={origin}"))
+
+    def alerts(self) -> DataFrame:
+        """One row per run that quarantined anything, whatever became of its delivery."""
+        return self._read("alerts", ALERTS)
 
     def runs(self) -> DataFrame:
         return self._read("runs", RUNS)
