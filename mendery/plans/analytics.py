@@ -49,6 +49,12 @@ def run_sentences(runs: DataFrame) -> DataFrame:
     )
 
 
+def mean_heal_time(timed: DataFrame) -> DataFrame:
+    """Mean ``heal_ms`` over the healed rows of each run; NULL where nothing was healed."""
+    healed = F.when(F.col("healed"), F.col("heal_ms"))
+    return timed.groupBy("run_id").agg(F.avg(healed).alias("avg_time_to_heal_ms"))
+
+
 def heal_times(runs: DataFrame) -> DataFrame:
     return runs.select("run_id", heal_time_text(F.col("avg_time_to_heal_ms")).alias("heal_time"))
 

@@ -36,7 +36,7 @@ from mendery.plans.sample_orders import (
     table,
     with_run_state,
 )
-from mendery.session import scratch_path
+from mendery.session import scratch_path, settle_table
 from mendery.sources.csv import csv_layout, read_csv, write_csv
 from mendery.sources.rows import normalise_columns, ragged_row_frame
 from mendery.sources.tables import Store, known_keys
@@ -46,6 +46,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 RULES = out.Rules()
+_SETTLED: dict[tuple[str, str], DataFrame] = {}
+_STORES: dict[tuple[str, str], Store] = {}
 
 
 def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -76,28 +78,49 @@ def repaired_orders(spark: SparkSession, folder: str, attempts: int = 3) -> Data
 
 
 def settled_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return out.outcomes(
-        messy_orders(spark, folder), known_customers(spark, folder), existing_orders(spark, folder), RULES
-    )
+    """All rows with their disposition: written once per session and folder, since a dozen queries read it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _SETTLED:
+        rows = out.outcomes(
+            messy_orders(spark, folder), known_customers(spark, folder), existing_orders(spark, folder), RULES
+        )
+        _SETTLED[key] = settle_table(rows, "settled-orders")
+    return _SETTLED[key]
+
+
+def stored_orders(spark: SparkSession, folder: str) -> Store:
+    """The output tables of all runs, one folder per run: written once per session and folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORES:
+        store = Store(spark, scratch_path(spark, "tables"), ORDERS)
+        settled = settled_orders(spark, folder)
+        done = table(spark, folder, "orders").filter("o_orderkey % 5 = 0").select(
+            (F.floor(F.col("o_orderkey") / 500).cast("bigint") + 1).alias("run_id"),
+            F.col("o_orderkey").alias("row_index"),
+        )
+        tables = {
+            "runs": with_run_state(out.run_counts(settled, RULES)),
+            "audit": out.audit_rows(settled, ORDERS),
+            "quarantine": out.quarantine_rows(settled, ORDERS),
+        }
+        for name, rows in tables.items():
+            rows.repartition("run_id").write.partitionBy("run_id").parquet(store.path(name))
+        done.write.parquet(store.path("resolutions"))
+        _STORES[key] = store
+    return _STORES[key]
 
 
 def runs_table(spark: SparkSession, folder: str) -> DataFrame:
-    return with_run_state(out.run_counts(settled_orders(spark, folder), RULES))
+    return stored_orders(spark, folder).runs()
 
 
 def audit_table(spark: SparkSession, folder: str) -> DataFrame:
-    return out.audit_rows(settled_orders(spark, folder), ORDERS)
+    return stored_orders(spark, folder).audit().drop("created_at")
 
 
 def quarantine_table(spark: SparkSession, folder: str) -> DataFrame:
     """Quarantine with every fifth row resolved."""
-    rows = out.quarantine_rows(settled_orders(spark, folder), ORDERS)
-    keys = table(spark, folder, "orders").filter("o_orderkey % 5 = 0")
-    done = keys.select(
-        (F.floor(F.col("o_orderkey") / 500).cast("bigint") + 1).alias("run_id"),
-        F.col("o_orderkey").alias("row_index"),
-    )
-    return analytics.with_resolutions(rows, done)
+    return stored_orders(spark, folder).quarantine().drop("created_at")
 
 
 def ragged_orders(spark: SparkSession, folder: str) -> DataFrame:
@@ -968,13 +991,36 @@ _fault(
 )
 
 
-@register("g7_inject_mix")
-def g7_inject_mix(spark: SparkSession, folder: str) -> DataFrame:
-    """A seeded mix of faults over valid rows, counted by fault and by what the contract says of it.
+def _picked(salt: str, n: int) -> str:
+    return f"(CAST('0x' || substr(md5(concat('7|{salt}|', row_index)), 1, 12) AS BIGINT) % {n})"
+
 
-    The choice hangs on a hash that DuckDB does not have, so the rows have no SQL twin.
-    """
+_MIX = [
+    *FIRST_PASS,
+    f"""hit AS (SELECT *, CASE WHEN cast({_picked('hit', 1_000_000)} AS double) / 1000000 < 0.3 THEN
+  [{', '.join(f"'{m}'" for m in faults.MODES)}][{_picked('mode', 6)} + 1] END AS injected_mode FROM checked WHERE error_type IS NULL)""",
+]
+
+
+@register(
+    "g7_inject_mix",
+    statement(
+        _MIX,
+        f"""SELECT row_index, injected_mode,
+  CASE WHEN injected_mode = 'schema_drift' THEN 'flagged for review' END AS internal_notes,
+  CASE WHEN injected_mode = 'null_required_field' AND {_picked('blank', 6)} = 0 THEN ''
+       WHEN injected_mode = 'type_mismatch' THEN ['fifty-two', 'N/A', '$49.99'][{_picked('amount', 3)} + 1] ELSE amount END AS amount,
+  CASE WHEN injected_mode = 'null_required_field' AND {_picked('blank', 6)} = 2 THEN ''
+       WHEN injected_mode = 'invalid_foreign_key' THEN concat('CUST-', 9000 + {_picked('unknown', 1000)}) ELSE customer_id END AS customer_id,
+  CASE WHEN injected_mode = 'null_required_field' AND {_picked('blank', 6)} = 3 THEN ''
+       WHEN injected_mode = 'date_format_swap' THEN strftime(cast(order_date AS date), '%d/%m/%Y') ELSE order_date END AS order_date,
+  CASE WHEN injected_mode = 'null_required_field' AND {_picked('blank', 6)} = 4 THEN ''
+       WHEN injected_mode = 'encoding_issue' THEN concat(order_id, 'Ã¡Ã©Ã', chr(173), 'Ã³Ãº') ELSE order_id END AS order_id
+FROM hit""",
+    ),
+)
+def g7_inject_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """A seeded mix of faults over valid rows, with its labels."""
     valid = checks.valid_rows(checked_orders(spark, folder)).select("run_id", "row_index", *FIELDS)
     faulty = faults.inject(valid, ORDERS, "row_index", rate=0.3, seed=7)
-    judged = checks.first_pass(faulty, ORDERS, known_customers(spark, folder))
-    return judged.groupBy("injected_mode", "error_type").agg(F.count("*").alias("n_rows"))
+    return faulty.select("row_index", "injected_mode", "internal_notes", "amount", "customer_id", "order_date", "order_id")

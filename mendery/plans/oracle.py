@@ -6,10 +6,53 @@ repair loop is written out as one group of common table expressions per attempt.
 
 from __future__ import annotations
 
-from mendery.contract import CURRENCIES, CUSTOMER_ID_PATTERN, ORDER_ID_PATTERN, ORDERS, STATUSES
+from typing import NamedTuple
+
 from mendery.plans.sample_orders import EXISTING_SQL, KNOWN_SQL, MESSY_SQL
 
-FIELDS = ORDERS.columns
+# Fixed values of the orders contract, written out again on purpose: a wrong text in the engine must not be
+# wrong on both sides.
+FIELDS = ("order_id", "customer_id", "order_date", "amount", "currency", "status")
+CURRENCIES = ("USD", "EUR", "GBP", "CAD", "AUD", "JPY")
+STATUSES = ("pending", "processing", "shipped", "delivered", "cancelled", "refunded")
+PATTERNS = {"order_id": "ORD-[A-Za-z0-9]{6,}", "customer_id": "CUST-[A-Za-z0-9]{4,}"}
+MESSAGES = {
+    "order_id": {"value_error": "Value error, order_id must match ^ORD-[A-Za-z0-9]{6,}$"},
+    "customer_id": {"value_error": "Value error, customer_id must match ^CUST-[A-Za-z0-9]{4,}$"},
+    "order_date": {
+        "date_from_datetime_parsing": "Input should be a valid date or datetime",
+        "date_from_datetime_inexact": "Datetimes provided to dates should have zero time - e.g. be exact dates",
+    },
+    "amount": {
+        "decimal_parsing": "Input should be a valid decimal",
+        "finite_number": "Input should be a finite number",
+        "decimal_max_digits": "Decimal input should have no more than 12 digits in total",
+        "decimal_max_places": "Decimal input should have no more than 2 decimal places",
+        "decimal_whole_digits": "Decimal input should have no more than 10 digits before the decimal point",
+        "greater_than": "Input should be greater than 0",
+    },
+    "currency": {"enum": "Input should be 'USD', 'EUR', 'GBP', 'CAD', 'AUD' or 'JPY'"},
+    "status": {"enum": "Input should be 'pending', 'processing', 'shipped', 'delivered', 'cancelled' or 'refunded'"},
+}
+
+
+class Remedied(NamedTuple):
+    """Field, transform, confidence, hypothesis, and the reasoning before and after the repaired value."""
+
+    name: str
+    transform: str
+    confidence: float
+    hypothesis: str
+    before: str
+    after: str
+
+
+REMEDIED = (
+    Remedied("order_id", "fix_encoding", 0.85, "order_id has a trailing non-ASCII/mojibake artifact", "Stripping the trailing artifact recovers a valid value: ", "."),
+    Remedied("customer_id", "fix_encoding", 0.85, "customer_id has a trailing non-ASCII/mojibake artifact", "Stripping the trailing artifact recovers a valid value: ", "."),
+    Remedied("order_date", "reformat_date", 0.9, "order_date is a real calendar date in a non-ISO format", "Reparsing recovers a valid ISO date: ", "."),
+    Remedied("amount", "coerce_amount", 0.85, "amount contains currency symbols or non-numeric formatting noise", "Stripping non-numeric characters yields a valid positive amount: ", "."),
+)
 _BLANKS = "concat(chr(9), chr(10), chr(13), ' ')"
 
 
@@ -17,13 +60,6 @@ def _strings(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
-def _bare(pattern: str) -> str:
-    return pattern.strip("^$")
-
-
-PATTERNS = {"order_id": _bare(ORDER_ID_PATTERN), "customer_id": _bare(CUSTOMER_ID_PATTERN)}
-
-
 def kind(field: str, x: str) -> str:
     """Error kind of the text ``x`` in a field."""
     if field in PATTERNS:
@@ -46,7 +82,7 @@ def kind(field: str, x: str) -> str:
 
 
 def message(field: str, k: str) -> str:
-    texts = {"missing": "Field required", **ORDERS[field].rule.messages(field)}
+    texts = {"missing": "Field required", **MESSAGES[field]}
     whens = " ".join("WHEN '{}' THEN '{}'".format(a, b.replace("'", "''")) for a, b in texts.items())
     return f"CASE {k} {whens} END"
 
@@ -136,9 +172,6 @@ def _own(field: str) -> str:
     return f"CASE WHEN active AND k_{field} IS NOT NULL THEN {made(field) if made else fix(field, field)} END AS own_{field}"
 
 
-_REMEDIED = [f for f in ORDERS.fields if f.remedy is not None]
-
-
 def diagnosis_stages(source: str, k: str) -> list[str]:
     """``d<k>``: the rows of a state table with failing fields and the heuristic diagnosis."""
     blank = " ".join(
@@ -146,7 +179,7 @@ def diagnosis_stages(source: str, k: str) -> list[str]:
     )
 
     def pick(values: list[str], fk: str, dup: str, blank_text: str, other: str) -> str:
-        own = " ".join(f"WHEN own_{f.name} IS NOT NULL THEN {v}" for f, v in zip(_REMEDIED, values))
+        own = " ".join(f"WHEN own_{f.name} IS NOT NULL THEN {v}" for f, v in zip(REMEDIED, values))
         return (
             f"CASE WHEN NOT active THEN NULL WHEN etype = 'invalid_foreign_key' THEN {fk} "
             f"WHEN etype = 'duplicate_order_id' THEN {dup} {own} "
@@ -154,19 +187,18 @@ def diagnosis_stages(source: str, k: str) -> list[str]:
         )
 
     def reason(f) -> str:
-        before, after = f.remedy.reasoning.split("{}")
-        return f"concat('{before}''', own_{f.name}, '''{after}')"
+        return f"concat('{f.before}''', own_{f.name}, '''{f.after}')"
 
     return [
-        f"f{k} AS (SELECT *, {_failing()} AS failing, {', '.join(_own(f.name) for f in _REMEDIED)} FROM {source})",
+        f"f{k} AS (SELECT *, {_failing()} AS failing, {', '.join(_own(f.name) for f in REMEDIED)} FROM {source})",
         f"b{k} AS (SELECT *, CASE {blank} END AS blank_field FROM f{k})",
         f"""d{k} AS (SELECT *,
-          {pick([f"'{f.remedy.transform}'" for f in _REMEDIED], 'NULL', 'NULL', 'NULL', 'NULL')} AS transform,
-          {pick([f"'{f.remedy.hypothesis}'" for f in _REMEDIED], f"'{UNKNOWN_KEY}'", f"'{DUPLICATE}'",
+          {pick([f"'{f.transform}'" for f in REMEDIED], 'NULL', 'NULL', 'NULL', 'NULL')} AS transform,
+          {pick([f"'{f.hypothesis}'" for f in REMEDIED], f"'{UNKNOWN_KEY}'", f"'{DUPLICATE}'",
                 "concat(blank_field, ' is missing or blank')",
                 "concat(array_to_string(failing, ', '), ' fails validation and no registered transform applies')")} AS hypothesis,
-          {pick([f"cast({f.remedy.confidence} AS double)" for f in _REMEDIED], '1.0', '1.0', '1.0', '1.0')} AS confidence,
-          {pick([reason(f) for f in _REMEDIED], "'Unresolvable foreign key has no safe automatic fix.'", f"'{DUPLICATE_WHY}'",
+          {pick([f"cast({f.confidence} AS double)" for f in REMEDIED], '1.0', '1.0', '1.0', '1.0')} AS confidence,
+          {pick([reason(f) for f in REMEDIED], "'Unresolvable foreign key has no safe automatic fix.'", f"'{DUPLICATE_WHY}'",
                 "'Missing required field has no safe automatic fix.'",
                 "'No pre-approved transform matched; declining rather than guessing.'")} AS reasoning
         FROM b{k})""",
