@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The texts of this module are fixed values: they must read as they do on the dashboard they stand in for.
+
+
 def humanise(raw: Column) -> Column:
     """``duplicate_order_id`` becomes ``Duplicate order ID``."""
     words = F.transform(F.split(raw, "_"), lambda w: F.when(w == "id", F.lit("ID")).otherwise(w))

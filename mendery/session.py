@@ -70,6 +70,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a path that the caller made, in whatever store it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 @contextmanager
 def scratch_space(spark: SparkSession) -> Iterator[None]:
     """Remove, at the end, the scratch paths that were handed out inside. Nothing else is touched.
@@ -84,8 +90,7 @@ def scratch_space(spark: SparkSession) -> Iterator[None]:
     finally:
         _made.reset(token)
         for path in paths:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            remove_path(spark, path)
 
 
 def settle_table(frame: DataFrame, label: str) -> DataFrame:

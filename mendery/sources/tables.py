@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from mendery.contract import Contract
 from mendery.operators.diagnose import DIAGNOSIS_TYPE
 from mendery.plans.analytics import with_resolutions
+from mendery.session import remove_path
 
 _HISTORY = DIAGNOSIS_TYPE.removeprefix("struct<").removesuffix(">")
 
@@ -88,7 +89,28 @@ class Store:
         return self._read("alerts", ALERTS)
 
     def runs(self) -> DataFrame:
-        return self._read("runs", RUNS)
+        """One row per run: its own folder if it has one, else what ``compact_runs`` put together."""
+        live, old = self._read("runs", RUNS), self._read("runs_compacted", RUNS)
+        if old.isEmpty():
+            return live
+        rest = [c for c in old.columns if c != "run_id"]
+        latest = old.groupBy("run_id").agg(F.max_by(F.struct(*rest), "finished_at").alias("row")).select("run_id", "row.*")
+        return live.unionByName(latest.join(live.select("run_id"), "run_id", "left_anti"))
+
+    def compact_runs(self) -> int:
+        """Bring the rows of ended runs together in one file, and return how many there were.
+
+        A run writes a folder of its own, so that repeating it touches no other; listing very many of them
+        is slow. Their folders are removed only after the file is written; a run that is repeated later has
+        a folder again, which counts. Stopping in between leaves rows in both places, and the folder counts.
+        """
+        ended = [r["run_id"] for r in self._read("runs", RUNS).filter("status <> 'running'").select("run_id").collect()]
+        if ended:
+            rows = self._read("runs", RUNS).filter("status <> 'running'")
+            rows.coalesce(1).write.mode("append").parquet(self.path("runs_compacted"))
+            for run_id in ended:
+                remove_path(self.spark, self.path("runs", run_id))
+        return len(ended)
 
     def audit(self) -> DataFrame:
         return self._read("audit", AUDIT)

@@ -119,6 +119,18 @@ def test_existing_keys_are_looked_up_from_the_batch(spark, tmp_path, make_rows,
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
+def test_run_rows_are_compacted(spark, tmp_path, make_rows, known):
+    store = Store(spark, str(tmp_path / "store"), ORDERS)
+    for run in (1, 2):
+        run_batch(store, make_rows({"order_id": f"ORD-{run:06d}"}).drop("run_id"), known, run, row_index="row_index")
+    before = sorted(map(str, store.runs().select("run_id", "status", "row_count", "error_types").collect()))
+    assert store.compact_runs() == 2 and store.compact_runs() == 0
+    assert sorted(map(str, store.runs().select("run_id", "status", "row_count", "error_types").collect())) == before
+    run_batch(store, make_rows({}, {}).drop("run_id"), known, 2, row_index="row_index")
+    assert sorted((r.run_id, r.row_count) for r in store.runs().collect()) == [(1, 1), (2, 2)]
+    assert [r.row_count for r in store.runs().filter("run_id = 1").collect()] == [1]
+
+
 class _Context:
     def __init__(self, master):
         self.master = master
