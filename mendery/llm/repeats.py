@@ -31,10 +31,11 @@ from mendery.session import settle_table
 WINDOW = 50
 PREFIX = 12
 # Stretches of one prefix that are sorted together; above it the prefix is lengthened to whole windows.
-GROUP = 256
+GROUP = 4096
 # Windows that one stretch carries at most, so that a row stays small in periodic texts.
 STRETCH = 64
-# Suffixes in memory at once: 40,000 * 50 words * 4 bytes = 8 MB, a few times that while sorting.
+# Suffixes after which a task sorts what it has gathered. A group of 4,096 stretches has some 80,000 suffixes
+# of 50 words and 4 bytes: 16 MB, a few times that while sorting.
 SORTED_AT_ONCE = 40_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -139,7 +140,8 @@ def cut_stretches(candidates: DataFrame) -> DataFrame:
 
 
 def cut_windows(candidates: DataFrame) -> DataFrame:
-    """Whole windows under the prefixes in column ``crowded``, as nodes of the tree."""
+    """Distinct whole windows of each text under the prefixes in column ``crowded``, as nodes of the tree,
+    with the places where they start."""
 
     def make():
         known = Words()
@@ -148,18 +150,18 @@ def cut_windows(candidates: DataFrame) -> DataFrame:
             out = []
             for i, key, text, some in zip(ids, keys, texts, prefixes, strict=True):
                 words, found = _shared_stretches(known, key, text, some)
-                out += [
-                    (xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW])), i, p)
-                    for _, s, e in found
-                    for p in range(s, e)
-                ]
+                places: dict[bytes, list[int]] = {}
+                for _, s, e in found:
+                    for p in range(s, e):
+                        places.setdefault(xxhash.xxh3_128_digest(b" ".join(words[p : p + WINDOW])), []).append(p)
+                out += [(node, i, at) for node, at in places.items()]
             return out
 
         return rows
 
     return map_rows(
         candidates.filter(F.size("crowded") > 0).select("doc_id", "text_key", "text", "crowded"),
-        "node binary, doc_id bigint, first bigint",
+        "node binary, doc_id bigint, places array<bigint>",
         make,
     )
 
@@ -282,6 +284,7 @@ def repeated_windows(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFr
     crowded = (
         nodes.join(smallest, "node")
         .filter("least < doc_id")
+        .select("doc_id", F.explode("places").alias("first"))
         .select("doc_id", "first", (F.col("first") + 1).alias("last"))
     )
     return read, texts, candidates, trees.unionByName(crowded)
