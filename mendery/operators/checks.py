@@ -130,9 +130,15 @@ def held_keys(existing: DataFrame, claims: DataFrame) -> DataFrame:
     return keys.join(claims.select("claim").distinct(), "claim", "left_semi").distinct()
 
 
+@lru_cache(maxsize=64)
+def all_errors(contract: Contract) -> Column:
+    """All errors of a checked row. Columns are unresolved trees, so a built one serves any number of frames."""
+    return contract.errors(value_of, kind_of, F.col("error_type"))
+
+
 def with_errors(checked: DataFrame, contract: Contract, name: str = "errors") -> DataFrame:
     """Add the list of all errors of the first pass."""
-    return checked.withColumn(name, contract.errors(value_of, kind_of, F.col("error_type")))
+    return checked.withColumn(name, all_errors(contract))
 
 
 def valid_rows(checked: DataFrame) -> DataFrame:

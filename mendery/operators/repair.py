@@ -192,6 +192,13 @@ class RepairLoop:
         return let(kinds, finish)
 
 
+@lru_cache(maxsize=32)
+def first_diagnosis(loop: RepairLoop) -> tuple[Column, Column, Column]:
+    """State at the start, failing fields and heuristic diagnosis, over columns ``__state`` and ``failing``."""
+    state = F.col("__state")
+    return loop.start(), loop.failing(state), loop.heuristic(state, F.col("failing"))
+
+
 @lru_cache(maxsize=32)
 def _whole_loop(loop: RepairLoop, max_attempts: int) -> Column:
     """Final state of a row. Columns are unresolved trees, so a built one serves any number of frames."""

@@ -22,7 +22,7 @@ from mendery.functions.labels import heal_time_text, humanise
 from mendery.functions.text import is_blank
 from mendery.operators import checks, faults
 from mendery.operators.external import parse_response
-from mendery.operators.repair import RepairLoop, candidate_fix, computed_once, repair_rows
+from mendery.operators.repair import RepairLoop, candidate_fix, computed_once, first_diagnosis, repair_rows
 from mendery.operators.row_index import with_row_index
 from mendery.plans import analytics, oracle
 from mendery.plans import outcomes as out
@@ -445,9 +445,10 @@ def diagnosed(spark: SparkSession, folder: str) -> DataFrame:
     marked = checks.check_duplicates(checked_orders(spark, folder), ORDERS, None)
     loop = RepairLoop(ORDERS, built_in_transforms(ORDERS))
     bad = checks.invalid_rows(marked).withColumn("__stripped_known", F.lit(False))
-    bad = computed_once(bad, __state=loop.start())
-    bad = computed_once(bad, failing=loop.failing(F.col("__state")))
-    return computed_once(bad, d=loop.heuristic(F.col("__state"), F.col("failing")))
+    start, failing, heuristic = first_diagnosis(loop)
+    bad = computed_once(bad, __state=start)
+    bad = computed_once(bad, failing=failing)
+    return computed_once(bad, d=heuristic)
 
 
 _WITH_DUPLICATES = """marked AS (SELECT * REPLACE (CASE WHEN error_type IS NULL AND row_number() OVER

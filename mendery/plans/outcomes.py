@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,15 +11,14 @@ from pyspark.sql import functions as F
 from mendery.contract import ORDERS, Contract, TransformRegistry, built_in_transforms
 from mendery.operators.checks import (
     FACTS,
+    all_errors,
     attach_facts,
     claim_facts,
     first_pass,
     invalid_rows,
     is_duplicate,
     is_healed_collision,
-    kind_of,
     valid_rows,
-    value_of,
 )
 from mendery.operators.diagnose import duplicate_diagnosis
 from mendery.operators.repair import MAX_ATTEMPTS, attempt_type, repair_rows
@@ -146,10 +146,10 @@ def clean_rows(settled: DataFrame, contract: Contract) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=64)
 def error_detail(contract: Contract) -> Column:
     """``field: message; field: message`` of the first pass."""
-    errors = contract.errors(value_of, kind_of, F.col("error_type"))
-    text = F.array_join(F.transform(errors, lambda e: F.concat(e["field"], F.lit(": "), e["msg"])), "; ")
+    text = F.array_join(F.transform(all_errors(contract), lambda e: F.concat(e["field"], F.lit(": "), e["msg"])), "; ")
     return F.when(text == "", F.lit("unknown error")).otherwise(text)
 
 
