@@ -17,7 +17,9 @@ BATCH_ROWS = 2_000
 BATCH_BYTES = "8m"
 
 # Words a worker remembers between documents; the memory is emptied when it is full, nothing is lost.
+# Longer words than REMEMBERED bytes are not kept, so the memory is bounded in bytes, too.
 KNOWN_WORDS = 400_000
+REMEMBERED = 128
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,9 +107,13 @@ class Words(dict):
     """Word (bytes) to a 64-bit hash, remembered between documents."""
 
     def __missing__(self, word: bytes) -> int:
+        return self.remember(word, xxhash.xxh3_64_intdigest(word))
+
+    def remember(self, word: bytes, value: int) -> int:
         if len(self) >= KNOWN_WORDS:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= REMEMBERED:
+            self[word] = value
         return value
 
     def hashes(self, words: list[bytes]) -> np.ndarray:

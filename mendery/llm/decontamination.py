@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendery.llm.common import KNOWN_WORDS, filter_rows, map_rows, shingles, table
+from mendery.llm.common import KNOWN_WORDS, REMEMBERED, filter_rows, map_rows, shingles, table
 
 WINDOW = 5
 MIN_COVERAGE = 0.8
@@ -51,6 +51,12 @@ class Forms(dict):
         self.kind = np.zeros(KNOWN_WORDS, np.uint8)
 
     def __missing__(self, word: bytes) -> int:
+        if len(word) > REMEMBERED:  # stands under its hash, so that the memory stays bounded in bytes
+            short = xxhash.xxh3_128_digest(word)
+            if short in self:
+                return self[short]
+        else:
+            short = word
         at = len(self)
         text = word.decode("utf-8", "replace")
         core = text.strip(_EDGE)
@@ -69,7 +75,7 @@ class Forms(dict):
         if text.rstrip("\"')]}*").endswith((".", "!", "?", ":")):
             kind |= _ENDS
         self.plain[at], self.kind[at] = plain, kind
-        self[word] = at
+        self[short] = at
         return at
 
     def read(self, words: list[bytes]) -> Template:

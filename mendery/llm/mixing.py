@@ -67,11 +67,8 @@ class Groups(Words):
     """Word to its topic group; remembered like hashes of words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
         core = word.strip(b".,;:!?()[]\"'").decode("utf-8", "replace").lower()
-        self[word] = value = xxhash.xxh3_64_intdigest(core.encode()) % TOPICS
-        return value
+        return self.remember(word, xxhash.xxh3_64_intdigest(core.encode()) % TOPICS)
 
 
 def topic_of(counts: np.ndarray, shares: np.ndarray) -> int:
