@@ -36,6 +36,9 @@ USUAL_LEVEL = 3  # where the recall is counted
 RECALL = 0.99999
 NODE = 64
 SKETCH = 64
+# Documents on either side of a block in which open documents meet the others of a crowded node: two sides of
+# sketches are 64 kB, their comparison 16 MB.
+SIDE = 512
 
 
 class Similarity(NamedTuple):
@@ -206,6 +209,13 @@ def confirm(work: DataFrame, classes: DataFrame, documents: DataFrame, similarit
     return map_rows(rows.repartition("node").sortWithinPartitions("node"), "a bigint, b bigint", make)
 
 
+def _nodes_by_tree(nodes: DataFrame, trees: int) -> DataFrame:
+    """(number, met): the node of each document in each tree, NULL where it has none here."""
+    met = nodes.groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("of"))
+    by_tree = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.col("of")[t])
+    return met.select("number", by_tree.alias("met"))
+
+
 def _blocks_with_common(crowded: DataFrame) -> DataFrame:
     """Crowded nodes in blocks of about NODE members that all hold the node's smallest document."""
     sizes = crowded.groupBy("node").agg(F.count("*").alias("n"), F.min("number").alias("common"))
@@ -217,29 +227,29 @@ def _blocks_with_common(crowded: DataFrame) -> DataFrame:
 
 
 def _open_blocks(crowded: DataFrame, labels: DataFrame) -> DataFrame:
-    """Blocks (node, number, side) that bring together every open document of a crowded node with all others.
+    """Blocks (node, tree, number, side) that bring together every open document of a crowded node with all
+    others.
 
-    Open are the documents outside the node's largest component. Both sides are numbered inside hash buckets
-    of about half a block; a block is a pair of buckets, so its size does not depend on that of the node.
+    Open are the documents outside the node's largest component. Both sides are dealt into hash buckets of
+    about SIDE documents; a block is a pair of buckets, so its size does not depend on that of the node.
     """
-    named = crowded.select("node", "number").join(labels.select(F.col("id").alias("number"), "component"), "number", "left")
-    named = named.select("node", "number", F.coalesce("component", "number").alias("component"))
+    named = crowded.select("tree", "node", "number").join(labels.select(F.col("id").alias("number"), "component"), "number", "left")
+    named = named.select("tree", "node", "number", F.coalesce("component", "number").alias("component"))
     groups = named.groupBy("node", "component").agg(F.count("*").alias("n"))
     nodes = groups.groupBy("node").agg(
         F.max(F.struct("n", (-F.col("component")).alias("c")))["c"].alias("largest"), F.sum("n").alias("n"), F.count("*").alias("parts"), F.max("n").alias("most")
     )
     live = named.join(nodes.filter("parts > 1").select("node", (-F.col("largest")).alias("largest"), "n", "most"), "node")
-    half = NODE // 2
     salt = F.xxhash64("number", "node")
-    buckets = F.ceil(F.col("n") / half)
-    open_buckets = F.ceil((F.col("n") - F.col("most")) / half)
+    buckets = F.ceil(F.col("n") / SIDE)
+    open_buckets = F.ceil((F.col("n") - F.col("most")) / SIDE)
     live = live.withColumns({"bucket": F.pmod(salt, buckets), "open_buckets": open_buckets, "buckets": buckets})
     is_open = F.col("component") != F.col("largest")
-    everyone = live.select("node", "number", "component", F.col("bucket"), F.explode(F.sequence(F.lit(0), F.col("open_buckets") - 1)).alias("facing"))
+    everyone = live.select("tree", "node", "number", "component", F.col("bucket"), F.explode(F.sequence(F.lit(0), F.col("open_buckets") - 1)).alias("facing"))
     asking = live.filter(is_open).select(
-        "node", "number", "component", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.pmod(F.xxhash64("node", "number"), F.col("open_buckets")).alias("facing")
+        "tree", "node", "number", "component", F.explode(F.sequence(F.lit(0), F.col("buckets") - 1)).alias("bucket"), F.pmod(F.xxhash64("node", "number"), F.col("open_buckets")).alias("facing")
     )
-    both = everyone.unionByName(asking).select(F.xxhash64("node", "bucket", "facing").alias("node"), "number", F.col("component").alias("side"))
+    both = everyone.unionByName(asking).select(F.xxhash64("node", "bucket", "facing").alias("node"), "tree", "number", F.col("component").alias("side"))
     return both.distinct()
 
 
@@ -252,11 +262,9 @@ def link_documents(documents: DataFrame, similarity: Similarity) -> tuple[DataFr
     classes = settle_table(classes, "near-classes")
     small, crowded = small_nodes(classes, similarity.trees)
     small = settle_table(small, "near-nodes")
-    met = small.groupBy("number").agg(F.map_from_entries(F.collect_list(F.struct("tree", "node"))).alias("of"))
-    met = met.select("number", F.transform(F.sequence(F.lit(0), F.lit(similarity.trees - 1)), lambda t: F.col("of")[t]).alias("met"))
     sketches = classes.select("number", "sketch")
     nothing = F.lit(None).cast("bigint").alias("side")
-    facts = sketches.join(met, "number")
+    facts = sketches.join(_nodes_by_tree(small, similarity.trees), "number")
     work = promising(small.join(facts, "number").select("node", "tree", "number", "sketch", "met", nothing), similarity)
 
     crowded = settle_table(crowded, "near-crowded")
@@ -266,7 +274,8 @@ def link_documents(documents: DataFrame, similarity: Similarity) -> tuple[DataFr
     links = settle_table(confirm(work, classes, documents, similarity), "near-links")
     labels = components(links)
     if not crowded.isEmpty():
-        still = _open_blocks(crowded, labels).join(sketches, "number").select("node", *no_tree, "side")
+        facts = sketches.join(_nodes_by_tree(crowded, similarity.trees), "number")
+        still = _open_blocks(crowded, labels).join(facts, "number").select("node", "tree", "number", "sketch", "met", "side")
         more = settle_table(confirm(promising(still, similarity), classes, documents, similarity), "near-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
