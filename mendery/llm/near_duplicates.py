@@ -173,11 +173,9 @@ def promising(members: DataFrame, similarity: Similarity) -> DataFrame:
     return map_rows(sorted_rows, "node bigint, number bigint", lambda: ByKey(one))
 
 
-def confirm(work: DataFrame, classes: DataFrame, documents: DataFrame, similarity: Similarity) -> DataFrame:
-    """Links (a, b) that span, in each node, what full sets connect."""
-    keyed = work.join(classes.select("number", "key_a"), "number")
-    texts = documents.select(F.col("doc_id").cast("bigint").alias("number"), "text").filter("text IS NOT NULL")
-    rows = keyed.join(texts, "number").select("node", "number", "key_a", "text")
+def confirm(work: DataFrame, texts: DataFrame, similarity: Similarity) -> DataFrame:
+    """Links (a, b) that span, in each node, what full sets connect; ``texts`` has number, key_a and text."""
+    rows = work.join(texts, "number").select("node", "number", "key_a", "text")
 
     def make():
         known = Words()
@@ -271,12 +269,18 @@ def link_documents(documents: DataFrame, similarity: Similarity) -> tuple[DataFr
     no_tree = [F.lit(None).cast("int").alias("tree"), "number", "sketch", F.lit(None).cast("array<bigint>").alias("met")]
     common = _blocks_with_common(crowded).join(sketches, "number")
     work = work.unionByName(promising(common.select("node", *no_tree, nothing), similarity))
-    links = settle_table(confirm(work, classes, documents, similarity), "near-links")
+    work = settle_table(work, "near-work")
+
+    # the texts that may be compared are taken out of the corpus once
+    wanted = work.select("number").union(crowded.select("number")).distinct().join(classes.select("number", "key_a"), "number")
+    bodies = documents.select(F.col("doc_id").cast("bigint").alias("number"), "text").filter("text IS NOT NULL")
+    texts = settle_table(bodies.join(wanted, "number"), "near-texts")
+    links = settle_table(confirm(work, texts, similarity), "near-links")
     labels = components(links)
     if not crowded.isEmpty():
         facts = sketches.join(_nodes_by_tree(crowded, similarity.trees), "number")
         still = _open_blocks(crowded, labels).join(facts, "number").select("node", "tree", "number", "sketch", "met", "side")
-        more = settle_table(confirm(promising(still, similarity), classes, documents, similarity), "near-links")
+        more = settle_table(confirm(promising(still, similarity), texts, similarity), "near-links")
         if not more.isEmpty():
             labels = components(links.unionByName(more))
     return read, labels
