@@ -23,8 +23,8 @@ def decimal_failure(value: Column, precision: int, scale: int) -> Column:
 
     Plain notation is settled by one pattern. Exponents, signs, underscores and over-long digit strings
     take a slower branch, which a CASE evaluates only for the rows that reach it. Everything here has
-    generated code: parts that are used more than once are written out again, because naming them would
-    need a higher-order function, and one such function takes a whole projection out of code generation.
+    generated code, and stays short: a higher-order function, or a method that grows too long, would take the
+    whole projection out of code generation.
     """
     whole = precision - scale
     plain = value.rlike(rf"^(?=[0-9.]*[1-9])[0-9]{{1,{whole}}}(?:[.][0-9]{{1,{scale}}})?\z")
@@ -32,23 +32,21 @@ def decimal_failure(value: Column, precision: int, scale: int) -> Column:
 
 
 def _digit_failure(text: Column, precision: int, scale: int) -> Column:
-    def part(group: int) -> Column:
-        return F.regexp_extract(text, _NUMBER, group)
-
-    # digits without leading zeros, the exponent that belongs to the last of them, and both again without
-    # the zeros at the end
-    digits = F.ltrim(F.concat(part(2), part(3)), F.lit("0"))
-    kept = F.length(F.rtrim(digits, F.lit("0")))
-    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(part(3)) + F.length(digits) - kept
-    places = F.greatest(-power, F.lit(0))
-    total = F.when(power >= 0, kept + power).otherwise(F.greatest(kept, places))
+    # an exponent is written out by a decimal wide enough for every number that could still be accepted
+    written = F.when(text.rlike("[eE]"), text.try_cast("decimal(38,18)").cast("string")).otherwise(text)
+    unsigned = F.ltrim(written, F.lit("+-0"))
+    # no sign, no zeros before the whole part, none after the fraction
+    digits = F.when(unsigned.contains("."), F.rtrim(F.rtrim(unsigned, F.lit("0")), F.lit("."))).otherwise(unsigned)
+    places = F.when(digits.contains("."), F.length(F.substring_index(digits, ".", -1))).otherwise(F.lit(0))
     return (
         F.when(text.rlike(_NOT_FINITE), F.lit("finite_number"))
         .when(~(text.rlike(_NUMBER) & text.rlike(_HAS_MANTISSA)), F.lit("decimal_parsing"))
-        .when(digits == "", F.lit("greater_than"))
-        .when(total > precision, F.lit("decimal_max_digits"))
+        .when(~text.rlike("^[^eE]*[1-9]"), F.lit("greater_than"))
+        # a number that the decimal cannot hold, or holds as zero, has more digits than any that is accepted
+        .when(digits.isNull() | (digits == ""), F.lit("decimal_max_digits"))
+        .when(F.length(F.replace(digits, F.lit("."), F.lit(""))) > precision, F.lit("decimal_max_digits"))
         .when(places > scale, F.lit("decimal_max_places"))
-        .when(total - places > precision - scale, F.lit("decimal_whole_digits"))
+        .when(F.length(F.substring_index(digits, ".", 1)) > precision - scale, F.lit("decimal_whole_digits"))
         .when(text.startswith("-"), F.lit("greater_than"))
     )
 

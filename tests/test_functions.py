@@ -279,3 +279,10 @@ def test_contract_stays_in_generated_code(spark, make_rows):
     checked = check_contract(make_rows({}, {"amount": "1e2"}, {"amount": "x"}), ORDERS)
     assert outside_codegen(checked.select("row_index", "fail_amount", "fail_order_date", "error_type")) == []
     assert outside_codegen(typed_rows(checked, ORDERS)) == []
+    # and that code compiles: without the fallback a method that is too long is an error
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        kinds = checked.filter("fail_amount IS NOT NULL").select("fail_amount", "error_type").collect()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+    assert [r.fail_amount for r in kinds] == ["decimal_parsing"]
