@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendery.contract import ORDERS
+from mendery.session import settle_table
 from mendery.sources.rows import normalise_columns, row_frame
 
 MESSY_SQL = """
@@ -68,9 +69,19 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_WRITTEN: dict[tuple[str, str], DataFrame] = {}
+
+
 def raw_orders(spark: SparkSession, folder: str) -> DataFrame:
-    """Messy orders as they arrive: untrimmed text, with run_id, row_index and mode."""
-    return spark.sql(MESSY_SQL, orders=table(spark, folder, "orders"))
+    """Messy orders as they arrive: untrimmed text, with run_id, row_index and mode.
+
+    Written once per session and folder, as arriving data would be: otherwise the long expressions of the
+    recipe are substituted into every rule that looks at a value.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = settle_table(spark.sql(MESSY_SQL, orders=table(spark, folder, "orders")), "messy-orders")
+    return _WRITTEN[key]
 
 
 def messy_orders(spark: SparkSession, folder: str) -> DataFrame:
