@@ -324,7 +324,8 @@ def without_near_duplicates(documents: DataFrame, similarity: Similarity) -> Dat
     repeated = (
         report.filter("kept AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__again")).agg(F.count("*").alias("n")).filter("n > 1")
     ).select("__again")
-    out = documents.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    # planned alike at every size: few ids would be broadcast on a small input and not on a large one
+    out = documents.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     if repeated.isEmpty():
         return out
     names = ["text", *[c for c in documents.columns if c != "text"]]
