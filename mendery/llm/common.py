@@ -133,9 +133,14 @@ def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     if n == 0:
         return hashes
     size = min(size, n)
-    out = np.full(n - size + 1, np.uint64(size))
-    for k in range(size):
-        out = mix(out * _MIX + hashes[k : n - size + 1 + k])
+    return one_run([hashes[k : n - size + 1 + k] for k in range(size)])
+
+
+def one_run(columns) -> np.ndarray:
+    """Hash of the run of words that each place of the columns holds, one word a column."""
+    out = np.full(len(columns[0]), np.uint64(len(columns)))
+    for words in columns:
+        out = mix(out * _MIX + words)
     return out
 
 

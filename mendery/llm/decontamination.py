@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mendery.llm.common import KNOWN_WORDS, REMEMBERED, filter_rows, map_rows, shingles, table
+from mendery.llm.common import KNOWN_WORDS, REMEMBERED, filter_rows, map_rows, one_run, shingles, table
 
 WINDOW = 5
 MIN_COVERAGE = 0.8
@@ -119,15 +119,10 @@ class Template(NamedTuple):
             return own, np.arange(n), np.zeros(n, bool)
         size = min(WINDOW, len(self.hashes))
         stack = np.stack([self.plain[at], *[self.hashes[at + k] for k in range(1, size)]])
-        other = _combine(stack, size)
+        other = one_run(stack)
         return np.concatenate([own, other]), np.concatenate([np.arange(n), at]), np.concatenate([np.zeros(n, bool), np.ones(len(at), bool)])
 
 
-def _combine(stack: np.ndarray, size: int) -> np.ndarray:
-    flat = np.ascontiguousarray(stack.T).ravel()
-    return np.concatenate([shingles(flat[i : i + size], size) for i in range(0, len(flat), size)])
-
-
 class Block(NamedTuple):
     """Windows of some benchmark items, sorted by hash."""
 
