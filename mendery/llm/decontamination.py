@@ -2,10 +2,17 @@
 
 Words become typed placeholders where a question could be re-parameterised: numbers, names (capitalised
 inside a sentence) and units (after a number). Windows of ``WINDOW`` canonical words of the benchmark are
-hash-joined with those of every document. Hits are then lined up with the item (same difference of
-positions, give or take ``DRIFT``), and slots are checked: within one alignment a value of the item must
-stand for one value of the document and the other way round. An item counts as leaked when at least
-``MIN_COVERAGE`` of its windows match consistently; it is ``reparameterised`` when a slot value differs.
+hash-joined with those of every document. Around the hits the item is lined up with the text word by word:
+runs of equal canonical words, in order, whose differences of positions change by at most ``DRIFT`` from run
+to run, so that changed, added and dropped words only cost themselves. Slots are checked: within one
+alignment a value of the item must stand for one value of the document and the other way round, and words
+where it does not are taken out. An item counts as leaked when of its words, lined up like this,
+
+- at least ``MIN_COVERAGE`` match, whatever the values of their slots, or
+- at least ``MIN_PART``, and ``MIN_WORDS`` of them, stand as they are, or
+- ``LONG_RUN`` stand as they are in one run (slots with other values inside do not count, nor break it).
+
+An item of up to ``MIN_WORDS`` words must match whole. It is ``reparameterised`` when a slot value differs.
 """
 
 from __future__ import annotations
@@ -23,9 +30,13 @@ from mendery.llm.common import KNOWN_WORDS, REMEMBERED, filter_rows, map_rows, o
 
 WINDOW = 5
 MIN_COVERAGE = 0.8
+MIN_PART = 0.5
+MIN_WORDS = 8
+LONG_RUN = 15
 DRIFT = 6
+PIECE = 2  # words of a run that is lined up beside a window
 # The benchmark is joined in blocks of at most so many words, each broadcast to all documents in turn, so
-# what is sent out is bounded whatever the size of the benchmark (about 60 MB a block).
+# what is sent out is bounded whatever the size of the benchmark (about 80 MB a block).
 BLOCK_WORDS = 1_000_000
 
 # Words for numbers and common units.
@@ -40,13 +51,16 @@ _NUMBER = re.compile(r"[+-]?[$€£]?[0-9][0-9.,:/]*(?:st|nd|rd|th|%)?")
 _QUANTITY = re.compile(r"[+-]?[$€£]?[0-9][0-9.,]*([a-z/°%]+)")
 _EDGE = "\"'`.,;:!?()[]{}<>#*$&|~^=\\-_"
 _NUM, _NAME, _UNIT, _QTY = (np.uint64(xxhash.xxh3_64_intdigest(b"<%s>" % x)) for x in (b"num", b"name", b"unit", b"qty"))
+_BARE = np.uint64(xxhash.xxh3_64_intdigest(b""))  # words of punctuation only
 _IS_NUM, _IS_NAME, _IS_UNIT, _ENDS = 1, 2, 4, 8
 
 
 class Forms(dict):
-    """Raw word (bytes) to a row of the arrays: its hash as a plain word, its kinds, whether it ends a sentence."""
+    """Raw word (bytes) to a row of the arrays: its own hash, its hash as a plain word, its kinds, whether it ends
+    a sentence."""
 
     def __init__(self):
+        self.word = np.zeros(KNOWN_WORDS, np.uint64)
         self.plain = np.zeros(KNOWN_WORDS, np.uint64)
         self.kind = np.zeros(KNOWN_WORDS, np.uint8)
 
@@ -62,7 +76,7 @@ class Forms(dict):
         core = text.strip(_EDGE)
         low = core.lower()
         kind = 0
-        plain = np.uint64(xxhash.xxh3_64_intdigest(low.encode()))
+        own = plain = np.uint64(xxhash.xxh3_64_intdigest(low.encode()))
         if _NUMBER.fullmatch(core) or low in NUMBER_WORDS:
             kind, plain = _IS_NUM, _NUM
         elif (m := _QUANTITY.fullmatch(low)) and m[1] in UNITS:
@@ -74,7 +88,7 @@ class Forms(dict):
                 kind |= _IS_NAME
         if text.rstrip("\"')]}*").endswith((".", "!", "?", ":")):
             kind |= _ENDS
-        self.plain[at], self.kind[at] = plain, kind
+        self.word[at], self.plain[at], self.kind[at] = own, plain, kind
         self[short] = at
         return at
 
@@ -84,9 +98,9 @@ class Forms(dict):
         if len(words) > KNOWN_WORDS:  # one text with more words than the memory holds: in pieces
             cut = KNOWN_WORDS // 2
             parts = [self._arrays(words[i : i + cut]) for i in range(0, len(words), cut)]
-            plain, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
+            word, plain, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
         else:
-            plain, kind = self._arrays(words)
+            word, plain, kind = self._arrays(words)
         start = np.ones(len(words), bool)
         start[1:] = (kind[:-1] & _ENDS) > 0
         after_number = np.zeros(len(words), bool)
@@ -94,13 +108,13 @@ class Forms(dict):
         name = ((kind & _IS_NAME) > 0) & ~start
         unit = ((kind & _IS_UNIT) > 0) & after_number
         hashes = np.where(unit, _UNIT, np.where(name, _NAME, plain))
-        return Template(hashes, plain, unit | name | ((kind & _IS_NUM) > 0), name)
+        return Template(hashes, plain, unit | name | ((kind & _IS_NUM) > 0), name, word)
 
-    def _arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _arrays(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(self) + len(words) > KNOWN_WORDS:
             self.clear()
         at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.plain[at], self.kind[at]
+        return self.word[at], self.plain[at], self.kind[at]
 
 
 class Template(NamedTuple):
@@ -108,16 +122,17 @@ class Template(NamedTuple):
     plain: np.ndarray
     slot: np.ndarray  # whether a word is a placeholder
     name: np.ndarray
+    word: np.ndarray  # hashes of the words as they are
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hashes and starts of all windows. A window that opens with a name is also taken with that word
         plain: at the start of a quoted passage a capital is no sign of a name. The last array tells these."""
-        own = shingles(self.hashes, WINDOW)
+        own = shingles(self.hashes, size)
         n = len(own)
         at = np.flatnonzero(self.name[:n])
         if not len(at):
             return own, np.arange(n), np.zeros(n, bool)
-        size = min(WINDOW, len(self.hashes))
+        size = min(size, len(self.hashes))
         stack = np.stack([self.plain[at], *[self.hashes[at + k] for k in range(1, size)]])
         other = one_run(stack)
         return np.concatenate([own, other]), np.concatenate([np.arange(n), at]), np.concatenate([np.zeros(n, bool), np.ones(len(at), bool)])
@@ -129,7 +144,8 @@ class Block(NamedTuple):
     hashes: np.ndarray
     item: np.ndarray
     place: np.ndarray
-    items: list[tuple[int, list[bytes], int]]  # id, words, number of windows
+    items: list[tuple[int, list[bytes], Template]]
+    sizes: list[int]  # of the windows
     filter: np.ndarray  # by the upper 20 bits of a hash: whether any window has them
 
     def hits(self, hashes: np.ndarray) -> np.ndarray:
@@ -141,24 +157,31 @@ class Block(NamedTuple):
         return maybe[self.hashes[at] == hashes[maybe]]
 
 
+def seed_size(n: int) -> int:
+    """Words of a window of an item of n words: one edit in an item that need not match whole spares one."""
+    return min(WINDOW, n if n <= MIN_WORDS else n // 2)
+
+
 def build_block(items: list[tuple[int, bytes]]) -> Block:
-    forms, hashes, item, place, kept = Forms(), [], [], [], []
+    forms, hashes, item, place, kept, sizes = Forms(), [], [], [], [], set()
     for item_id, text in sorted(items):
         words = text.split()
         if not words:
             continue
-        own = shingles(forms.read(words).hashes, WINDOW)
+        template, size = forms.read(words), seed_size(len(words))
+        own = shingles(template.hashes, size)
         hashes.append(own)
         item.append(np.full(len(own), len(kept)))
         place.append(np.arange(len(own)))
-        kept.append((item_id, words, len(own)))
+        kept.append((item_id, words, template))
+        sizes.add(size)
     found = np.zeros(1 << 20, bool)
     if not kept:
-        return Block(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], found)
+        return Block(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], [], found)
     h, i, p = np.concatenate(hashes), np.concatenate(item), np.concatenate(place)
     order = np.argsort(h, kind="stable")
     found[(h >> np.uint64(44)).astype(np.int64)] = True
-    return Block(h[order], i[order], p[order], kept, found)
+    return Block(h[order], i[order], p[order], kept, sorted(sizes), found)
 
 
 class Leak(NamedTuple):
@@ -180,67 +203,126 @@ def find_leaks(words: list[bytes], forms: Forms, block: Block) -> list[Leak]:
     if not words:
         return []
     template = forms.read(words)
-    hashes, starts, _ = template.windows()
-    hit = block.hits(hashes)
-    if not len(hit):
-        return []
-    lined: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for h in hit.tolist():
-        value, p = hashes[h], int(starts[h])
-        for k in range(np.searchsorted(block.hashes, value), np.searchsorted(block.hashes, value, "right")):
-            lined[int(block.item[k])].append((p - int(block.place[k]), p))
+    shifts: dict[int, set[int]] = defaultdict(set)
+    for size in block.sizes:
+        if size > len(words):
+            continue
+        hashes, starts, _ = template.windows(size)
+        for h in block.hits(hashes).tolist():
+            value, p = hashes[h], int(starts[h])
+            for k in range(np.searchsorted(block.hashes, value), np.searchsorted(block.hashes, value, "right")):
+                shifts[int(block.item[k])].add(p - int(block.place[k]))
     out = []
-    for i, pairs in lined.items():
-        item_id, item_words, total = block.items[i]
+    for i, lined in shifts.items():
+        item_id, item_words, item = block.items[i]
         if len(item_words) < WINDOW and len(words) > len(item_words):
             continue  # a short item is one window of another size and can only match a text as short
-        best: Leak | None = None
-        for group in _alignments(sorted(set(pairs))):
-            found = _consistent(group, words, item_words, template, total, item_id)
-            if found and (best is None or found.n_matched > best.n_matched):
-                best = found
-        if best and best.n_matched >= MIN_COVERAGE * total:
-            out.append(best)
+        for pieces in _alignments(item, template, lined):
+            found = _consistent(pieces, words, item_words, template, item, item_id)
+            if found:
+                out.append(found)
+                break
     return sorted(out)
 
 
-def _alignments(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Hits whose difference of positions stays within DRIFT of the one before."""
-    groups: list[list[tuple[int, int]]] = []
-    for pair in pairs:
-        if groups and pair[0] - groups[-1][-1][0] <= DRIFT:
-            groups[-1].append(pair)
-        else:
-            groups.append([pair])
-    return groups
+class Piece(NamedTuple):
+    """Words start to end of the item that equal those of the text, ``shift`` words further on."""
+
+    start: int
+    end: int
+    shift: int
+
+
+def _pieces(item: Template, text: Template, shift: int) -> list[tuple[Piece, np.ndarray]]:
+    """Runs of equal words at one difference of positions, with the count of words that stand as they are
+    before each of their words."""
+    a, b = max(0, -shift), min(len(item.word), len(text.word) - shift)
+    if b <= a:
+        return []
+    same = item.word[a:b] == text.word[a + shift : b + shift]
+    equal = same | (item.hashes[a:b] == text.hashes[a + shift : b + shift])
+    ends = np.flatnonzero(np.diff(np.concatenate([[False], equal, [False]]).view(np.int8))).tolist()
+    least = PIECE if len(item.word) > MIN_WORDS + 1 else 1  # with one edit, every other word of 9 counts
+    runs = [(i, j) for i, j in zip(ends[::2], ends[1::2], strict=True) if j - i >= least]
+    if not runs:
+        return []
+    counts = np.concatenate([[0], np.cumsum(same & (item.word[a:b] != _BARE))])
+    return [(Piece(a + i, a + j, shift), counts[i : j + 1] - counts[i]) for i, j in runs]
+
+
+def _alignments(item: Template, text: Template, shifts: set[int]) -> list[list[Piece]]:
+    """Chains of runs, in order in the item and in the text, each within DRIFT of the one before: the one
+    with most words, and the one that ends in the run with most words that stand as they are."""
+    near = sorted({s + d for s in shifts for d in range(-DRIFT, DRIFT + 1)})
+    runs = sorted((x for s in near for x in _pieces(item, text, s)), key=lambda x: (x[0].end, x[0].shift))
+    by_shift: dict[int, list[int]] = defaultdict(list)
+    best: list[tuple[int, int]] = []  # words that match and, again, those that stand; runs, fewer first
+    before: list[tuple[int, int]] = []  # the run before, and where this one starts after it
+    for k, (run, counts) in enumerate(runs):
+        value, prior = (run.end - run.start + int(counts[-1]), 0), (-1, run.start)
+        for s in range(run.shift - DRIFT, run.shift + DRIFT + 1):
+            for j in by_shift.get(s, ()):
+                start = max(run.start, runs[j][0].end + max(0, s - run.shift))
+                if start < run.end:
+                    gain = run.end - start + int(counts[-1] - counts[start - run.start])
+                    other = (best[j][0] + gain, best[j][1] - 1)
+                    if other > value:
+                        value, prior = other, (j, start)
+        by_shift[run.shift].append(k)
+        best.append(value)
+        before.append(prior)
+    out = []
+    first = lambda k: (-runs[k][0].shift, -k)
+    most = max(range(len(runs)), key=lambda k: (best[k], first(k)), default=-1)
+    longest = max(range(len(runs)), key=lambda k: (int(runs[k][1][-1]), best[k], first(k)), default=-1)
+    for k in [most, longest] if most != longest else [most]:
+        chain = []
+        while k >= 0:
+            j, start = before[k]
+            chain.append(Piece(start, runs[k][0].end, runs[k][0].shift))
+            k = j
+        if chain:
+            out.append(chain[::-1])
+    return out
 
 
-def _consistent(group, words, item_words, template, total, item_id) -> Leak | None:
-    """Windows of one alignment whose slot values agree with the value most windows give."""
-    size = min(WINDOW, len(item_words))
+def _consistent(pieces, words, item_words, template, item, item_id) -> Leak | None:
+    """The leak that an alignment gives, of its words whose slot values agree with the value most words give."""
     votes: dict[str, Counter] = defaultdict(Counter)
-    filled = []
-    for shift, p in group:
-        q = p - shift
-        pairs = [
-            (_value(item_words[q + k]), _value(words[p + k])) for k in range(size) if template.slot[p + k]
-        ]
-        filled.append((q, p, pairs))
-        for a, b in pairs:
+    filled = {}
+    for start, end, shift in pieces:
+        for q in (start + np.flatnonzero(item.slot[start:end] | template.slot[start + shift : end + shift])).tolist():
+            a, b = filled[q] = _value(item_words[q]), _value(words[q + shift])
             votes[a][b] += 1
     chosen = {a: max(c.items(), key=lambda x: (x[1], x[0]))[0] for a, c in votes.items()}
     back: dict[str, str] = {}
     for a in sorted(chosen, key=lambda a: (-votes[a][chosen[a]], a)):
         back.setdefault(chosen[a], a)
-    good = [(q, p) for q, p, pairs in filled if all(chosen[a] == b and back[b] == a for a, b in pairs)]
-    if not good:
+    lost = {q for q, (a, b) in filled.items() if chosen[a] != b or back[b] != a}
+    n = len(item_words)
+    good, stands = np.zeros(n, bool), np.zeros(n, bool)
+    size, matched, longest, places = min(WINDOW, n), 0, 0, []
+    for start, end, shift in pieces:
+        cuts = [start - 1, *sorted(q for q in lost if start <= q < end), end]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            i += 1
+            if i >= j:
+                continue
+            good[i:j] = True
+            stands[i:j] = (item.word[i:j] == template.word[i + shift : j + shift]) & (item.word[i:j] != _BARE)
+            longest = max(longest, int(stands[i:j].sum()))
+            matched += max(0, j - i - size + 1)
+            places += [i + shift, j + shift]
+    covered, standing = int(good.sum()), int(stands.sum())
+    if n <= MIN_WORDS:
+        leaked = covered == n
+    else:
+        leaked = covered >= MIN_COVERAGE * n or standing >= max(MIN_WORDS, MIN_PART * n) or longest >= LONG_RUN
+    if not leaked:
         return None
-    places = {q for q, _ in good}
-    used = {a: b for a, b in chosen.items() if back[b] == a}
-    changed = {a: b for a, b in used.items() if a != b}
-    first, last = min(p for _, p in good), max(p for _, p in good) + size
-    slots = ",".join(f"{a}>{b}" for a, b in sorted(changed.items()))
-    return Leak(item_id, total, len(places), first, last, bool(changed), slots)
+    changed = sorted({(a, b) for q, (a, b) in filled.items() if q not in lost and a != b})
+    slots = ",".join(f"{a}>{b}" for a, b in changed)
+    return Leak(item_id, n - size + 1, matched, min(places), max(places), bool(changed), slots)
 
 
 def blocks(benchmark: DataFrame) -> list[Block]:
@@ -264,7 +346,7 @@ SCHEMA = (
 
 def leaks(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and leaked item: (doc_id, item_id), windows of the item, matched windows, the
-    words of the document they cover, whether slots were re-parameterised and how.
+    words of the document from the first to the last that match, whether slots were re-parameterised and how.
 
     Null and empty texts leak nothing, on either side; a document without an id keeps its null. Repeated
     rows and items give repeated results; an empty table on either side gives none; other columns are not

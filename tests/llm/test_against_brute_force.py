@@ -247,6 +247,35 @@ def test_blocks_of_the_benchmark_give_the_same(spark, make_documents, prose, mon
     assert [r[:2] for r in whole] == [(i, i) for i, _ in docs]
 
 
+def leaked_items(text, items):
+    block = decontamination.build_block([(i, t.encode()) for i, t in enumerate(items)])
+    return [x.item_id for x in decontamination.find_leaks(text.encode().split(), decontamination.Forms(), block)]
+
+
+@pytest.mark.parametrize("n", [9, 10, 15, 28])
+def test_items_with_one_edit_are_leaks(prose, n):
+    words = prose(n, 300 + n)
+    for i in range(n):
+        for edited in (words[:i] + ["other"] + words[i + 1 :], words[:i] + words[i + 1 :], words[:i] + ["other"] + words[i:]):
+            text = " ".join(prose(40, i) + edited + prose(40, 90 + i))
+            assert leaked_items(text, [" ".join(words)]) == [0], (i, edited)
+
+
+def test_long_passages_of_items_are_leaks(prose):
+    words = prose(59, 400)
+    spread = [w if i % 14 else "other" for i, w in enumerate(words)]
+    for passage, leaked in ((words[10:50], True), (words[20:35], True), (words[20:34], False), (spread, True), (words[::-1], False)):
+        text = " ".join(prose(40, 5) + passage + prose(40, 6))
+        assert leaked_items(text, [" ".join(words)]) == [0] * leaked, passage
+    assert leaked_items(" ".join(prose(5000, 7)), [" ".join(words)]) == []
+
+
+def test_numbers_alone_are_no_passage():
+    row = lambda k: " ".join(str(k + 7 * i) for i in range(20))
+    item = f"which of these numbers is the largest one that three divides {row(100)} and why would that hold for every other row of it"
+    assert leaked_items(f"a table of it {row(5)} and so on", [item]) == []
+
+
 # --- op10
 
 
