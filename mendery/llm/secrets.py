@@ -2,8 +2,9 @@
 
 A layer is a text with, for each of its characters, the part of the document it came from. Layer 0 is the
 document. Each layer is scanned for secrets and for encoded regions: runs with percent escapes, runs with
-Unicode escapes, and base64 runs, whose bytes may be gzip or zlib streams. Every region becomes a new layer,
-until no layer yields another (a fixpoint). Layers already seen in the document are not taken again, which
+Unicode escapes, and base64 runs, on one line or wrapped over lines, whose bytes may be gzip or zlib streams
+of any number of members. Every region becomes a new layer, until no layer yields another (a fixpoint). What a
+large stream holds is unpacked and scanned piece by piece. Layers already seen in the document are not taken again, which
 ends cycles such as a text that decodes to itself. A secret found below layer 0 is reported at the part of
 the document that it came from: exact characters through escapes, the covering characters through base64,
 the whole run through a compressed stream.
@@ -13,9 +14,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import re
 import zlib
 from collections import deque
+from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,12 +37,27 @@ MIN_VALUE, MIN_ACCESS = 6, 20
 _HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+LEAST = 16  # characters of a run
+# The end of a line and whole lines after it, of one alphabet, so that "-----END" is no part of them.
+WRAPPED = [
+    re.compile(
+        rf"(?<![{x}])[{x}]++(?:[ \t]*+(?:\r\n|\n|\r)[ \t]*+(?!-----)[{x}]++(?=[=\"',;<>)\]}}]|[ \t]*+(?:[\r\n]|\Z)))++"
+        r"(?:(?:[ \t]*+(?:\r\n|\n|\r)[ \t]*+)?={1,2})?"
+    )
+    for x in ("A-Za-z0-9+/", "A-Za-z0-9_-")
+]
+_LINE = re.compile(r"[^\s]+")
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
-# A stream that unpacks to more than this is refused and counted in n_refused, so that a small text cannot
-# fill a worker's memory. It is a guard of the decoder; texts themselves have no limit.
+# A stream that unpacks to more than this becomes several layers, so that a small text cannot fill a worker's
+# memory. Neighbouring pieces share OVERLAP characters: what is shorter stands whole in one of them.
 MAX_UNPACKED = 16 << 20
+PIECE, OVERLAP = 8 << 20, 1 << 20
+CHUNK = 1 << 20
+# Large streams inside one another, each counting as one level: a deeper one is refused and counted in
+# n_refused. Only a stream made to unpack without end comes there.
+MAX_LEVELS = 64
 
 Span = tuple[int, int, str]
 
@@ -62,10 +81,10 @@ class Layer:
     """Decoded text. ``at[i]`` and ``to[i]`` bound the part of the document that character i came from; a
     layer out of a compressed stream comes from one part as a ``whole``."""
 
-    __slots__ = ("text", "at", "to", "whole")
+    __slots__ = ("text", "at", "to", "whole", "piece")
 
-    def __init__(self, text: str, at=None, to=None, whole: tuple[int, int] | None = None):
-        self.text, self.at, self.to, self.whole = text, at, to, whole
+    def __init__(self, text: str, at=None, to=None, whole: tuple[int, int] | None = None, piece: bool = False):
+        self.text, self.at, self.to, self.whole, self.piece = text, at, to, whole, piece
 
     def part(self, start: int, end: int) -> tuple[int, int]:
         return self.whole or (min(self.at[start:end]), max(self.to[start:end]))
@@ -75,9 +94,16 @@ class Layer:
             return Layer(self.text[start:end], whole=self.whole)
         return Layer(self.text[start:end], self.at[start:end], self.to[start:end])
 
+    def join(self, parts: list[tuple[int, int]]) -> Layer:
+        """Parts of the layer without what stands between them."""
+        text = "".join(self.text[a:b] for a, b in parts)
+        if self.whole:
+            return Layer(text, whole=self.whole)
+        return Layer(text, [x for a, b in parts for x in self.at[a:b]], [x for a, b in parts for x in self.to[a:b]])
+
 
-def _readable(text: str) -> bool:
-    odd = sum(not (c.isprintable() or c in "\n\r\t") for c in text)
+def _readable(text: str, odd: int = 0) -> bool:
+    odd += sum(not (c.isprintable() or c in "\n\r\t") for c in text)
     return bool(text) and odd * 20 <= len(text)
 
 
@@ -124,18 +150,60 @@ def _utf8(raw: bytes) -> bool:
         return False
 
 
-def _unpack(raw: bytes) -> bytes | None:
-    """Content of a gzip or zlib stream; None if it is none, ValueError beyond MAX_UNPACKED."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0):
-        return None
-    engine = zlib.decompressobj(wbits=47)
-    try:
-        out = engine.decompress(raw, MAX_UNPACKED)
-    except zlib.error:
-        return None
-    if engine.unconsumed_tail:
-        raise ValueError("stream unpacks to more than the limit")
-    return out
+def _is_stream(raw: bytes) -> bool:
+    return raw[:2] == b"\x1f\x8b" or (raw[:1] == b"\x78" and len(raw) > 1 and int.from_bytes(raw[:2], "big") % 31 == 0)
+
+
+def _unpack(source: Iterator[bytes]) -> Iterator[bytes]:
+    """Content of the gzip and zlib streams that stand one after the other, in chunks; nothing if there is
+    none. Zeros between them are padding; the content ends where no stream follows."""
+    data = next(source, b"")
+    first = True
+    while True:
+        while len(data) < 2:
+            more = next(source, b"")
+            if not more:
+                return
+            data += more
+            if not first:
+                data = data.lstrip(b"\0")
+        if not _is_stream(data):
+            return
+        engine = zlib.decompressobj(wbits=47)
+        while not engine.eof:
+            try:
+                out = engine.decompress(data, CHUNK)
+            except zlib.error:
+                return
+            if out:
+                yield out
+            data = engine.unconsumed_tail
+            if not (data or out or engine.eof):
+                data = next(source, b"")
+                if not data:
+                    return
+        data, first = engine.unused_data.lstrip(b"\0"), False
+
+
+def _large(source: Iterator[bytes], whole: tuple[int, int], refused: list) -> Iterator[Layer]:
+    """Layers of a stream of any size, from the chunks of its content."""
+    for _ in range(MAX_LEVELS):
+        head = next(source, b"")
+        source = chain([head], source)
+        if not _is_stream(head) or next(_unpack(iter([head])), None) is None:
+            break
+        source = _unpack(source)
+    else:
+        refused.append(whole)
+        return
+    decoder, text, fresh = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+    for data in chain(source, [b""]):
+        new = decoder.decode(data, not data)
+        text, fresh = text + new, fresh + len(new)
+        if fresh and (len(text) >= PIECE or not data):
+            if _readable(text, text.count("\ufffd")):
+                yield Layer(text, whole=whole, piece=True)
+            text, fresh = text[-OVERLAP:], 0
 
 
 def _base64(run: str) -> bytes | None:
@@ -150,29 +218,32 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
-def unwrap(layer: Layer) -> tuple[Layer | None, bool]:
-    """The text inside a base64 run, if it has one, and whether a stream was refused."""
+def unwrap(layer: Layer, refused: list) -> Iterator[Layer]:
+    """The text inside a base64 run, if it has one: a layer, or several of a large stream."""
     raw = _base64(layer.text)
     if raw is None:
-        return None, False
+        return
     packed: set[bytes] = set()  # a stream that unpacks to itself ends here
-    while raw not in packed:
-        try:
-            inner = _unpack(raw)
-        except ValueError:
-            return None, True
-        if inner is None:
+    while raw not in packed and _is_stream(raw):
+        chunks, inner = _unpack(iter([raw])), bytearray()
+        for data in chunks:
+            inner += data
+            if len(inner) > MAX_UNPACKED:
+                yield from _large(chain([bytes(inner)], chunks), layer.part(0, len(layer.text)), refused)
+                return
+        if not inner:
             break
         packed.add(raw)
-        raw = inner
+        raw = bytes(inner)
     try:
         text = raw.decode()
     except UnicodeDecodeError:
-        return None, False
+        return
     if not _readable(text):
-        return None, False
+        return
     if packed or layer.whole:
-        return Layer(text, whole=layer.part(0, len(layer.text))), False
+        yield Layer(text, whole=layer.part(0, len(layer.text)))
+        return
     at, to, b, n = [], [], 0, len(layer.text)
     for c in text:
         width = len(c.encode())
@@ -180,43 +251,84 @@ def unwrap(layer: Layer) -> tuple[Layer | None, bool]:
         at.append(part[0])
         to.append(part[1])
         b += width
-    return Layer(text, at, to), False
-
-
-def _encoded(layer: Layer) -> tuple[list[Layer], int]:
-    """One step of decoding: the layers inside a layer, and the number of refused streams."""
-    out, refused, text = [], 0, layer.text
+    yield Layer(text, at, to)
+
+
+def _blobs(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Lines of base64 that may belong together: of one width, but for the first, which may follow other
+    text, and the last, which may be shorter."""
+    runs = {m.span(): m for x in WRAPPED for m in x.finditer(text)}
+    for _, m in sorted(runs.items()):
+        lines = [(m.start() + x.start(), m.start() + x.end()) for x in _LINE.finditer(m[0])]
+        k = 0
+        while k < len(lines) - 1:
+            last, width = k + 1, lines[k + 1][1] - lines[k + 1][0]
+            if width >= lines[k][1] - lines[k][0] or (lines[k][0] > 0 and text[lines[k][0] - 1] not in " \t\r\n"):
+                while last + 1 < len(lines) and lines[last][1] - lines[last][0] == width >= lines[last + 1][1] - lines[last + 1][0]:
+                    last += 1
+            yield lines[k : last + 1]
+            k = last
+
+
+def _encoded(layer: Layer, refused: list) -> Iterator[Layer]:
+    """One step of decoding: the layers inside a layer, one after the other."""
+    text = layer.text
     if "%" in text or "\\" in text:
         done = 0
         for m in ESCAPE.finditer(text):
             if m.start() >= done:  # the line with escapes, as a whole
                 start, end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
                 done = end if end >= 0 else len(text)
-                out.append(_unescape(layer.cut(start, done)))
+                yield _unescape(layer.cut(start, done))
+    taken: list[tuple[int, int]] = []  # streams that are unpacked whole, so not line by line
+    for lines in _blobs(text):
+        # a word may stand on the line before or after
+        for part in (lines, lines[:-1], lines[1:], lines[1:-1]):
+            if len(part) < 2 or sum(b - a for a, b in part) < LEAST:
+                continue
+            run, found = layer.join(part), False
+            for inner in unwrap(run, refused):
+                if not found and (inner.piece or (inner.whole and not layer.whole)):
+                    taken.append((part[0][0], part[-1][1]))
+                found = True
+                yield inner
+            if found:
+                break
+    k = 0
+    taken.sort()
     for m in BASE64.finditer(text):
-        inner, refuse = unwrap(layer.cut(m.start(), m.end()))
-        refused += refuse
-        if inner:
-            out.append(inner)
-    return out, refused
+        while k < len(taken) and taken[k][1] <= m.start():
+            k += 1
+        if k == len(taken) or m.start() < taken[k][0]:
+            yield from unwrap(layer.cut(m.start(), m.end()), refused)
 
 
 def find_secrets(text: str) -> tuple[list[Span], list[Span], int, int]:
     """Base spans, all spans, number of decoded layers, number of refused streams."""
     base = scan(text)
-    found, seen, refused = set(base), {(text, 0)}, 0
-    work = deque([Layer(text, range(len(text)), range(1, len(text) + 1))])
-    while work:
-        layer = work.popleft()
-        inner, n = _encoded(layer)
-        refused += n
-        for new in inner:
-            key = (new.text, new.part(0, 1)[0] if new.text else 0)
-            if new.text and key not in seen:
-                seen.add(key)
-                work.append(new)
-                found.update((*new.part(start, end), kind) for start, end, kind in scan(new.text))
-    return base, sorted(found, key=_order), len(seen) - 1, refused
+    found, refused = set(base), []
+    seen = {_key(text, 0)}
+
+    def settle(first: Layer) -> None:
+        work = deque([first])
+        while work:
+            for new in _encoded(work.popleft(), refused):
+                key = _key(new.text, new.part(0, 1)[0] if new.text else 0)
+                if new.text and key not in seen:
+                    seen.add(key)
+                    found.update((*new.part(start, end), kind) for start, end, kind in scan(new.text))
+                    if new.piece:  # at once, so that one piece of a large stream is held at a time
+                        settle(new)
+                    else:
+                        work.append(new)
+
+    settle(Layer(text, range(len(text)), range(1, len(text) + 1)))
+    return base, sorted(found, key=_order), len(seen) - 1, len(refused)
+
+
+def _key(text: str, start: int) -> tuple[str, int]:
+    """A layer already seen; of a long text only its hash is held."""
+    return (text if len(text) <= CHUNK else sha256(text.encode("utf-8", "surrogatepass"))), start
 
 
 SCHEMA = (

@@ -120,6 +120,48 @@ def test_escapes_map_to_exact_spans_and_cycles_end():
     assert secrets.find_secrets("QUFB" * 5000)[1] == []
 
 
+def wrapped(raw, width, indent="", end="\n"):
+    blob = base64.b64encode(raw).decode()
+    return end.join(indent + blob[i : i + width] for i in range(0, len(blob), width))
+
+
+@pytest.mark.parametrize("width", [64, 76])
+@pytest.mark.parametrize("place", range(30, 100, 7))
+def test_base64_goes_over_lines(width, place):
+    lines = f"{'x' * place} {SECRET} and the rest of a letter that goes on for a while longer than one line".encode()
+    for indent, end in (("", "\n"), ("    ", "\n"), ("", "\r\n")):
+        for before, after in (("-----BEGIN X-----\n", "\n-----END X-----"), ("see ", "\nThanks\nall"), ("data: |\n", "\n")):
+            blob = wrapped(lines, width, indent, end)
+            text = before + blob + after
+            spans = secrets.find_secrets(text)[1]
+            raw = lambda s, e: base64.b64decode(re.sub(r"\s", "", text[s:e]) + "==")
+            at = len(before)
+            assert any(at <= s < e <= at + len(blob) and b"abcdef1234" in raw(s - len(re.sub(r"\s", "", text[at:s])) % 4, e) for s, e, _ in spans), (before, indent, end)
+
+
+def noise(n):
+    return "".join(random.Random(n).choices("ghijklmnopqrstuvwxyz ", k=n))
+
+
+def test_wrapped_streams_and_all_members():
+    packed = gzip.compress((noise(900) + SECRET + noise(900)).encode())
+    text = "a mail\n\n" + wrapped(packed, 76) + "\n\nbye"
+    assert secrets.find_secrets(text)[1] == [(8, len(text) - 5, "assign")]
+    members = gzip.compress(noise(50).encode()) + gzip.compress(b"nothing") + gzip.compress(SECRET.encode())
+    blob = base64.b64encode(members).decode()
+    assert secrets.find_secrets(f"z {blob}")[1] == [(2, 2 + len(blob), "assign")]
+
+
+@pytest.mark.parametrize("place", [0, 8 << 20, 17 << 20])
+def test_large_streams_are_scanned_whole(place):
+    content = "a quiet line\n" * (18 << 20 >> 3)
+    content = content[:place] + f"\n{SECRET}\n" + content[place : 18 << 20]
+    for raw in (gzip.compress(content.encode()), gzip.compress(gzip.compress(content.encode()))):
+        blob = base64.b64encode(raw).decode()
+        _, spans, _, refused = secrets.find_secrets(f"z {blob}")
+        assert spans == [(2, 2 + len(blob), "assign")] and refused == 0
+
+
 # --- op8
 
 
