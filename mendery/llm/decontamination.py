@@ -4,15 +4,17 @@ Words become typed placeholders where a question could be re-parameterised: numb
 inside a sentence) and units (after a number). Windows of ``WINDOW`` canonical words of the benchmark are
 hash-joined with those of every document. Around the hits the item is lined up with the text word by word:
 runs of equal canonical words, in order, whose differences of positions change by at most ``DRIFT`` from run
-to run, so that changed, added and dropped words only cost themselves. Slots are checked: within one
-alignment a value of the item must stand for one value of the document and the other way round, and words
-where it does not are taken out. An item counts as leaked when of its words, lined up like this,
+to run, so that changed, added and dropped words only cost themselves. Each slot of the item stands for the
+one value of the document that it is lined up with; other slots may hold equal values on either side, and a
+window that agrees on values with most slots of the item is only better evidence (``n_matched``). An item
+counts as leaked when of its words, lined up like this,
 
 - at least ``MIN_COVERAGE`` match, whatever the values of their slots, or
 - at least ``MIN_PART``, and ``MIN_WORDS`` of them, stand as they are, or
 - ``LONG_RUN`` stand as they are in one run (slots with other values inside do not count, nor break it).
 
-An item of up to ``MIN_WORDS`` words must match whole. It is ``reparameterised`` when a slot value differs.
+An item of up to ``MIN_WORDS`` words must match whole, wherever it stands, and one of nothing but slots and
+punctuation must have its own values. It is ``reparameterised`` when a slot value differs.
 """
 
 from __future__ import annotations
@@ -215,8 +217,6 @@ def find_leaks(words: list[bytes], forms: Forms, block: Block) -> list[Leak]:
     out = []
     for i, lined in shifts.items():
         item_id, item_words, item = block.items[i]
-        if len(item_words) < WINDOW and len(words) > len(item_words):
-            continue  # a short item is one window of another size and can only match a text as short
         for pieces in _alignments(item, template, lined):
             found = _consistent(pieces, words, item_words, template, item, item_id)
             if found:
@@ -287,7 +287,8 @@ def _alignments(item: Template, text: Template, shifts: set[int]) -> list[list[P
 
 
 def _consistent(pieces, words, item_words, template, item, item_id) -> Leak | None:
-    """The leak that an alignment gives, of its words whose slot values agree with the value most words give."""
+    """The leak that an alignment gives. Windows count as matched where their slot values agree with the
+    value most words give."""
     votes: dict[str, Counter] = defaultdict(Counter)
     filled = {}
     for start, end, shift in pieces:
@@ -295,32 +296,28 @@ def _consistent(pieces, words, item_words, template, item, item_id) -> Leak | No
             a, b = filled[q] = _value(item_words[q]), _value(words[q + shift])
             votes[a][b] += 1
     chosen = {a: max(c.items(), key=lambda x: (x[1], x[0]))[0] for a, c in votes.items()}
-    back: dict[str, str] = {}
-    for a in sorted(chosen, key=lambda a: (-votes[a][chosen[a]], a)):
-        back.setdefault(chosen[a], a)
-    lost = {q for q, (a, b) in filled.items() if chosen[a] != b or back[b] != a}
+    lost = {q for q, (a, b) in filled.items() if chosen[a] != b}
     n = len(item_words)
     good, stands = np.zeros(n, bool), np.zeros(n, bool)
     size, matched, longest, places = min(WINDOW, n), 0, 0, []
     for start, end, shift in pieces:
+        good[start:end] = True
+        stands[start:end] = (item.word[start:end] == template.word[start + shift : end + shift]) & (item.word[start:end] != _BARE)
+        longest = max(longest, int(stands[start:end].sum()))
+        places += [start + shift, end + shift]
         cuts = [start - 1, *sorted(q for q in lost if start <= q < end), end]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            i += 1
-            if i >= j:
-                continue
-            good[i:j] = True
-            stands[i:j] = (item.word[i:j] == template.word[i + shift : j + shift]) & (item.word[i:j] != _BARE)
-            longest = max(longest, int(stands[i:j].sum()))
-            matched += max(0, j - i - size + 1)
-            places += [i + shift, j + shift]
+        matched += sum(max(0, j - i - size) for i, j in zip(cuts, cuts[1:], strict=False))
     covered, standing = int(good.sum()), int(stands.sum())
+    if (item.slot | (item.word == _BARE)).all():
+        own = [item_words[q] == words[q + shift] for start, end, shift in pieces for q in range(start, end)]
+        covered = max(standing, sum(own))
     if n <= MIN_WORDS:
         leaked = covered == n
     else:
         leaked = covered >= MIN_COVERAGE * n or standing >= max(MIN_WORDS, MIN_PART * n) or longest >= LONG_RUN
     if not leaked:
         return None
-    changed = sorted({(a, b) for q, (a, b) in filled.items() if q not in lost and a != b})
+    changed = sorted({(a, b) for a, b in filled.values() if a != b})
     slots = ",".join(f"{a}>{b}" for a, b in changed)
     return Leak(item_id, n - size + 1, matched, min(places), max(places), bool(changed), slots)
 

@@ -318,6 +318,24 @@ def test_numbers_alone_are_no_passage():
     assert leaked_items(f"a table of it {row(5)} and so on", [item]) == []
 
 
+def test_equal_values_of_slots_are_no_conflict(prose):
+    item = "Tom has 3 apples and 5 pears how many fruits does he have in all"
+    same = "Sam has 8 coins and 8 stamps so which of them are more"
+    around = lambda t: f"{' '.join(prose(30, 1))} {t} {' '.join(prose(30, 2))}"
+    assert leaked_items(around(item.replace("3", "7").replace("5", "7")), [item]) == [0]
+    assert leaked_items(around(same.replace("8", "2", 1).replace("8", "9")), [same]) == [0]
+    few = "3 m by 5 m by 7 m by 9 m is how much"
+    assert leaked_items(around("6 m by 6 m by 6 m by 6 m is how much"), [few]) == [0]
+    assert leaked_items(around("sum 6 6 6 6 with 6 6 6 6"), ["sum 3 5 7 9 with 11 13 15 17"]) == [0]
+
+
+def test_short_items_inside_texts(prose):
+    around = lambda t: f"{' '.join(prose(30, 1))} {t} {' '.join(prose(30, 2))}"
+    assert leaked_items(around("what is it"), ["what is it", "what was it", "is it", "12 13"]) == [0, 2]
+    assert leaked_items(around("add 7 to 9"), ["add 2 to 3", "12 13"]) == [0]
+    assert leaked_items(around("12 13"), ["12 13", "12 14"]) == [0]
+
+
 # --- op10
 
 
