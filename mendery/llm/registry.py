@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from mendery.llm import bitplanes, collocations, fingerprints
 from mendery.llm.decontamination import op9_template_leaks
 from mendery.llm.licenses import op10_compressed_licenses
 from mendery.llm.mixing import op1_raked_mixture
@@ -26,7 +27,14 @@ QUERIES = {
         op9_template_leaks,
         op10_compressed_licenses,
         op6_hash_tree_sharding,
+        bitplanes.op11_bit_plane_clusters,
+        fingerprints.op12_lookup_fingerprints,
+        collocations.op13_shard_mined_phrases,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op11_bit_plane_clusters": bitplanes.ORACLE,
+    "op12_lookup_fingerprints": fingerprints.ORACLE,
+    "op13_shard_mined_phrases": collocations.ORACLE,
+}
