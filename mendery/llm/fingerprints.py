@@ -40,46 +40,52 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda p: F.conv(F.substring(F.md5(p.cast("binary")), 1, 15), 16, 10).cast("bigint")))
 
 
-def _in_cell(digest: str) -> str:
-    """Whether a digest enters cell i: table i div 8 looks at bits of its own."""
-    return f"(shiftright({digest}, 3 * cast(i div {PLACES} as int)) & {PLACES - 1}) = i % {PLACES}"
+def _cell_bits() -> str:
+    """Mask and value of every cell: each table looks at three bits of the digest."""
+    bits = [(PLACES - 1 << 3 * t, place << 3 * t) for t in range(TABLES) for place in range(PLACES)]
+    return "array(" + ", ".join(f"named_struct('mask', {mask}L, 'bits', {value}L)" for mask, value in bits) + ")"
 
 
 def sketch(column: str) -> Column:
-    """Cells of a set of digests."""
+    """Cells of a set of digests: mask and bits of the cell, number, xor of digests, xor of check values."""
     return F.expr(f"""
         transform(
-          transform(sequence(0, {_CELLS - 1}), i -> filter({column}, x -> {_in_cell("x")})),
-          m -> named_struct(
-            'n', cast(size(m) as bigint),
-            'd', aggregate(m, 0L, (a, x) -> a ^ x),
-            'h', aggregate(m, 0L, (a, x) -> a ^ (x % {CHECK}L))))""")
+          transform({_cell_bits()}, c -> named_struct('c', c, 'm', filter({column}, x -> (x & c.mask) = c.bits))),
+          s -> named_struct(
+            'mask', s.c.mask, 'bits', s.c.bits,
+            'n', cast(size(s.m) as bigint),
+            'd', aggregate(s.m, 0L, (a, x) -> a ^ x),
+            'h', aggregate(s.m, 0L, (a, x) -> a ^ (x % {CHECK}L))))""")
+
+
+_REST = "'mask', a.mask, 'bits', a.bits"
 
 
 def subtracted(here: str, there: str) -> Column:
-    return F.expr(f"zip_with({here}, {there}, (a, b) -> named_struct('n', a.n - b.n, 'd', a.d ^ b.d, 'h', a.h ^ b.h))")
+    return F.expr(f"zip_with({here}, {there}, (a, b) -> named_struct({_REST}, 'n', a.n - b.n, 'd', a.d ^ b.d, 'h', a.h ^ b.h))")
 
 
 def peeled(cells: str) -> Column:
     """struct(cells, found, idle): what cannot be peeled, and the digests found with their sign."""
     pure = f"""
-        filter(
-          transform(
+        transform(
+          filter(
             slice(s.cells, {PLACES} * ((r - 1) % {TABLES}) + 1, {PLACES}),
-            (c, k) -> named_struct('n', c.n, 'd', c.d, 'pure',
-              abs(c.n) = 1 and c.d % {CHECK}L = c.h and (shiftright(c.d, 3 * ((r - 1) % {TABLES})) & {PLACES - 1}) = k)),
-          c -> c.pure)"""
+            c -> abs(c.n) = 1 and (c.d & c.mask) = c.bits and c.d % {CHECK}L = c.h),
+          c -> named_struct('n', c.n, 'd', c.d))"""
     return F.expr(f"""
         aggregate(
           sequence(1, {ROUNDS}),
           named_struct('cells', {cells}, 'found', cast(array() as array<struct<n: bigint, d: bigint>>), 'idle', 0),
           (s, r) -> if(s.idle >= {TABLES}, s,
-            transform(array({pure}), p -> named_struct(
-              'cells', transform(s.cells, (c, i) -> aggregate(
-                 filter(p, x -> {_in_cell("x.d")}), c,
-                 (a, x) -> named_struct('n', a.n - x.n, 'd', a.d ^ x.d, 'h', a.h ^ (x.d % {CHECK}L)))),
-              'found', concat(s.found, transform(p, x -> named_struct('n', x.n, 'd', x.d))),
-              'idle', if(size(p) = 0, s.idle + 1, 0)))[0]))""")
+            transform(array({pure}), p -> if(size(p) = 0,
+              named_struct('cells', s.cells, 'found', s.found, 'idle', s.idle + 1),
+              named_struct(
+                'cells', transform(s.cells, c -> aggregate(
+                   filter(p, x -> (x.d & c.mask) = c.bits), c,
+                   (a, x) -> named_struct({_REST}, 'n', a.n - x.n, 'd', a.d ^ x.d, 'h', a.h ^ (x.d % {CHECK}L)))),
+                'found', concat(s.found, p),
+                'idle', 0)))[0]))""")
 
 
 def fingerprint(column: str) -> Column:
@@ -130,7 +136,7 @@ def differences(pairs: DataFrame) -> DataFrame:
 
 
 def _followers(rows: DataFrame) -> DataFrame:
-    """(key, before, take, copies) per document: the key of the one before it, a quarter of that one's length, its rows.
+    """(key, doc_id, before, take, copies) per document: the key of the one before it, a quarter of that one's length, its rows.
 
     Ids are cut into ranges; inside a range a window finds the document before, and the first of a range
     follows the last of the range before, a table of one row per range. The first document follows the last.
@@ -147,7 +153,7 @@ def _followers(rows: DataFrame) -> DataFrame:
     found = ranges.withColumn("prior", before).join(F.broadcast(ends), F.col("range") == F.col("of_range"))
     prior = F.coalesce(F.col("prior"), F.struct(F.col("end.key").alias("key"), F.col("end.n").alias("n")))
     found = found.withColumn("previous", prior)
-    return found.select("key", F.col("previous.key").alias("before"), F.expr("cast(previous.n div 4 as int)").alias("take"), "copies")
+    return found.select("key", "doc_id", F.col("previous.key").alias("before"), F.expr("cast(previous.n div 4 as int)").alias("take"), "copies")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -166,6 +172,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"))
     rows = rows.withColumn("key", F.concat(name.cast("binary"), "sha"))
     followers = settle_table(_followers(rows).withColumnRenamed("key", "of"), "followers")
+    rows = rows.select("key", "text")  # both uses below read one exchange of these two columns
     placed = rows.join(followers, F.col("key") == F.col("of"))
     heads = (
         placed.select("before", F.expr("substring(text, 1, take)").alias("head"), digests(F.col("text")).alias("next"))
