@@ -29,9 +29,9 @@ _NORM = FIRST_PASS[:3]
 # ------------------------------------------------------------------------------------- files
 
 
-def write_ordered_csv(frame: DataFrame, path: str, header: list[str]) -> None:
+def write_ordered_csv(frame: DataFrame, path: str, header: list[str], mode: str = "error") -> None:
     """CSV files whose columns keep the order they have, unlike the sorted export."""
-    frame.toDF(*header).write.options(header="true", quote='"', escape='"', emptyValue="").csv(path)
+    frame.toDF(*header).write.mode(mode).options(header="true", quote='"', escape='"', emptyValue="").csv(path)
 
 
 def write_lines(frame: DataFrame, path: str, header: str) -> None:
@@ -46,6 +46,13 @@ def write_lines(frame: DataFrame, path: str, header: str) -> None:
     frame.select("line").mapInArrow(with_header, "line string").write.text(path)
 
 
+def _write_long_lines(raw: DataFrame, path: str) -> None:
+    """Orders as lines with two fields more than their header."""
+    options = {"quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    line = F.concat(F.to_csv(F.struct("row_index", *FIELDS), options), F.lit(",overflow,more"))
+    write_lines(raw.select(line.alias("line")), path, ",".join(["row_index", *FIELDS]))
+
+
 def _untidy_folder(spark: SparkSession, folder: str) -> list[str]:
     """Messy orders as files of three kinds: declared order, reversed order, and over-long rows."""
     raw = raw_orders(spark, folder).select("row_index", *FIELDS)
@@ -53,9 +60,7 @@ def _untidy_folder(spark: SparkSession, folder: str) -> list[str]:
     reverse = list(reversed(["row_index", *FIELDS]))
     write_ordered_csv(raw.filter("row_index % 3 = 0"), f"{root}/a", ["row_index", *[f" {n.upper()}" for n in FIELDS]])
     write_ordered_csv(raw.filter("row_index % 3 = 1").select(*reverse), f"{root}/b", reverse)
-    options = {"quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-    line = F.concat(F.to_csv(F.struct("row_index", *FIELDS), options), F.lit(",overflow,more"))
-    write_lines(raw.filter("row_index % 3 = 2").select(line.alias("line")), f"{root}/c", ",".join(["row_index", *FIELDS]))
+    _write_long_lines(raw.filter("row_index % 3 = 2"), f"{root}/c")
     return [f"{root}/{x}" for x in "abc"]
 
 
@@ -66,10 +71,12 @@ def s1_csv_folder(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("row_index").cast("bigint").alias("row_index"), *FIELDS)
 
 
-@register("s6_overflow_fields", statement(_NORM, f"SELECT row_index, {', '.join(FIELDS)} FROM norm WHERE row_index % 3 = 2"))
+@register("s6_overflow_fields", statement(_NORM, f"SELECT row_index, {', '.join(FIELDS)} FROM norm"))
 def s6_overflow_fields(spark: SparkSession, folder: str) -> DataFrame:
     """Rows with more fields than their header: the rest is dropped, the columns stay the declared ones."""
-    rows = read_csv(spark, _untidy_folder(spark, folder)[2])
+    path = scratch_path(spark, "long-lines")
+    _write_long_lines(raw_orders(spark, folder), path)
+    rows = read_csv(spark, path)
     return rows.select(F.col("row_index").cast("bigint").alias("row_index"), *[c for c in rows.columns if c != "row_index"])
 
 
@@ -106,13 +113,12 @@ def s7_file_order(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(F.col("key").cast("bigint").alias("key"), "row_index")
 
 
-def _drifted_folder(spark: SparkSession, folder: str) -> str:
+def _write_drifted(spark: SparkSession, folder: str, good: str, drifted: str) -> None:
+    """Half of the orders as files of the contract, the other half with a column more."""
     raw = raw_orders(spark, folder)
-    root = scratch_path(spark, "drifted")
-    write_ordered_csv(raw.filter("row_index % 2 = 0").select(*FIELDS), f"{root}/a", list(FIELDS))
+    write_ordered_csv(raw.filter("row_index % 2 = 0").select(*FIELDS), good, list(FIELDS), "append")
     noted = raw.filter("row_index % 2 = 1").select(*reversed(FIELDS), F.lit("flagged").alias("note"))
-    write_ordered_csv(noted, f"{root}/b", [*reversed(FIELDS), " Internal_Notes"])
-    return root
+    write_ordered_csv(noted, drifted, [*reversed(FIELDS), " Internal_Notes"], "append")
 
 
 def _run_states(store: Store) -> DataFrame:
@@ -125,7 +131,8 @@ def _run_states(store: Store) -> DataFrame:
 def v1_file_drift(spark: SparkSession, folder: str) -> DataFrame:
     """One drifted file among good ones: the batch is rejected before any row work."""
     store = Store(spark, scratch_path(spark, "store"), ORDERS)
-    root = _drifted_folder(spark, folder)
+    root = scratch_path(spark, "drifted")
+    _write_drifted(spark, folder, f"{root}/a", f"{root}/b")
     run_files(store, [f"{root}/a", f"{root}/b"], known_customers(spark, folder), 1)
     return _run_states(store)
 
@@ -136,10 +143,8 @@ def v1_file_drift(spark: SparkSession, folder: str) -> DataFrame:
 )
 def t1_drifted_arrival(spark: SparkSession, folder: str) -> DataFrame:
     """Every arriving file is a run of its own, so a drifted one rejects only itself."""
-    root = _drifted_folder(spark, folder)
     landing = scratch_path(spark, "arrivals")
-    for part in "ab":
-        spark.read.text(f"{root}/{part}").coalesce(1).write.mode("append").text(landing)
+    _write_drifted(spark, folder, landing, landing)
     store = Store(spark, scratch_path(spark, "store"), ORDERS)
     stream = process_arrivals(store, landing, known_customers(spark, folder), scratch_path(spark, "stream"), max_files=1)
     stream.awaitTermination()

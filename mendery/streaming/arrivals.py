@@ -30,7 +30,7 @@ def process_arrivals(
     arrivals = stream_files(store.spark, folder, max_files)
 
     def one_run(batch: DataFrame, batch_id: int) -> None:
-        files = sorted(r["file"] for r in batch.distinct().collect())
+        files = sorted(r["file"] for r in batch.collect())
         if files:
             run_files(store, files, known, first_run_id + batch_id, options)
 

@@ -189,3 +189,73 @@ def test_keys_beyond_six_digits(spark, wide_keys, name):
     got = rows_of(frame)
     assert len(got) > 30 and sorted(map(str, got)) == sorted(map(str, want))
     assert oracle.FIELDS == ORDERS.columns
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are split every few bytes."""
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in zip(names, ("97", "10", "1"), strict=True):
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def untidy_file(rng, n):
+    """CSV text with line breaks, quotes and delimiters in fields, empty lines, and stray quotes."""
+    fields = ["", "x", " y ", 'say ""hi""', "a,b", "two\nlines", "three\n\n\nlines", "\n", 'end""', "long " * 30, "cr\r\nlf", 'q"",""\n,""q']
+    lines = ['id,"no\nte",z']
+    for i in range(n):
+        lines.append(",".join([str(i), *[f'"{rng.choice(fields)}"' if rng.random() < 0.6 else rng.choice(["", "p", '5" pipe', " q "]) for _ in range(2)]]))
+        lines += [""] * rng.choice([0, 0, 0, 1, 2])
+    return rng.choice(["\n", "\r\n"]).join(lines) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("lines_stay", [True, False])
+def test_records_of_split_files(spark, tmp_path, small_blocks, monkeypatch, lines_stay):
+    """Quoted line breaks wherever blocks are cut: the same records as the standard reader gives."""
+    import csv
+    import io
+    import random
+
+    from mendery.sources import records
+
+    monkeypatch.setattr(records, "BROADCAST_BLOCKS", 100_000 if lines_stay else 0)
+    rng = random.Random(7)
+    want = []
+    for i in range(4):
+        text = untidy_file(rng, 40)
+        write(tmp_path / f"{i}.csv", text)
+        rows = [r for r in csv.reader(io.StringIO(text, newline="")) if r]
+        assert rows[0] == ["id", "no\nte", "z"]
+        want += [tuple(v.strip() for v in r) for r in rows[1:]]
+    write(tmp_path / "9.csv", "id,z\nlast,one\n")
+    got = read_csv(spark, str(tmp_path), row_index="i")
+    assert got.columns == ["id", "no\nte", "z", "i"]
+    rows = sorted(rows_of(got), key=lambda r: r[3])
+    assert [r[3] for r in rows] == list(range(len(want) + 1))
+    assert [r[:3] for r in rows[:-1]] == want and rows[-1] == ("last", None, "one", len(want))
+
+
+def test_many_torn_files_make_one_plan(spark, tmp_path):
+    """Jobs and plan do not grow with the number of files that have quoted line breaks."""
+    counts = []
+    for n in (3, 150):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        for i in range(n):
+            write(folder / f"{i:04}.csv", f'k,note\n{i},"a\nb"\n')
+        frame = read_csv(spark, str(folder), row_index="i")
+        counts.append(len(frame._jdf.queryExecution().optimizedPlan().toString().splitlines()))
+        assert {(r.k, r.note, r.i) for r in frame.collect()} == {(str(i), "a\nb", i) for i in range(n)}
+    assert counts[0] == counts[1]
+
+
+def test_open_quotes_and_empty_lines(spark, tmp_path):
+    write(tmp_path / "a.csv", '\n\nk,v\n\n1,"x\n\ny"\n\n\n2,"never closed\nmore\n')
+    write(tmp_path / "b.csv", "k,v\n" + "\n" * 5000 + "3,z\n")
+    got = sorted(rows_of(read_csv(spark, str(tmp_path), row_index="i")), key=lambda r: r[2])
+    assert [(r[0], r[2]) for r in got] == [("1", 0), ("2", 1), ("3", 2)]
+    assert got[0][1] == "x\n\ny" and got[1][1].strip('"').startswith("never closed\nmore")
