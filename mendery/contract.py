@@ -252,8 +252,8 @@ class TransformRegistry:
 
     A builder gets Columns and returns a Column, so a registered transform never runs Python per row.
     Every id must have a builder; diagnoses that name anything else are refused. A custom transform
-    that rewrites the foreign key is checked against the known keys after the last attempt, and the
-    row is kept in quarantine with ``no_fix`` if the new key is unknown.
+    that rewrites the foreign key is checked against the known keys in the attempt that made the key; a
+    row whose new key is unknown is diagnosed again, with the attempts it has left.
     """
 
     def __init__(self, ids: tuple[str, ...], builders: Mapping[str, Callable[[Column, Column], Column]]):

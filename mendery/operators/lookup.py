@@ -91,6 +91,12 @@ def _all(conditions: list[Column]) -> Column:
     return out
 
 
+def held_by(reference: DataFrame, probes: DataFrame) -> DataFrame:
+    """Distinct keys of ``reference`` (``__known``) that are among ``probes`` (``__probe``)."""
+    wanted = probes.select("__probe")
+    return reference.join(wanted, F.col("__known") == F.col("__probe"), "left_semi").distinct()
+
+
 def known_flag(
     rows: DataFrame,
     key: Column,
@@ -103,22 +109,21 @@ def known_flag(
     A reference below Spark's broadcast threshold is joined directly. A larger one is first reduced
     to what matters: the distinct keys of ``rows`` (pre-aggregated before the shuffle) that the
     reference does *not* hold. That set is usually tiny, and joining it back moves few or no wide rows.
+
+    The reference is reduced by those keys before anything else happens to it. They are written, so
+    their size is known: where Spark broadcasts them the reference is only scanned, and where they are
+    too many it filters the scan with a Bloom filter of them. It is never made distinct as a whole.
     """
     (column,) = known.columns
-    reference = known.select(F.col(column).alias("__known")).filter(F.col("__known").isNotNull()).distinct()
+    reference = known.select(F.col(column).alias("__known")).filter(F.col("__known").isNotNull())
     if below_broadcast_limit(reference):
-        marked = reference.select("__known", F.lit(True).alias("__is_known"))
+        marked = reference.distinct().select("__known", F.lit(True).alias("__is_known"))
         out = rows.withColumn("__probe", key).join(marked, F.col("__probe") == F.col("__known"), "left")
         return out.select(*rows.columns, F.coalesce(F.col("__is_known"), F.lit(False)).alias(flag))
 
-    unknown = (
-        rows.select(key.alias("__probe"))
-        .filter(F.col("__probe").isNotNull())
-        .groupBy("__probe")
-        .agg(F.count("*").alias("n_rows"))
-        .join(reference, F.col("__probe") == F.col("__known"), "left_anti")
-        .withColumn("__is_unknown", F.lit(True))
-    )
+    probes = rows.select(key.alias("__probe")).filter(F.col("__probe").isNotNull()).groupBy("__probe").agg(F.count("*").alias("n_rows"))
+    probes = settle_table(probes, "probes")
+    unknown = probes.join(held_by(reference, probes), F.col("__probe") == F.col("__known"), "left_anti").withColumn("__is_unknown", F.lit(True))
     out = keyed_lookup(rows, unknown, {"__probe": key}, ["__is_unknown"], row_salt)
     is_known = F.col("__is_unknown").isNull() & F.coalesce(key.isNotNull(), F.lit(False))
     return out.select(*rows.columns, is_known.alias(flag))

@@ -9,7 +9,7 @@ results are pushed down through every projection, and each step multiplies them.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +20,7 @@ from mendery.functions.ids import fix_encoding
 from mendery.operators.checks import kind_of
 from mendery.operators.diagnose import DIAGNOSIS_TYPE, first_fixed, heuristic_diagnosis, own_remedy
 from mendery.operators.lookup import known_flag
+from mendery.session import settle_table
 
 MAX_ATTEMPTS = 3
 
@@ -220,10 +221,11 @@ def repair_rows(
     Adds ``healed``, ``end_reason`` (``no_fix``, ``attempts_exhausted`` or NULL), ``attempts`` and
     ``final`` (the row as it stands after the last repair).
 
-    Re-validation needs to know whether a repaired key is known. A repaired key can only be the key
-    with its tail stripped, since the other transforms yield numbers or dates, so that one candidate is
-    looked up before the loop. Custom transforms can make other keys: those count as known inside the
-    loop and are looked up after it.
+    Re-validation needs to know whether a repaired key is known. With the built-in transforms a repaired
+    key can only be the key with its tail stripped, since the others yield numbers or dates, so that one
+    candidate is looked up before the loop. Custom transforms can make any key: then each attempt is a
+    step over the rows still open, and the keys it made are looked up before the next one, so that a row
+    with an unknown key is diagnosed again with the attempts it has left.
     """
     if max_attempts < 1:
         raise ValueError("max_attempts must be at least 1")
@@ -234,14 +236,16 @@ def repair_rows(
     custom = looked_up and set(registry.ids) != set(built_in_transforms(contract).ids)
 
     frame = checked
-    if looked_up and isinstance(contract[fk].rule, Pattern):
+    if looked_up and not custom and isinstance(contract[fk].rule, Pattern):
         stripped = F.when(kind_of(fk).isNotNull(), fix_encoding(F.col(fk), contract[fk].rule.anchored))
         frame = known_flag(frame, stripped, known, "__stripped_known", position)
     else:
         frame = frame.withColumn("__stripped_known", F.lit(not looked_up))
 
     loop = RepairLoop(contract, registry, custom)
-    if diagnoser is None:
+    if custom:
+        frame = _attempts_with_lookups(frame, loop, known, max_attempts, diagnoser)
+    elif diagnoser is None:
         frame = computed_once(frame, __state=_whole_loop(loop, max_attempts))
     else:
         frame = computed_once(frame, __state=loop.start())
@@ -250,7 +254,7 @@ def repair_rows(
 
     state = F.col("__state")
     timed = ["heal_ms"] if "heal_ms" in frame.columns else []
-    frame = frame.select(
+    return frame.select(
         *checked.columns,
         state["healed"].alias("healed"),
         F.when(state["active"], F.lit("attempts_exhausted")).otherwise(state["end_reason"]).alias("end_reason"),
@@ -258,15 +262,43 @@ def repair_rows(
         state["row"].alias("final"),
         *timed,
     )
-    if custom:
-        new_key = F.when(F.col("healed"), F.col("final")[fk])
-        frame = known_flag(frame, new_key, known, "__final_known", position)
-        lost = F.col("healed") & ~F.col("__final_known")
-        frame = frame.withColumn(
-            "end_reason", F.when(lost, F.lit("no_fix")).otherwise(F.col("end_reason"))
-        ).withColumn("healed", F.col("healed") & F.col("__final_known"))
-        frame = frame.drop("__final_known")
-    return frame
+
+
+def _attempts_with_lookups(
+    frame: DataFrame, loop: RepairLoop, known: DataFrame, max_attempts: int, diagnoser: Diagnoser | None
+) -> DataFrame:
+    """The loop as one pass per attempt over the rows that are still open.
+
+    Inside an attempt new keys count as known; those of rows that this would heal are then looked up, each
+    distinct key once, and rows whose key is unknown go on with that error. Every pass is written, so that
+    the next one starts from the open rows alone and no attempt is made twice.
+    """
+    frame, ended = computed_once(frame, __state=loop.start()), []
+    state = F.col("__state")
+    for _ in range(max_attempts):
+        if diagnoser is None:
+            after = F.when(state["active"], loop.step(state)).otherwise(state)
+            frame = computed_once(frame, __after=after).drop("__state").withColumnRenamed("__after", "__state")
+        else:
+            frame = _attempt_with(frame, loop, diagnoser)
+        frame = settle_table(_with_known_keys(frame, loop, known), "attempt")
+        ended.append(frame.filter(~state["active"]))
+        frame = frame.filter(state["active"])
+        if frame.isEmpty():
+            break
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*ended, frame])
+
+
+def _with_known_keys(frame: DataFrame, loop: RepairLoop, known: DataFrame) -> DataFrame:
+    """Take back the healing of rows whose new foreign key is unknown: they stay open with that error."""
+    state, fk = F.col("__state"), loop.contract.foreign_key
+    made = state["healed"] & ~state["row"][fk].eqNullSafe(F.col(fk))
+    frame = known_flag(frame, F.when(made, state["row"][fk]), known, "__made_known", F.struct("run_id", "row_index"))
+    unknown = loop._state(
+        state["row"], state["kinds"], F.lit("invalid_foreign_key"), F.lit(True), F.lit(False), F.lit(None).cast("string"), state["attempts"]
+    )
+    checked = F.when(made & ~F.col("__made_known"), unknown).otherwise(state)
+    return computed_once(frame, __checked=checked.cast(loop.type)).drop("__state", "__made_known").withColumnRenamed("__checked", "__state")
 
 
 def _attempt_with(frame: DataFrame, loop: RepairLoop, diagnoser: Diagnoser) -> DataFrame:

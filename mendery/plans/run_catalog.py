@@ -393,6 +393,38 @@ def u1_custom_transform(spark: SparkSession, folder: str) -> DataFrame:
     return repaired.select("row_index", "healed", F.col("final.status").alias("status"), F.col("attempts")[0]["transform"].alias("transform"))
 
 
+def with_customer_lookup() -> tuple[Contract, outcomes.Rules]:
+    """The orders contract with a transform that makes a customer id of a bare number."""
+    remedy = Remedy("complete_customer", 0.6, "customer_id is a bare number", "Completing it gives {}.")
+    fields = tuple(replace(f, remedy=remedy) if f.name == "customer_id" else f for f in ORDERS.fields)
+    contract = replace(ORDERS, fields=fields)
+    complete = lambda value, name: F.when((name == "customer_id") & value.rlike("^[0-9]+$"), F.concat(F.lit("CUST-"), F.lpad(value, 12, "0")))
+    return contract, outcomes.Rules(contract, built_in_transforms(contract).extended(complete_customer=complete))
+
+
+@register(
+    "u1_key_repair",
+    statement(
+        _NORM,
+        "SELECT row_index, k.customer_id IS NOT NULL AS healed, CASE WHEN k.customer_id IS NULL THEN 'no_fix' END AS end_reason, "
+        "CASE WHEN k.customer_id IS NULL THEN 2 ELSE 1 END AS n_attempts, "
+        "CASE WHEN k.customer_id IS NULL THEN 'customer_id does not exist in the known-customers reference set' ELSE 'customer_id is a bare number' END AS hypothesis, "
+        "n.customer_id AS final_customer_id FROM norm n LEFT JOIN known k ON k.customer_id = n.customer_id WHERE mode >= 22",
+    ),
+)
+def u1_key_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer ids completed by a custom transform: one that turns out unknown is diagnosed again in the loop."""
+    contract, rules = with_customer_lookup()
+    known = known_customers(spark, folder)
+    rows = messy_orders(spark, folder).filter("mode >= 22")
+    checked = checks.first_pass(rows.withColumn("customer_id", F.substring("customer_id", 6, 12)), contract, known)
+    repaired = repair_rows(checks.invalid_rows(checked), contract, known, rules.transforms, rules.max_attempts)
+    last = F.element_at("attempts", -1)
+    return repaired.select(
+        "row_index", "healed", "end_reason", F.size("attempts").alias("n_attempts"), last["hypothesis"].alias("hypothesis"), F.col("final.customer_id").alias("final_customer_id")
+    )
+
+
 _IDS = ("coerce_amount", "reformat_date", "fix_encoding")
 
 

@@ -6,11 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from mendery.contract import ORDERS, TransformRegistry, built_in_transforms
-from mendery.operators import checks
+from mendery.operators import checks, lookup
 from mendery.operators.external import external_diagnoser, parse_response, system_prompt, user_prompt
 from mendery.operators.faults import MOJIBAKE
 from mendery.operators.repair import repair_rows
+from mendery.plans import run_catalog
 from mendery.plans.outcomes import Rules, audit_rows, clean_rows, outcomes, quarantine_rows, run_counts, unreconciled
+from mendery.session import settle_table
 
 
 def repaired(rows, known, **options):
@@ -197,7 +199,76 @@ def test_custom_transform_may_not_invent_a_key(make_rows, known):
         (row,) = repaired(
             make_rows({"customer_id": "oops"}), known, registry=registry, diagnoser=external_diagnoser(factory, ORDERS, registry)
         )
-        assert row["healed"] is healed and row["end_reason"] == (None if healed else "no_fix")
+        assert row["healed"] is healed and row["end_reason"] == (None if healed else "attempts_exhausted")
+        assert steps(row) == ["redirect"] * (1 if healed else 3)
+
+
+def with_bare_numbers():
+    """A contract whose own remedy completes customer ids, so that the heuristic proposes it."""
+    contract, rules = run_catalog.with_customer_lookup()
+    complete = lambda v, n: F.when((n == "customer_id") & v.rlike("^[0-9]+$"), F.concat(F.lit("CUST-"), v))
+    return contract, built_in_transforms(contract).extended(complete_customer=complete)
+
+
+def test_keys_are_looked_up_inside_the_loop(make_rows, known):
+    """A key that turns out unknown is diagnosed again in the same sequence of attempts; other errors first."""
+    contract, registry = with_bare_numbers()
+    rows = make_rows(
+        {"customer_id": "0007"},
+        {"customer_id": "9999"},
+        {"customer_id": "9999", "amount": "$5"},
+        {"customer_id": "0008", "amount": "$5"},
+        {"customer_id": "9999", "amount": "$5", "order_date": "01/07/2026"},
+        {},
+        {"customer_id": "CUST-9999"},
+        {"customer_id": "0009", "currency": "ZZZ"},
+    )
+    checked = checks.first_pass(rows, contract, known)
+    got = repair_rows(checked, contract, known, registry).orderBy("row_index").collect()
+    assert [(r["healed"], r["end_reason"], steps(r)) for r in got] == [
+        (True, None, ["complete_customer"]),
+        (False, "no_fix", ["complete_customer", None]),
+        (False, "no_fix", ["complete_customer", "coerce_amount", None]),
+        (True, None, ["complete_customer", "coerce_amount"]),
+        (False, "attempts_exhausted", ["complete_customer", "reformat_date", "coerce_amount"]),
+        (False, None, []),
+        (False, "no_fix", [None]),
+        (False, "no_fix", ["complete_customer", None]),
+    ]
+    again = got[1]["attempts"][1]
+    assert again["hypothesis"] == "customer_id does not exist in the known-customers reference set" and again["row_after"] is None
+    assert got[1]["final"]["customer_id"] == "CUST-9999"
+
+
+def test_another_repair_may_follow_an_unknown_key(make_rows, known):
+    """After the first key failed, the diagnosis of that error may name a transform that finds a known one."""
+
+    def factory():
+        return lambda system, user: answer("second" if "invalid_foreign_key" in user else "first")
+
+    registry = built_in_transforms(ORDERS).extended(
+        first=lambda v, n: F.when(n == "customer_id", F.lit("CUST-9999")), second=lambda v, n: F.when(n == "customer_id", F.lit("CUST-0003"))
+    )
+    (row,) = repaired(make_rows({"customer_id": "oops"}), known, registry=registry, diagnoser=external_diagnoser(factory, ORDERS, registry))
+    assert row["healed"] and steps(row) == ["first", "second"] and row["final"]["customer_id"] == "CUST-0003"
+
+
+def test_a_large_reference_is_reduced_by_the_keys_at_hand(spark, tmp_path, make_rows):
+    """Beyond the broadcast limit the reference is scanned under a broadcast of the batch's keys, not shuffled."""
+    spark.range(200_000).selectExpr("concat('CUST-', lpad(id, 8, '0')) AS customer_id").write.parquet(f"{tmp_path}/known")
+    reference = spark.read.parquet(f"{tmp_path}/known")
+    probes = spark.createDataFrame([("CUST-00000007",), ("CUST-99999999",)], "__probe string")
+    held = lookup.held_by(reference.select(F.col("customer_id").alias("__known")), settle_table(probes, "probes"))
+    plan = held._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "LeftSemi, BuildRight" in plan and "SortMergeJoin" not in plan
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20k")
+        rows = make_rows({"customer_id": "CUST-00000007"}, {"customer_id": "CUST-99999999"}, {"customer_id": None}, {"customer_id": "CUST-00199999"})
+        got = lookup.known_flag(rows, F.col("customer_id"), reference, "known", F.col("row_index")).orderBy("row_index").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [r["known"] for r in got] == [True, False, False, True]
 
 
 # --------------------------------------------------------------------------- many runs, tables
