@@ -11,7 +11,7 @@ MAX_PAGE = 500
 CHART_BARS = 8
 
 
-def _check_page(limit: int, offset: int) -> None:
+def check_page(limit: int, offset: int) -> None:
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError(f"limit must be between 1 and {MAX_PAGE}")
     if offset < 0:
@@ -23,7 +23,7 @@ def _check_page(limit: int, offset: int) -> None:
 
 def runs_page(runs: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
     """Runs, newest first; planned as a top-k, not as a full sort."""
-    _check_page(limit, offset)
+    check_page(limit, offset)
     return runs.orderBy(F.col("run_id").desc()).offset(offset).limit(limit)
 
 
@@ -118,7 +118,7 @@ def quarantine_page(
     offset: int = 0,
 ) -> DataFrame:
     """Quarantined rows, newest first; (run_id, row_index) is the row's id and breaks ties."""
-    _check_page(limit, offset)
+    check_page(limit, offset)
     newest = ["created_at"] if "created_at" in quarantine.columns else []
     keys = [F.col(c).desc() for c in [*newest, "run_id", "row_index"]]
     return quarantine_filter(quarantine, run_id, resolved).orderBy(*keys).offset(offset).limit(limit)

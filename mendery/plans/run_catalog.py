@@ -15,8 +15,9 @@ from mendery.operators.external import call_service, external_diagnoser, parse_r
 from mendery.operators.repair import repair_rows
 from mendery.plans import oracle, outcomes
 from mendery.plans.analytics import mean_heal_time
-from mendery.plans.catalog import _SINGLE, FIELDS, QUERIES, checked_orders, register, settled_orders
+from mendery.plans.catalog import _QUARANTINE_COLUMNS, _SINGLE, FIELDS, QUERIES, _quarantine_view, checked_orders, register, settled_orders, stored_orders
 from mendery.plans.oracle import FIRST_PASS, TABLES, statement
+from mendery.plans.pages import mark_of, seek_quarantine
 from mendery.plans.run import BatchTooLarge, RunOptions, run_batch, run_files
 from mendery.plans.sample_orders import known_customers, messy_orders, raw_orders, table
 from mendery.session import scratch_path
@@ -363,6 +364,21 @@ def d6_mode_choice(spark: SparkSession, folder: str) -> DataFrame:
     return repaired.select("row_index", *[first[c].alias(c) for c in ("source", "hypothesis", "transform", "confidence")])
 
 
+# ------------------------------------------------------------------------------ pages by continuation
+
+
+@register(
+    "q4_next_page",
+    statement(TABLES, f"SELECT {_QUARANTINE_COLUMNS} FROM quarantine WHERE NOT resolved ORDER BY run_id DESC, row_index DESC LIMIT 300 OFFSET 500"),
+)
+def q4_next_page(spark: SparkSession, folder: str) -> DataFrame:
+    """Open rows of the quarantine: the page after the first one, found from its last row."""
+    store = stored_orders(spark, folder)
+    first = seek_quarantine(store, resolved=False, limit=500)
+    mark = mark_of(first)
+    return _quarantine_view(seek_quarantine(store, resolved=False, limit=300, after=mark) if mark else first)
+
+
 # ------------------------------------------------------------------------------ custom transforms
 
 

@@ -122,6 +122,19 @@ class Store:
         """Quarantined rows with the current ``resolved`` flag."""
         return with_resolutions(self._read("quarantine", QUARANTINE), self.resolutions())
 
+    def quarantine_of(self, run_ids: list[int]) -> DataFrame:
+        """Quarantined rows of some runs, read from their folders without listing the others; resolutions of
+        other runs are not joined."""
+        base = self.path("quarantine")
+        try:
+            reader = self.spark.read.schema(QUARANTINE).option("basePath", base)
+            rows = reader.parquet(f"{base}/run_id={{{','.join(map(str, run_ids))}}}")
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise
+            return self.spark.createDataFrame([], QUARANTINE)
+        return with_resolutions(rows, self.resolutions().filter(F.col("run_id").isin(run_ids)))
+
     def write(self, frame: DataFrame, table: str, run_id: int, part: str | None = None) -> None:
         frame.drop("run_id").write.mode("overwrite").parquet(self.path(table, run_id, part))
 

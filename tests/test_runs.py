@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mendery.contract import ORDERS
 from mendery.operators import checks, faults
 from mendery.operators.faults import MOJIBAKE
-from mendery.plans import analytics
+from mendery.plans import analytics, pages
 from mendery.plans.outcomes import alert_rows
 from mendery.plans.run import BatchTooLarge, RunOptions, run_batch
 from mendery.session import scratch_path
@@ -223,6 +223,38 @@ def test_pages(spark):
             analytics.runs_page(runs, limit, offset)
 
 
+def test_pages_by_continuation(spark, tmp_path, monkeypatch):
+    """All pages together are the whole list in the order of pages by offset; a late page reads as little as an early one."""
+    store = Store(spark, str(tmp_path / "store"), ORDERS)
+    counts = [3, 0, 40, 1, 7, 0, 0, 25, 2, 11, 5, 6, 30, 4]
+    statuses = {5: "failed", 6: "rejected_schema_drift"}
+    schema = "run_id bigint, row_index bigint, error_type string, attempt_count int, resolved boolean, created_at timestamp"
+    for run_id, n in enumerate(counts):
+        runs = runs_frame(spark, [(run_id, statuses.get(run_id, "completed"), n, 0, 0, n if run_id != 5 else 0, {}, {})])
+        store.write(runs.coalesce(1), "runs", run_id)
+        if n or run_id == 5:
+            rows = [(run_id, i, "invalid_amount", 1, False, None) for i in range(n or 2)]
+            store.write(spark.createDataFrame(rows, schema), "quarantine", run_id)
+    spark.range(134).selectExpr("id % 14 AS run_id", "id * 3 % 40 AS row_index", "now() AS resolved_at").write.parquet(store.path("resolutions"))
+    asked, read = [], Store.quarantine_of
+    monkeypatch.setattr(Store, "quarantine_of", lambda self, ids: asked.append(ids) or read(self, ids))
+    whole = store.quarantine()
+    for kept in ({}, {"resolved": False}, {"run_id": 2}, {"run_id": 5}, {"run_id": 99}):
+        want = [(r["run_id"], r["row_index"], r["resolved"]) for r in analytics.quarantine_page(whole.drop("created_at"), **kept, limit=500).collect()]
+        got, mark, reads = [], None, []
+        while True:
+            asked.clear()
+            page = pages.seek_quarantine(store, **kept, limit=29, after=mark)
+            rows = [(r["run_id"], r["row_index"], r["resolved"]) for r in page.collect()]
+            reads.append(sum(map(len, asked)))
+            if not rows:
+                break
+            got, mark = got + rows, pages.mark_of(page)
+        assert got == want and max(reads) <= 12
+    assert pages.seek_quarantine(store, after=pages.Mark(77, 1)).collect() == []
+    assert pages.mark_of(page) is None
+
+
 def test_breakdown_has_eight_bars(spark):
     totals = spark.createDataFrame([(f"kind_{i}", i // 2) for i in range(10)], "key string, total bigint")
     bars = analytics.breakdown(totals).collect()
