@@ -64,18 +64,16 @@ def test_pages_on_odd_and_empty_tables(spark):
     assert urls.judge_pages(spark.createDataFrame([], schema)).count() == 0
     rows = [(1, None, None), (2, "no scheme", ""), (3, "://", "<p>a</p>"), (4, "http://A.COM/x", None), (4, "http://A.COM/x", None), (None, "http://b.org", ""), (5, "http://" + "ab" * 5000 + ".org/", "ab " * 9)]
     got = urls.judge_pages(spark.createDataFrame([(*r, "x", "x") for r in rows], schema)).collect()
-    assert sorted((str(r.page_id), r.host[:8], r.path, r.rule, r.verdict) for r in got) == sorted(
-        [
-            ("1", "", "", None, "allow"),
-            ("2", "", "", None, "allow"),
-            ("3", "", "", None, "allow"),
-            ("4", "a.com", "/x", "com/", "allow"),
-            ("4", "a.com", "/x", "com/", "allow"),
-            ("None", "b.org", "", None, "allow"),
-            ("5", "abababab", "/", None, "allow"),
-        ],
-        key=str,
-    ) or len(got) == len(rows)
+    # no page is blocked by a rule, so there is nothing to learn from and the model allows
+    assert sorted((str(r.page_id), r.host[:8], r.path, r.rule, r.verdict) for r in got) == [
+        ("1", "", "", None, "allow"),
+        ("2", "", "", None, "allow"),
+        ("3", "", "", None, "allow"),
+        ("4", "a.com", "/x", "com/", "allow"),
+        ("4", "a.com", "/x", "com/", "allow"),
+        ("5", "abababab", "/", None, "allow"),
+        ("None", "b.org", "", None, "allow"),
+    ]
 
 
 def test_quality_fit_without_labels(spark, make_documents, odd_rows):
