@@ -3,7 +3,8 @@
 A layer is a text with, for each of its characters, the part of the document it came from. Layer 0 is the
 document. Each layer is scanned for secrets and for encoded regions: runs with percent escapes, runs with
 Unicode escapes, and base64 runs, on one line or wrapped over lines, whose bytes may be gzip or zlib streams
-of any number of members. Every region becomes a new layer, until no layer yields another (a fixpoint). What a
+of any number of members. Bytes that are not UTF-8 throughout are not given up: every run of text in them is a
+region, in UTF-8 or with two bytes a character, whatever binary data stands around it. Every region becomes a new layer, until no layer yields another (a fixpoint). What a
 large stream holds is unpacked and scanned piece by piece. Layers already seen in the document are not taken again, which
 ends cycles such as a text that decodes to itself. A secret found below layer 0 is reported at the part of
 the document that it came from: exact characters through escapes, the covering characters through base64,
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import base64
 import binascii
-import codecs
 import re
 import zlib
 from collections import deque
@@ -50,6 +50,12 @@ _LINE = re.compile(r"[^\s]+")
 ESCAPE = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _CODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
 
+# The shortest secret is "token=" and six characters, so a shorter run of text in binary data holds none.
+# No kind of secret holds a control character or one that is not ASCII.
+RUN = re.compile(rb"[\t\n\r\x20-\x7e\x80-\xff]{12,}")
+RUN_WIDE = re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){12,}|(?:[\t\n\r\x20-\x7e]\x00){12,}")
+_VALID = re.compile("[^\ud800-\udfff]{12,}")
+
 # A stream that unpacks to more than this becomes several layers, so that a small text cannot fill a worker's
 # memory. Neighbouring pieces share OVERLAP characters: what is shorter stands whole in one of them.
 MAX_UNPACKED = 16 << 20
@@ -102,11 +108,34 @@ class Layer:
         return Layer(text, [x for a, b in parts for x in self.at[a:b]], [x for a, b in parts for x in self.to[a:b]])
 
 
-def _readable(text: str, odd: int = 0) -> bool:
-    odd += sum(not (c.isprintable() or c in "\n\r\t") for c in text)
+def _readable(text: str) -> bool:
+    odd = sum(not (c.isprintable() or c in "\n\r\t") for c in text)
     return bool(text) and odd * 20 <= len(text)
 
 
+def _whole_text(raw: bytes) -> str | None:
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        return None
+    return text if _readable(text) else None
+
+
+def _runs(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Runs of text in binary data, each with its first byte and the bytes of a character (0: as in UTF-8).
+
+    Of text with two bytes a character, in either order, its ASCII characters are taken.
+    """
+    for m in RUN_WIDE.finditer(raw):
+        yield m[0].replace(b"\0", b"").decode("ascii"), m.start(), 2
+    for m in RUN.finditer(raw):
+        text, done, at = m[0].decode("utf-8", "surrogateescape"), 0, m.start()
+        for part in _VALID.finditer(text):
+            at += len(text[done : part.start()].encode("utf-8", "surrogateescape"))
+            yield part[0], at, 0
+            done, at = part.end(), at + len(part[0].encode())
+
+
 def _unescape(layer: Layer) -> Layer:
     """Replace percent and Unicode escapes; characters keep where they came from."""
     run, text, at, to = layer.text, [], [], []
@@ -196,14 +225,14 @@ def _large(source: Iterator[bytes], whole: tuple[int, int], refused: list) -> It
     else:
         refused.append(whole)
         return
-    decoder, text, fresh = codecs.getincrementaldecoder("utf-8")("replace"), "", 0
+    held, fresh = b"", 0
     for data in chain(source, [b""]):
-        new = decoder.decode(data, not data)
-        text, fresh = text + new, fresh + len(new)
-        if fresh and (len(text) >= PIECE or not data):
-            if _readable(text, text.count("\ufffd")):
-                yield Layer(text, whole=whole, piece=True)
-            text, fresh = text[-OVERLAP:], 0
+        held, fresh = held + data, fresh + len(data)
+        if fresh and (len(held) >= PIECE or not data):
+            text = _whole_text(held)  # a character cut at an end is one byte or more that is no text
+            for x in [text] if text else (x for x, _, _ in _runs(held)):
+                yield Layer(x, whole=whole, piece=True)
+            held, fresh = held[-OVERLAP:], 0
 
 
 def _base64(run: str) -> bytes | None:
@@ -218,8 +247,9 @@ def _base64(run: str) -> bytes | None:
         return None
 
 
-def unwrap(layer: Layer, refused: list) -> Iterator[Layer]:
-    """The text inside a base64 run, if it has one: a layer, or several of a large stream."""
+def unwrap(layer: Layer, refused: list, whole_only: bool = False) -> Iterator[Layer]:
+    """The text inside a base64 run, if it has one: a layer, or several of a large stream or of binary data
+    (but for ``whole_only``)."""
     raw = _base64(layer.text)
     if raw is None:
         return
@@ -235,23 +265,20 @@ def unwrap(layer: Layer, refused: list) -> Iterator[Layer]:
             break
         packed.add(raw)
         raw = bytes(inner)
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return
-    if not _readable(text):
-        return
-    if packed or layer.whole:
-        yield Layer(text, whole=layer.part(0, len(layer.text)))
-        return
-    at, to, b, n = [], [], 0, len(layer.text)
-    for c in text:
-        width = len(c.encode())
-        part = layer.part(b * 8 // 6, min(((b + width) * 8 - 1) // 6 + 1, n))
-        at.append(part[0])
-        to.append(part[1])
-        b += width
-    yield Layer(text, at, to)
+    text = _whole_text(raw)
+    whole = layer.part(0, len(layer.text)) if packed or layer.whole else None
+    for text, first, unit in [(text, 0, 0)] if text else () if whole_only else _runs(raw):
+        if whole:
+            yield Layer(text, whole=whole)
+            continue
+        at, to, b, n = [], [], first, len(layer.text)
+        for c in text:
+            width = unit or len(c.encode())
+            part = layer.part(b * 8 // 6, min(((b + width) * 8 - 1) // 6 + 1, n))
+            at.append(part[0])
+            to.append(part[1])
+            b += width
+        yield Layer(text, at, to)
 
 
 def _blobs(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -282,16 +309,19 @@ def _encoded(layer: Layer, refused: list) -> Iterator[Layer]:
                 yield _unescape(layer.cut(start, done))
     taken: list[tuple[int, int]] = []  # streams that are unpacked whole, so not line by line
     for lines in _blobs(text):
-        # a word may stand on the line before or after
-        for part in (lines, lines[:-1], lines[1:], lines[1:-1]):
-            if len(part) < 2 or sum(b - a for a, b in part) < LEAST:
-                continue
-            run, found = layer.join(part), False
-            for inner in unwrap(run, refused):
-                if not found and (inner.piece or (inner.whole and not layer.whole)):
-                    taken.append((part[0][0], part[-1][1]))
-                found = True
-                yield inner
+        # A word may stand on the line before or after, so the lines that make one whole text are looked for
+        # first; where none do, text is taken out of the binary data that any of them make.
+        parts = [p for p in (lines, lines[:-1], lines[1:], lines[1:-1]) if len(p) > 1 and sum(b - a for a, b in p) >= LEAST]
+        found = False
+        for whole_only in (True, False):
+            for part in parts:
+                for inner in unwrap(layer.join(part), refused, whole_only):
+                    if (part[0][0], part[-1][1]) not in taken and (inner.piece or (inner.whole and not layer.whole)):
+                        taken.append((part[0][0], part[-1][1]))
+                    found = True
+                    yield inner
+                if found and whole_only:
+                    break
             if found:
                 break
     k = 0

@@ -152,6 +152,26 @@ def test_wrapped_streams_and_all_members():
     assert secrets.find_secrets(f"z {blob}")[1] == [(2, 2 + len(blob), "assign")]
 
 
+@pytest.mark.parametrize("content", ["caf\xe9 {} caf\xe9".encode("latin-1"), b"\x00\x01\x02\xff{}\xfe\x03", b"\x81\x82\x83{}"])
+@pytest.mark.parametrize("size", [0, 20 << 20])
+def test_binary_data_around_a_secret_at_every_size(content, size):
+    filler = b"a line of plain words\n" * (size // 22)
+    packed = base64.b64encode(gzip.compress(filler + content.replace(b"{}", SECRET.encode()) + filler)).decode()
+    _, spans, _, refused = secrets.find_secrets(f"z {packed}")
+    assert (spans, refused) == ([(2, 2 + len(packed.rstrip("=")) + packed.count("="), "assign")], 0)
+
+
+@pytest.mark.parametrize("wide", ["utf-8", "utf-16-le", "utf-16-be", "utf-16"])
+@pytest.mark.parametrize("before", [b"", b"\xff", b"\x00\x9f", b"\xff\x00\xfe", b"\x00\x01\x02\xff"])
+def test_text_in_binary_data_maps_to_its_characters(wide, before):
+    head = before + "caf\xe9 ".encode(wide) + b"\xff\xff"
+    raw = head + SECRET.encode(wide.replace("utf-16", "utf-16-le") if wide == "utf-16" else wide) + b"\xff\xff\xff"
+    blob = base64.b64encode(raw).decode()
+    size = len(SECRET[:-1]) * (1 if wide == "utf-8" else 2)  # the closing quote is no part of the secret
+    expected = (2 + len(head) * 8 // 6, 2 + ((len(head) + size) * 8 - 1) // 6 + 1, "assign")
+    assert secrets.find_secrets(f"z {blob}")[1] == [expected]
+
+
 @pytest.mark.parametrize("place", [0, 8 << 20, 17 << 20])
 def test_large_streams_are_scanned_whole(place):
     content = "a quiet line\n" * (18 << 20 >> 3)
