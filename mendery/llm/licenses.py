@@ -3,17 +3,22 @@
 Sentences with a cue word, and those between and beside them, make the candidate blocks of a document. Each
 block is compressed with zstandard alone and with each template as a raw dictionary; templates are ranked by
 how many bytes they save. The winner is confirmed by its exact differences in wording: the template's words
-must stand in the block in order, all but a small share of them, and no word that tells licenses apart
-(numbers, versions, "not", "commercial" ...) may differ. If it fails, the next template in rank is tried.
+must stand in a window of the block in order, all but a small share of them, and no word that tells licenses
+apart (numbers, versions, "not", "commercial" ...) may differ. If it fails, the next template in rank is tried.
+All places where the winner stands are findings, each with the span of its own words. What lies between them
+is ranked again in the same way, until no template fits, so a block may hold any number of licenses.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,33 +59,44 @@ TEMPLATES = {
     "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
     "CC0-1.0": "Released into the public domain under CC0 1.0.",
 }
+_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+MIN_MATCHED = 0.85  # of a template's words
+
+# Wordings made by rule: the identifier line of each license, and the other usual verb before a name that is so
+# short that the verb is more than a small share of the wording.
+_NAMES = [n for n in TEMPLATES if not n.endswith(("-text", "-header"))]
+_VERBS = ("Licensed under", "Released under")
+TEMPLATES |= {f"{n}-spdx": f"SPDX-License-Identifier: {n}" for n in _NAMES}
+TEMPLATES |= {
+    f"{n}-{verb.split()[0].lower()}": TEMPLATES[n].replace(other, verb)
+    for n in _NAMES
+    for verb, other in (_VERBS, _VERBS[::-1])
+    if TEMPLATES[n].startswith(other) and 1 - 1 / len(_WORD.findall(TEMPLATES[n])) < MIN_MATCHED
+}
 TELLING = frozenset(
     "not no non commercial noncommercial nc nd sa by zero cc0 lesser affero lgpl agpl gpl mit bsd apache mozilla unless without".split()
 )
 _CUES = ("licen", "copyright", "permission", "warrant", "spdx", "public domain", "creative commons", "cc by", "cc0", "redistribut")
 _CUE = re.compile("|".join(map(re.escape, _CUES)))
-_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_SENTENCE_END = re.compile(r"\n|[.!?] ")
 
-MIN_MATCHED = 0.85  # of a template's words
 GAP = 1  # sentences without a cue that a block may bridge
 LEVEL = 9
 
 
 class Finding(NamedTuple):
-    start: int
+    start: int  # of the license's own words
     end: int
     license: str
-    saved: int  # bytes that the template saves
-    share: float  # of the block's compressed size
+    saved: int  # bytes that the template saves on the stretch it was ranked for
+    share: float  # of the stretch's compressed size
     differences: str
 
 
-def sentences(text: str, start: int, end: int) -> tuple[int, int]:
-    """Bounds of the sentence around a match: between line ends and closed sentences."""
-    lefts = [(text.rfind(x, 0, start), len(x)) for x in ("\n", ". ", "! ", "? ")]
-    left = max(p + n if p >= 0 else 0 for p, n in lefts)
-    rights = [p for p in (text.find("\n", end), *[text.find(x, end) + 1 or -1 for x in (". ", "! ", "? ")]) if p > 0]
-    return left, min(rights, default=len(text))
+def sentences(text: str) -> tuple[list[int], list[int]]:
+    """Where sentences start and where they end: at line ends and after closed sentences."""
+    ends = [(m.start() + (m[0] != "\n"), m.end()) for m in _SENTENCE_END.finditer(text)]
+    return [0, *(b for _, b in ends)], [*(a for a, _ in ends), len(text)]
 
 
 def candidate_blocks(text: str) -> list[tuple[int, int]]:
@@ -91,9 +107,11 @@ def candidate_blocks(text: str) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     if not any(c in low for c in _CUES):
         return out
+    starts, ends = sentences(text)
     at = 0
     while m := _CUE.search(low, at):
-        start, end = sentences(text, m.start(), m.end())
+        start = starts[bisect_right(starts, m.start()) - 1]
+        end = ends[bisect_left(ends, m.end())]
         start, end = max(start, out[-1][1] if out else 0), max(end, m.end())
         between = text[out[-1][1] : start] if out else ""
         if out and sum(1 for x in re.split(r"[.!?]\s|\n", between) if x.strip()) <= GAP:
@@ -133,44 +151,99 @@ def _telling(word: str) -> bool:
     return word in TELLING or any(c.isdigit() for c in word)
 
 
-def compare(block: str, template: str) -> tuple[bool, str]:
-    """Whether the block carries the template, and the differences in wording inside it."""
-    mine, wanted = _WORD.findall(block.lower()), _WORD.findall(template.lower())
+@lru_cache(maxsize=1)
+def _wanted() -> dict[str, list[str]]:
+    return {name: _WORD.findall(text.lower()) for name, text in TEMPLATES.items()}
+
+
+def compare(mine: list[str], wanted: list[str]) -> tuple[int, int, str] | None:
+    """First and last word (exclusive) of a template inside a window, with the differences in wording between
+    them; None where the window does not carry it."""
     match = SequenceMatcher(None, wanted, mine, autojunk=False)
     pieces = [b for b in match.get_matching_blocks() if b.size]
     if not pieces or sum(b.size for b in pieces) < MIN_MATCHED * len(wanted):
-        return False, ""
+        return None
     first, last = pieces[0].b, pieces[-1].b + pieces[-1].size
-    changes, telling = [], False
+    changes = []
     for tag, i1, i2, j1, j2 in match.get_opcodes():
         j1, j2 = max(j1, first), min(j2, last)
         if tag == "equal":
             continue
         lost, new = wanted[i1:i2], mine[j1:j2] if j1 < j2 else []
+        if any(map(_telling, lost)) or any(map(_telling, new)):
+            return None
         if lost or new:
             changes.append(f"-{' '.join(lost)}+{' '.join(new)}")
-            telling |= any(map(_telling, lost)) or any(map(_telling, new))
-    return not telling, ";".join(changes)
+    return first, last, ";".join(changes)
+
 
+def occurrences(mine: list[str], wanted: list[str]) -> Iterator[tuple[int, int, str]]:
+    """Places of a template in a list of words, left to right, none inside another.
 
-@lru_cache(maxsize=20_000)
-def identify(block: str) -> tuple[str, int, float, str] | None:
-    """The first template in rank that its wording confirms; of equal savings the more telling text first."""
-    for saved, share, name in rank(block):
-        fits, changes = compare(block, TEMPLATES[name])
-        if fits:
-            return name, saved, share, changes
+    Windows are twice as long as the template and start at every half of it, so a place of up
+    to one and a half times its length stands whole in one. Only windows with enough of its words are
+    compared, so the time grows with the list and not with its square.
+    """
+    n, known = len(wanted), set(wanted)
+    hits = np.concatenate([[0], np.cumsum([w in known for w in mine], dtype=np.int64)])
+    starts = np.arange(0, max(len(mine) - n // 2, 1), max(n // 2, 1))
+    starts = starts[hits[np.minimum(starts + 2 * n, len(mine))] - hits[starts] >= MIN_MATCHED * n]
+    done = 0
+    for start in starts.tolist():
+        at = max(start, done)
+        while place := compare(mine[at : start + 2 * n], wanted):
+            # the window may have cut it: look once more with all that may belong to it
+            low, high = max(done, at + place[0] - n), at + place[1] + n
+            wider = compare(mine[low:high], wanted)
+            if wider and wider[1] - wider[0] >= place[1] - place[0]:
+                at, place = low, wider
+            yield at + place[0], at + place[1], place[2]
+            done = at = at + place[1]
+
+
+def identify(stretch: str) -> tuple[str, int, float, list[tuple[int, int, str]]] | None:
+    """The first template in rank that its wording confirms, and its places; of equal savings by name."""
+    words = list(_WORD.finditer(stretch))
+    mine = [m[0].lower() for m in words]
+    for saved, share, name in rank(stretch):
+        places = [(words[a].start(), words[b - 1].end(), changes) for a, b, changes in occurrences(mine, _wanted()[name])]
+        if places:
+            return name, saved, share, places
     return None
 
 
+# Short blocks repeat from document to document; longer ones are not kept.
+KEPT_LENGTH = 2_000
+_identify_short = lru_cache(maxsize=20_000)(identify)
+
+
+def licenses_of(block: str) -> list[Finding]:
+    """All licenses of a block, by place."""
+    found, work = [], [(0, len(block))]
+    while work:
+        start, end = work.pop()
+        stretch = block[start:end]
+        known = (_identify_short if len(stretch) <= KEPT_LENGTH else identify)(stretch)
+        if known is None:
+            continue
+        name, saved, share, places = known
+        at = start
+        for a, b, changes in places:
+            found.append(Finding(start + a, start + b, name, saved, share, changes))
+            work.append((at, start + a))
+            at = start + b
+        work.append((at, end))
+    return sorted(found)
+
+
 def find_licenses(text: str) -> tuple[int, list[Finding]]:
-    """Number of candidate blocks, and the confirmed ones."""
-    found = []
+    """Number of candidate blocks, and the licenses in them."""
     blocks = candidate_blocks(text)
-    for start, end in blocks:
-        known = identify(text[start:end])
-        if known:
-            found.append(Finding(start, end, *known))
+    found = [
+        f._replace(start=start + f.start, end=start + f.end)
+        for start, end in blocks
+        for f in licenses_of(text[start:end])
+    ]
     return len(blocks), found
 
 
@@ -193,7 +266,7 @@ def digest(text: bytes | None) -> tuple:
 
 
 def license_spans(documents: DataFrame) -> DataFrame:
-    """One row per document: candidate blocks, confirmed ones, their licenses, spans (code points) and
+    """One row per document: candidate blocks, confirmed licenses, their names, spans (code points) and
     differences from the template's wording.
 
     A null or empty text has no blocks. Rows are judged by themselves, so repeated rows give repeated

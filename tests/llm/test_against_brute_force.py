@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter, defaultdict
@@ -379,6 +380,31 @@ def test_wording_decides():
 # --- op1
 
 
+@pytest.mark.parametrize("first", licenses.TEMPLATES)
+def test_all_licenses_of_a_block_with_their_own_spans(first):
+    rng, pieces, expected = random.Random(first), [], []
+    for name in [first, *rng.choices(list(licenses.TEMPLATES), k=6)]:
+        wording = licenses.TEMPLATES[name]
+        at = sum(map(len, pieces))
+        end = at + len(re.sub(r"[^A-Za-z0-9]+$", "", wording))
+        expected.append((at + len(wording) - len(wording.lstrip('"')), end, name))
+        pieces.append(wording + rng.choice([" ", "\n", "\n\n\n", " It holds. "]))
+    _, found = licenses.find_licenses("".join(pieces))
+    assert [(f.start, f.end, f.license) for f in found] == expected
+
+
+def test_long_blocks_take_time_in_proportion():
+    def seconds(n):
+        text = "A license of another kind holds for the work under version seven of it. " * n + licenses.TEMPLATES["MIT"]
+        started = time.process_time()
+        assert [f.license for f in licenses.find_licenses(text)[1]] == ["MIT"]
+        return time.process_time() - started
+
+    seconds(10)
+    assert seconds(8000) < 8 * max(seconds(2000), 0.05)
+
+
+
 def test_raking_meets_margins_and_limits():
     rng = np.random.default_rng(1)
     observed = rng.integers(50, 5000, size=(4, 3, 5)).astype(float)
