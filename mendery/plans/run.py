@@ -70,6 +70,7 @@ class _RunRow:
 
     def __init__(self, store: Store, run_id: int):
         self.store, self.run_id = store, run_id
+        self.attempt = store.new_attempt(run_id)
         self.values = dict(
             started_at=_now(),
             finished_at=None,
@@ -88,6 +89,7 @@ class _RunRow:
         self.values.update(changes)
         if self.values["status"] != "running":
             self.values["finished_at"] = _now()
+            self.store.show(self.run_id, self.attempt)
         self.store.write(self.frame(), "runs", self.run_id)
         return dict(self.values)
 
@@ -125,7 +127,8 @@ def run_batch(
     ``row_index`` names a column that holds the position of a row, if there is one.
 
     Schema drift is a normal end (``rejected_schema_drift``). A batch over the cap and any error end as
-    ``failed``, with the number of rows as far as it can be counted, and raise.
+    ``failed``, with the number of rows as far as it can be counted, and raise. The rows of the run are seen in
+    the store at its end, all at once; a failed run shows those that it had written.
     """
     return _tracked(store, lambda: frame, known, run_id, options, row_index)
 
@@ -207,7 +210,7 @@ def _process(
 
     stamp = F.lit(row.values["started_at"]).cast("timestamp")
     store.write(
-        typed_rows(checked, contract).withColumn("created_at", stamp), "clean", run_id, "origin=first_pass"
+        typed_rows(checked, contract).withColumn("created_at", stamp), "clean", run_id, "origin=first_pass", row.attempt
     )
 
     # Invalid rows are repaired and written once; every other table is read off that result. They are
@@ -223,15 +226,15 @@ def _process(
         repair_rows(bad, contract, known, rules.transforms, rules.max_attempts, diagnoser), "repairs"
     )
     spent_ms = (time.perf_counter() - started) * 1000
-    settled = settle_table(_settle_repaired(store, repaired, rules, existing, run_id), "settled")
+    settled = settle_table(_settle_repaired(store, repaired, rules, existing, row), "settled")
 
     healed = clean_rows(settled, contract).drop("disposition").withColumn("created_at", stamp)
-    store.write(healed, "clean", run_id, "origin=healed")
-    store.write(quarantine_rows(settled, contract).withColumn("created_at", stamp), "quarantine", run_id)
-    store.write(audit_rows(settled, contract).withColumn("created_at", stamp), "audit", run_id)
+    store.write(healed, "clean", run_id, "origin=healed", row.attempt)
+    store.write(quarantine_rows(settled, contract).withColumn("created_at", stamp), "quarantine", run_id, attempt=row.attempt)
+    store.write(audit_rows(settled, contract).withColumn("created_at", stamp), "audit", run_id, attempt=row.attempt)
 
     # One aggregation over the repaired rows gives all counts; the clean rows are counted where they lie.
-    n_clean = store.accepted(run_id).count()
+    n_clean = store.accepted(run_id, row.attempt).count()
     counts = run_counts(settled, rules).first()
     n_bad, n_healed = (counts["row_count"], counts["healed"]) if counts else (0, 0)
     if "heal_ms" in settled.columns:
@@ -253,10 +256,10 @@ def _process(
 
 
 def _settle_repaired(
-    store: Store, repaired: DataFrame, rules: Rules, existing: DataFrame | None, run_id: int
+    store: Store, repaired: DataFrame, rules: Rules, existing: DataFrame | None, row: _RunRow
 ) -> DataFrame:
     """Disposition of the repaired rows: a healed key may already be held by a row of this run."""
-    contract = rules.contract
+    contract, run_id = rules.contract, row.run_id
     if contract.unique_key is None:
         hit = repaired.withColumn("collided", F.lit(False))
     else:
@@ -264,7 +267,7 @@ def _settle_repaired(
         healed = repaired.select(claim.alias("claim"), "run_id", "row_index", "healed").filter(
             F.col("claim").isNotNull()
         )
-        written = store.accepted(run_id)
+        written = store.accepted(run_id, row.attempt)
         held = (
             written.select(F.col(contract.unique_key).alias("claim"), "row_index")
             .join(healed.select("claim").distinct(), "claim", "left_semi")

@@ -1,11 +1,16 @@
 """The four output tables of the runs, as Parquet below one root folder.
 
-Every run writes to folders of its own (``run_id=<n>``), in overwrite mode. Repeating a run, for
-instance after a stream restarted inside a batch, replaces its rows and touches no other run's.
+Every run writes to folders of its own (``run_id=<n>``). Its clean, quarantined and audit rows carry the attempt
+that wrote them, and a marker written at the end of the attempt names it. Readers see the rows of the last marked
+attempt of each run, so a run that is under way or was killed shows nothing, and one that is repeated shows its
+earlier rows until all new ones are there. Rows that carry no attempt, written in bulk by other jobs, are always seen.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +38,10 @@ AUDIT = (
 )
 ALERTS = "quarantined_count bigint, error_types map<string,bigint>, text string, created_at timestamp, run_id bigint"
 RESOLUTIONS = "run_id bigint, row_index bigint, resolved_at timestamp"
+ATTEMPTS = "attempt bigint, shown_at timestamp, run_id bigint"
+_ATTEMPT, _SHOWN = "__attempt", "__shown"
+# Markers take 16 bytes a run. Up to this many (64 MB) they are broadcast, beyond it Spark chooses the join.
+BROADCAST_MARKERS = 4_000_000
 
 
 def known_keys(table: DataFrame, column: str) -> DataFrame:
@@ -52,18 +61,74 @@ class Store:
             pieces.append(part)
         return "/".join(pieces)
 
-    def _read(self, table: str, schema: str) -> DataFrame:
+    def _load(self, schema: str, load: Callable[[str], DataFrame]) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(self.path(table))
+            return load(schema)
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def _read(self, table: str, schema: str) -> DataFrame:
+        return self._load(schema, lambda s: self.spark.read.schema(s).parquet(self.path(table)))
+
+    def _rows_of_runs(self, table: str, schema: str, run_ids: list[int] | None = None) -> DataFrame:
+        """Rows of marked attempts, of some runs (whose folders are read without listing the others) or of all.
+
+        The markers are read before the files are listed: an attempt marked by then has all its files, and one
+        marked later is not seen at all.
+        """
+        shown = self.shown(run_ids)
+        path = self.path(table)
+        if run_ids is not None:
+            path += f"/run_id={{{','.join(map(str, run_ids))}}}"
+        rows = self._load(
+            f"{schema}, {_ATTEMPT} bigint",
+            lambda s: self.spark.read.schema(s).option("basePath", self.path(table)).parquet(path),
+        )
+        if not shown:
+            return rows.filter(F.col(_ATTEMPT).isNull()).drop(_ATTEMPT)
+        marks = self.spark.createDataFrame(list(shown.items()), f"run_id bigint, {_SHOWN} bigint")
+        if len(shown) <= BROADCAST_MARKERS:
+            marks = F.broadcast(marks)
+        seen = F.col(_ATTEMPT).isNull() | (F.col(_ATTEMPT) == F.col(_SHOWN))
+        return rows.join(marks, "run_id", "left").filter(seen).select(
+            *[c for c in rows.columns if c != _ATTEMPT]
+        )
+
+    def shown(self, run_ids: list[int] | None = None) -> dict[int, int]:
+        """The attempt of each run whose rows are seen: one number per run comes to the driver, which lists the
+        folders of the runs anyway."""
+        marks = self._read("attempts", ATTEMPTS)
+        if run_ids is not None:
+            marks = marks.filter(F.col("run_id").isin(run_ids))
+        return dict(marks.groupBy("run_id").agg(F.max("attempt")).collect())
+
+    def new_attempt(self, run_id: int) -> int:
+        """A number above those of all earlier attempts of the run that were shown."""
+        return max(time.time_ns() // 1000, self.shown([run_id]).get(run_id, 0) + 1)
+
+    def show(self, run_id: int, attempt: int) -> None:
+        """Mark an attempt that has written all its rows; from now on they are what readers see of the run.
+
+        Files of earlier attempts are removed, but for the one seen until now, which readers may have in hand.
+        Markers are only added, so no reader finds the run without one.
+        """
+        before = self.shown([run_id]).get(run_id)
+        mark = self.spark.range(1).select(F.lit(attempt).alias("attempt"), F.current_timestamp().alias("shown_at"))
+        mark.write.mode("append").parquet(self.path("attempts", run_id))
+        for table in ("clean", "quarantine", "audit"):
+            files = self._load(
+                f"{_ATTEMPT} bigint", lambda s, t=table: self.spark.read.schema(s).parquet(self.path(t, run_id))
+            )
+            old = (F.col(_ATTEMPT) < attempt) & (F.col(_ATTEMPT) != F.lit(before or 0))
+            for (path,) in files.filter(old).select("_metadata.file_path").distinct().collect() if files.inputFiles() else ():
+                remove_path(self.spark, path)
+
     def clean(self) -> DataFrame:
         """Accepted rows; ``origin`` tells first-pass rows from healed ones."""
         typed = ", ".join(f"{f.name} {f.rule.sql_type}" for f in self.contract.fields)
-        return self._read(
+        return self._rows_of_runs(
             "clean", f"row_index bigint, {typed}, created_at timestamp, run_id bigint, origin string"
         )
 
@@ -78,11 +143,12 @@ class Store:
             clean = clean.filter(F.col("run_id") != not_run)
         return clean.select(self.contract.unique_key)
 
-    def accepted(self, run_id: int, origin: str = "first_pass") -> DataFrame:
-        """Rows of one run, read from its own folder without listing the others."""
+    def accepted(self, run_id: int, attempt: int, origin: str = "first_pass") -> DataFrame:
+        """Rows of one attempt of a run, marked or not, read from its own folder without listing the others."""
         typed = ", ".join(f"{f.name} {f.rule.sql_type}" for f in self.contract.fields)
-        schema = f"row_index bigint, {typed}, created_at timestamp"
-        return self.spark.read.schema(schema).parquet(self.path("clean", run_id, f"origin={origin}"))
+        schema = f"row_index bigint, {typed}, created_at timestamp, {_ATTEMPT} bigint"
+        rows = self.spark.read.schema(schema).parquet(self.path("clean", run_id, f"origin={origin}"))
+        return rows.filter(F.col(_ATTEMPT) == attempt).drop(_ATTEMPT)
 
     def alerts(self) -> DataFrame:
         """One row per run that quarantined anything, whatever became of its delivery."""
@@ -113,30 +179,30 @@ class Store:
         return len(ended)
 
     def audit(self) -> DataFrame:
-        return self._read("audit", AUDIT)
+        return self._rows_of_runs("audit", AUDIT)
 
     def resolutions(self) -> DataFrame:
         return self._read("resolutions", RESOLUTIONS)
 
     def quarantine(self) -> DataFrame:
         """Quarantined rows with the current ``resolved`` flag."""
-        return with_resolutions(self._read("quarantine", QUARANTINE), self.resolutions())
+        return with_resolutions(self._rows_of_runs("quarantine", QUARANTINE), self.resolutions())
 
     def quarantine_of(self, run_ids: list[int]) -> DataFrame:
         """Quarantined rows of some runs, read from their folders without listing the others; resolutions of
         other runs are not joined."""
-        base = self.path("quarantine")
-        try:
-            reader = self.spark.read.schema(QUARANTINE).option("basePath", base)
-            rows = reader.parquet(f"{base}/run_id={{{','.join(map(str, run_ids))}}}")
-        except AnalysisException as exc:
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            return self.spark.createDataFrame([], QUARANTINE)
+        rows = self._rows_of_runs("quarantine", QUARANTINE, run_ids)
         return with_resolutions(rows, self.resolutions().filter(F.col("run_id").isin(run_ids)))
 
-    def write(self, frame: DataFrame, table: str, run_id: int, part: str | None = None) -> None:
-        frame.drop("run_id").write.mode("overwrite").parquet(self.path(table, run_id, part))
+    def write(
+        self, frame: DataFrame, table: str, run_id: int, part: str | None = None, attempt: int | None = None
+    ) -> None:
+        """Write rows of a run: beside those of its other attempts, or without an attempt in place of all."""
+        rows = frame.drop("run_id")
+        if attempt is None:
+            rows.write.mode("overwrite").parquet(self.path(table, run_id, part))
+        else:
+            rows.withColumn(_ATTEMPT, F.lit(attempt).cast("bigint")).write.mode("append").parquet(self.path(table, run_id, part))
 
     def resolve(self, run_id: int, row_index: int) -> DataFrame:
         """Mark a quarantined row as resolved and return it; an unknown id gives no row."""
@@ -146,6 +212,6 @@ class Store:
             F.current_timestamp().alias("resolved_at"),
         )
         wanted = (F.col("run_id") == run_id) & (F.col("row_index") == row_index)
-        if not self._read("quarantine", QUARANTINE).filter(wanted).isEmpty():
+        if not self._rows_of_runs("quarantine", QUARANTINE, [run_id]).filter(wanted).isEmpty():
             entry.write.mode("append").parquet(self.path("resolutions"))
         return self.quarantine().filter(wanted)

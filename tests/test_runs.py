@@ -48,6 +48,66 @@ def test_run_writes_every_row_once(store, make_rows, known):
     assert [a["quarantined_count"] for a in alerts] == [3]
 
 
+class Watched(Store):
+    """Notes after each write what a reader sees of the run, and is killed after a given number of them."""
+
+    def __init__(self, *args, writes=99):
+        super().__init__(*args)
+        self.writes, self.seen = writes, []
+
+    def write(self, frame, table, run_id, part=None, attempt=None):
+        super().write(frame, table, run_id, part, attempt)
+        if attempt is not None:
+            self.seen.append(contents(Store(self.spark, self.root, self.contract)))
+            self.writes -= 1
+            if not self.writes:
+                raise KeyboardInterrupt
+
+
+def contents(store):
+    rows = [("clean", r.run_id, r.row_index) for r in store.clean().collect()]
+    rows += [("quarantine", r.run_id, r.row_index) for r in store.quarantine().collect()]
+    return sorted(rows + [("audit", r.run_id, r.row_index) for r in store.audit().collect()])
+
+
+def test_rows_of_a_run_are_seen_at_its_end(spark, store, make_rows, known):
+    frame = batch(make_rows, {}, {"amount": "$5"}, {"status": ""})
+    first = Watched(spark, store.root, ORDERS)
+    go(first, frame, known)
+    assert first.seen == [[]] * 4
+    whole = contents(store)
+    assert [x[:1] + x[2:] for x in whole] == [("audit", 1), ("audit", 2), ("clean", 0), ("clean", 1), ("quarantine", 2)]
+
+    # the run is repeated with other rows and killed: the rows of before stand, whole, also for other runs
+    other = batch(make_rows, {"status": ""}, {})
+    for writes in (1, 3):
+        killed = Watched(spark, store.root, ORDERS, writes=writes)
+        with pytest.raises(KeyboardInterrupt):
+            go(killed, other, known)
+        assert killed.seen == [whole] * writes and contents(store) == whole
+        assert store.quarantine_of([1]).count() == 1 and store.existing_keys(not_run=2).count() == 2
+    # repeated once more it is replaced as a whole, and files of killed attempts are gone
+    again = Watched(spark, store.root, ORDERS)
+    done = go(again, other, known)
+    assert again.seen == [whole] * 4 and done["row_count"] == 2
+    assert [x for x in contents(store) if x[0] != "audit"] == [("clean", 1, 1), ("quarantine", 1, 0)]
+    assert spark.read.parquet(store.path("clean", 1)).select("__attempt").distinct().count() == 2
+    go(store, other, known)
+    assert [x for x in contents(store) if x[0] != "audit"] == [("clean", 1, 1), ("quarantine", 1, 0)]
+    assert spark.read.parquet(store.path("clean", 1)).select("__attempt").distinct().count() == 2
+
+
+def test_a_failed_run_shows_what_it_had_written(spark, store, make_rows, known, monkeypatch):
+    def fail(*args):
+        raise ValueError("no repairs today")
+
+    monkeypatch.setattr("mendery.plans.run.repair_rows", fail)
+    with pytest.raises(ValueError, match="no repairs"):
+        go(store, batch(make_rows, {}, {"amount": "$5"}), known)
+    assert contents(store) == [("clean", 1, 0)]
+    assert [r["status"] for r in store.runs().collect()] == ["failed"]
+
+
 def test_all_clean_run(store, make_rows, known):
     done = go(store, batch(make_rows, {}, {}), known)
     assert (done["clean_first_pass"], done["healed"], done["quarantined"]) == (2, 0, 0)
