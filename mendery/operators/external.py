@@ -1,13 +1,16 @@
 """Diagnoses from an external service, with the heuristic as the fallback.
 
-No client is shipped. The user gives a factory that is called once per task and returns a callable
-``(system_prompt, user_prompt) -> response text``. A failing call is a value, never an aborted job.
+No client is shipped. The user gives a factory that is called once per thread of a task and returns a callable
+``(system_prompt, user_prompt) -> response text``. A failing call is a value, never an aborted job. Rows of one
+attempt with equal prompts share one call and its answer, whatever it is.
 """
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,12 +19,15 @@ from pyspark.sql import types as T
 
 from mendery.contract import Contract, TransformRegistry
 from mendery.operators.diagnose import DIAGNOSIS_TYPE, diagnosis
+from mendery.operators.lookup import keyed_lookup
 from mendery.session import settle_table
 
 Client = Callable[[str, str], str]
 ClientFactory = Callable[[], Client]
 
 MAX_IN_FLIGHT = 8
+# A call is mostly waiting, so a task, which holds a core, has several under way.
+CALLS_A_TASK = 4
 EXTERNAL = "llm"
 
 _CALL_TYPE = T.StructType(
@@ -64,34 +70,49 @@ def user_prompt(row: Column, error_type: Column, errors: Column) -> Column:
     )
 
 
-def call_service(factory: ClientFactory, instructions: str):
-    """Arrow-batched UDF ``prompt -> struct<response,error,elapsed_ms>``.
+def call_service(factory: ClientFactory, instructions: str, threads: int = 1):
+    """Arrow-batched UDF ``prompt -> struct<response,error,elapsed_ms>`` with ``threads`` calls at a time a task.
 
-    Only the prompt column crosses to Python. NULL prompts (rows that need no diagnosis) are not sent.
+    Only the prompt column crosses to Python. NULL prompts (rows that need no diagnosis) are not sent. Every
+    thread has a client of its own.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        client: Client | None = None
-        broken: str | None = None
-        for batch in batches:
-            out = []
-            for prompt in batch:
-                if prompt is None or prompt != prompt:
-                    out.append((None, None, None))
-                    continue
-                started = time.perf_counter()
-                try:
-                    if client is None:
-                        client = factory()
-                    answer, broken = client(instructions, prompt), None
-                except Exception as exc:
-                    answer, broken = None, f"call failed: {exc}"
-                out.append((answer, broken, (time.perf_counter() - started) * 1000))
-            yield pd.DataFrame(out, columns=["response", "error", "elapsed_ms"])
+        own = threading.local()
+
+        def call(prompt: str | None) -> tuple[str | None, str | None, float | None]:
+            if prompt is None or prompt != prompt:
+                return None, None, None
+            started = time.perf_counter()
+            try:
+                if not hasattr(own, "client"):
+                    own.client = factory()
+                response, error = own.client(instructions, prompt), None
+            except Exception as exc:
+                response, error = None, f"call failed: {exc}"
+            return response, error, (time.perf_counter() - started) * 1000
+
+        with ThreadPoolExecutor(threads) as pool:
+            for batch in batches:
+                yield pd.DataFrame(list(pool.map(call, batch)), columns=["response", "error", "elapsed_ms"])
 
     return F.pandas_udf(run, _CALL_TYPE)
 
 
+def shared_answers(
+    prompts: DataFrame, factory: ClientFactory, instructions: str, max_in_flight: int = MAX_IN_FLIGHT
+) -> DataFrame:
+    """One row per different ``prompt``: its ``digest``, ``n_rows`` that have it, and the ``call``.
+
+    Equal prompts meet after they were reduced where they lie, so one that very many rows have is asked once.
+    Tasks times calls of a task is at most ``max_in_flight``.
+    """
+    tasks = max(max_in_flight // CALLS_A_TASK, 1)
+    ask = call_service(factory, instructions, max(max_in_flight // tasks, 1))
+    different = prompts.groupBy("digest").agg(F.any_value("prompt").alias("prompt"), F.count("*").alias("n_rows"))
+    return different.repartition(tasks).select("digest", "n_rows", ask(F.col("prompt")).alias("call"))
+
+
 def parse_response(response: Column, transforms: tuple[str, ...]) -> Column:
     """Validated diagnosis of a response text, as ``struct<diagnosis,error>``.
 
@@ -131,24 +152,28 @@ def external_diagnoser(
 ) -> Callable[[DataFrame], DataFrame]:
     """A diagnoser for the repair loop that asks the service first.
 
-    The rows are written before, and only the prompts of rows that are still being repaired travel, with
-    their position, to at most ``max_in_flight`` tasks: that bounds how many calls run at the same time and
-    narrows nothing else. Answers are written to the shared folder, since asking again could give other
-    answers: a lost executor must not change the result.
+    The rows are written before, and only the different prompts of rows that are still being repaired travel,
+    to a few tasks with several calls each: at most ``max_in_flight`` run at the same time, and nothing else is
+    narrowed. Answers are written to the shared folder before they are used, since asking again could give
+    other answers: a lost executor must not change the result. They come back by the prompt's digest, in a
+    join that stays even where very many rows share a prompt.
     """
     instructions = system_prompt(contract, registry)
-    ask = call_service(factory, instructions)
-    position = ["run_id", "row_index"]
 
     def diagnose(frame: DataFrame) -> DataFrame:
-        rows = settle_table(frame, "attempt")
         state = F.col("__state")
-        prompts = rows.filter(state["active"]).select(
-            *position, user_prompt(state["row"], state["type"], F.col("__errors")).alias("__prompt")
-        )
-        asked = prompts.repartition(max_in_flight).withColumn("__call", ask(F.col("__prompt")))
-        answers = settle_table(asked.select(*position, "__call"), "answers")
-        answered = rows.join(answers, position, "left")
+        prompt = F.when(state["active"], user_prompt(state["row"], state["type"], F.col("__errors")))
+        rows = settle_table(frame.withColumn("__prompt", prompt), "attempt")
+        digest = F.sha2("__prompt", 256)
+        prompts = rows.filter(F.col("__prompt").isNotNull()).select(digest.alias("digest"), F.col("__prompt").alias("prompt"))
+        answers = shared_answers(prompts, factory, instructions, max_in_flight).withColumnRenamed("call", "__call")
+        answered = keyed_lookup(
+            rows.withColumn("__digest", digest).drop("__prompt"),
+            answers,
+            {"digest": F.col("__digest")},
+            ["__call"],
+            F.struct("run_id", "row_index"),
+        ).drop("__digest")
         call = F.col("__call")
         answer = F.when(call.isNotNull() & call["error"].isNull(), parse_response(call["response"], registry.ids)["diagnosis"])
         before = F.col("heal_ms") if "heal_ms" in frame.columns else F.lit(0.0)

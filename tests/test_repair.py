@@ -1,6 +1,9 @@
 """Diagnosis and the repair loop."""
 
+import itertools
 import json
+import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,6 +173,32 @@ def test_external_failure_falls_back(make_rows, known, factory):
     assert row["healed"] and row["attempts"][0]["source"] == "heuristic"
 
 
+def test_equal_prompts_are_asked_once_and_few_calls_run_at_a_time(make_rows, known, tmp_path):
+    """Each call leaves a file with the times of its start and end."""
+    log = str(tmp_path)
+
+    def slow():
+        def call(system, user):
+            started = time.time()
+            time.sleep(0.3)
+            with open(f"{log}/{uuid.uuid4().hex}", "w") as out:
+                print(started, time.time(), "$7" in user, file=out)
+            return answer("coerce_amount", 0.7)
+
+        return call
+
+    registry = built_in_transforms(ORDERS)
+    rows = make_rows(*[{"amount": "$7", "order_id": "ORD-000001"}] * 40, *[{"amount": f"${n}"} for n in range(100, 130)])
+    got = repaired(rows, known, diagnoser=external_diagnoser(slow, ORDERS, registry))
+    assert len(got) == 70 and all(a["source"] == "llm" for r in got for a in r["attempts"])
+    assert all(r["heal_ms"] >= 300 for r in got)
+    calls = [p.read_text().split() for p in tmp_path.iterdir()]
+    assert len(calls) == 31 and sum(c[2] == "True" for c in calls) == 1
+    edges = sorted([(float(c[0]), 1) for c in calls] + [(float(c[1]), -1) for c in calls])
+    under_way = list(itertools.accumulate(step for _, step in edges))
+    assert 2 < max(under_way) <= 8
+
+
 def test_proposal_that_applies_nowhere(make_rows, known):
     """No repair: the reason is no_fix, yet the attempt names the transform."""
     registry = built_in_transforms(ORDERS)
