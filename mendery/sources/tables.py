@@ -99,7 +99,7 @@ class Store:
     def shown(self, run_ids: list[int] | None = None) -> dict[int, int]:
         """The attempt of each run whose rows are seen: one number per run comes to the driver, which lists the
         folders of the runs anyway."""
-        marks = self._read("attempts", ATTEMPTS)
+        marks = self._read("attempts", ATTEMPTS).unionByName(self._read("attempts_compacted", ATTEMPTS))
         if run_ids is not None:
             marks = marks.filter(F.col("run_id").isin(run_ids))
         return dict(marks.groupBy("run_id").agg(F.max("attempt")).collect())
@@ -164,7 +164,7 @@ class Store:
         return live.unionByName(latest.join(live.select("run_id"), "run_id", "left_anti"))
 
     def compact_runs(self) -> int:
-        """Bring the rows of ended runs together in one file, and return how many there were.
+        """Bring the rows and the markers of ended runs together in one file each, and return how many runs there were.
 
         A run writes a folder of its own, so that repeating it touches no other; listing very many of them
         is slow. Their folders are removed only after the file is written; a run that is repeated later has
@@ -174,7 +174,10 @@ class Store:
         if ended:
             rows = self._read("runs", RUNS).filter("status <> 'running'")
             rows.coalesce(1).write.mode("append").parquet(self.path("runs_compacted"))
+            marks = self._read("attempts", ATTEMPTS).filter(F.col("run_id").isin(ended))
+            marks.coalesce(1).write.mode("append").parquet(self.path("attempts_compacted"))
             for run_id in ended:
+                remove_path(self.spark, self.path("attempts", run_id))
                 remove_path(self.spark, self.path("runs", run_id))
         return len(ended)
 

@@ -92,6 +92,8 @@ def test_rows_of_a_run_are_seen_at_its_end(spark, store, make_rows, known):
     assert again.seen == [whole] * 4 and done["row_count"] == 2
     assert [x for x in contents(store) if x[0] != "audit"] == [("clean", 1, 1), ("quarantine", 1, 0)]
     assert spark.read.parquet(store.path("clean", 1)).select("__attempt").distinct().count() == 2
+    # markers that were brought together count like others, also against those of later attempts
+    assert store.compact_runs() == 1 and contents(store) == contents(again) != whole
     go(store, other, known)
     assert [x for x in contents(store) if x[0] != "audit"] == [("clean", 1, 1), ("quarantine", 1, 0)]
     assert spark.read.parquet(store.path("clean", 1)).select("__attempt").distinct().count() == 2
