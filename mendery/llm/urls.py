@@ -29,7 +29,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-MAX_WORD = 20  # letters of a dictionary word; longer runs are split or stay unknown
+# Words up to this many letters are looked up as substrings of a run, longer ones by their first so many letters.
+HEAD = 20
 SMOOTHING = 1.0
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -63,14 +64,14 @@ def rule_words(rules=RULES) -> list[str]:
 
 
 def word_counts(pages: DataFrame) -> DataFrame:
-    """How often each word of 1 to MAX_WORD letters stands in the text of all pages."""
+    """How often each word, of any length, stands in the text of all pages."""
 
     def make():
         def rows(htmls):
             counts: Counter[bytes] = Counter()
             for html in htmls:
                 if html:
-                    counts.update(w for w in _RUN.findall(_TAG.sub(b" ", html).lower()) if len(w) <= MAX_WORD)
+                    counts.update(_RUN.findall(_TAG.sub(b" ", html).lower()))
             return list(counts.items())
 
         return rows
@@ -83,16 +84,19 @@ def split_run(run: str, counts: dict[tuple[int, int], int], total: int) -> list[
     """Most probable words of a letter run: unigram Viterbi. ``counts`` has (start, length) of the substrings
     that are words. An unknown substring costs ten times more with each letter; of equal splits the one with
     the longer last words wins."""
-    n = len(run)
+    n, step, logs = len(run), math.log(10), math.log(max(total, 1))
     best = [(0.0, 0)] + [(-math.inf, 0)] * n
-    logs = math.log(max(total, 1))
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for (start, size), seen in sorted(counts.items()):
+        ending.setdefault(start + size, []).append((start, seen))
+    # where an unknown word that goes on to any later letter had best begin: its cost grows alike from all starts
+    unknown, begins = -math.inf, 0
     for end in range(1, n + 1):
-        for start in range(max(0, end - MAX_WORD), end):
-            size = end - start
-            seen = counts.get((start, size), 0)
-            score = best[start][0] + (math.log(seen) if seen else math.log(0.1) - size * math.log(10)) - logs
-            if score > best[end][0]:
-                best[end] = (score, start)
+        if best[end - 1][0] + (end - 1) * step > unknown:
+            unknown, begins = best[end - 1][0] + (end - 1) * step, end - 1
+        ways = [(unknown - end * step - step - logs, begins)]
+        ways += [(best[start][0] + math.log(seen) - logs, start) for start, seen in ending.get(end, ())]
+        best[end] = max(ways, key=lambda w: (w[0], -w[1]))
     words, end = [], n
     while end:
         start = best[end][1]
@@ -103,7 +107,8 @@ def split_run(run: str, counts: dict[tuple[int, int], int], total: int) -> list[
 
 def split_runs(runs: DataFrame, unigrams: DataFrame) -> DataFrame:
     """(run, words) for distinct letter runs. A run's substrings look their counts up by a join; what comes
-    back together is one run's substrings, at most MAX_WORD times its letters."""
+    back together is one run's words. Of words longer than HEAD, those are compared whose first letters stand in
+    the run, so a long run has HEAD substrings a letter and not one for each pair of its letters."""
     total = unigrams.agg(F.sum("n").alias("n")).first()["n"] or 0
     at = F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start")
     pieces = (
@@ -111,11 +116,15 @@ def split_runs(runs: DataFrame, unigrams: DataFrame) -> DataFrame:
         .select(
             "run",
             "start",
-            F.explode(F.sequence(F.lit(1), F.least(F.lit(MAX_WORD), F.length("run") - F.col("start") + 1))).alias("size"),
+            F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), F.length("run") - F.col("start") + 1))).alias("size"),
         )
         .select("run", "start", "size", F.substr("run", "start", "size").alias("word"))
     )
-    known = pieces.join(unigrams, "word").groupBy("run").agg(F.collect_list(F.struct("start", "size", "n")).alias("found"))
+    short = pieces.join(unigrams, "word").select("run", "start", "size", "n")
+    words = unigrams.filter(F.length("word") > HEAD).select(F.substr("word", F.lit(1), F.lit(HEAD)).alias("head"), "word", "n")
+    heads = runs.filter(F.length("run") > HEAD).select("run", at).select("run", "start", F.substr("run", "start", F.lit(HEAD)).alias("head"))
+    long = heads.join(words, "head").filter(F.substr("run", "start", F.length("word")) == F.col("word"))
+    known = short.unionByName(long.select("run", "start", F.length("word").alias("size"), "n")).groupBy("run").agg(F.collect_list(F.struct("start", "size", "n")).alias("found"))
 
     def make():
         def rows(names, found):

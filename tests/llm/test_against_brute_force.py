@@ -472,6 +472,15 @@ def test_splits_are_the_most_probable():
         assert abs(cost(got) - max(map(cost, all_splits(run)))) < 1e-9
 
 
+@pytest.mark.parametrize("length", [19, 20, 21, 34, 400])
+def test_words_and_unknown_runs_of_any_length(spark, length):
+    long, odd = "".join(random.Random(length).choices("bcdfg", k=length)), "z" * length
+    pages = spark.createDataFrame([(f"<p>{long} apple {long} pie apple</p>".encode(),)], "html binary")
+    runs = spark.createDataFrame([(r,) for r in (f"apple{long}pie", odd, f"apple{odd}", f"{long[:-1]}pie")], "run string")
+    got = dict(urls.split_runs(runs, urls.word_counts(pages)).collect())
+    assert got == {f"apple{long}pie": ["apple", long, "pie"], odd: [odd], f"apple{odd}": ["apple", odd], f"{long[:-1]}pie": [long[:-1], "pie"]}
+
+
 def test_rules_and_model(spark):
     html = "<html><body>" + "cheap pills news daily report " * 20 + "</body></html>"
     rows = [
