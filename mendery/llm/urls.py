@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mendery.llm.common import map_rows, table
+from mendery.session import settle_table
 
 # host, path, verdict
 RULES = (
@@ -157,7 +158,9 @@ def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
 
     bags = judged.groupBy("bag").agg(F.count_if(F.col("ruled") == "allow").alias("allowed"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     single = bags.select(F.explode(F.split("bag", " ")).alias("run"), "bag", "allowed", "blocked").filter("run <> ''")
-    words = split_runs(single.select("run").distinct(), word_counts(pages))
+    # written, so that the texts are read once whatever is computed from them
+    unigrams = settle_table(word_counts(pages), "unigrams")
+    words = split_runs(single.select("run").distinct(), unigrams)
     tokens = (
         single.join(words, "run")
         .select("bag", "allowed", "blocked", F.explode("words").alias("token"))
