@@ -4,10 +4,8 @@ Words become typed placeholders where a question could be re-parameterised: numb
 inside a sentence) and units (after a number). Windows of ``WINDOW`` canonical words of the benchmark are
 hash-joined with those of every document. Around the hits the item is lined up with the text word by word:
 runs of equal canonical words, in order, whose differences of positions change by at most ``DRIFT`` from run
-to run, so that changed, added and dropped words only cost themselves. Each slot of the item stands for the
-one value of the document that it is lined up with; other slots may hold equal values on either side, and a
-window that agrees on values with most slots of the item is only better evidence (``n_matched``). An item
-counts as leaked when of its words, lined up like this,
+to run, so that changed, added and dropped words only cost themselves. An item counts as leaked when of its
+words, lined up like this,
 
 - at least ``MIN_COVERAGE`` match, whatever the values of their slots, or
 - at least ``MIN_PART``, and ``MIN_WORDS`` of them, stand as they are, or
@@ -15,6 +13,13 @@ counts as leaked when of its words, lined up like this,
 
 An item of up to ``MIN_WORDS`` words must match whole, wherever it stands, and one of nothing but slots and
 punctuation must have its own values. It is ``reparameterised`` when a slot value differs.
+
+Slots must be consistent: what the item names more than once is one thing, so an alignment that gives it two
+different new values is another text, and a leak only if at least ``MIN_COVERAGE`` of the item stand as they are or
+``LONG_RUN`` do without a gap. A slot that keeps its own value contradicts nothing (the other one is an edit), the
+document may give one value to different things of the item, and values of ``CHANCE_CHARS`` characters and words for
+numbers agree by chance inside an item, so they bind nothing. Windows that agree with the value which most slots
+of a thing have count as matched (``n_matched``).
 """
 
 from __future__ import annotations
@@ -36,6 +41,7 @@ MIN_PART = 0.5
 MIN_WORDS = 8
 LONG_RUN = 15
 DRIFT = 6
+CHANCE_CHARS = 1  # values of an item up to this long may be equal without meaning the same thing
 PIECE = 2  # words of a run that is lined up beside a window
 # The benchmark is joined in blocks of at most so many words, each broadcast to all documents in turn, so
 # what is sent out is bounded whatever the size of the benchmark (about 80 MB a block).
@@ -297,13 +303,19 @@ def _consistent(pieces, words, item_words, template, item, item_id) -> Leak | No
             votes[a][b] += 1
     chosen = {a: max(c.items(), key=lambda x: (x[1], x[0]))[0] for a, c in votes.items()}
     lost = {q for q, (a, b) in filled.items() if chosen[a] != b}
+    contradicted = any(
+        len(c.keys() - {a}) > 1 for a, c in votes.items() if len(a) > CHANCE_CHARS and a not in NUMBER_WORDS
+    )
     n = len(item_words)
     good, stands = np.zeros(n, bool), np.zeros(n, bool)
-    size, matched, longest, places = min(WINDOW, n), 0, 0, []
+    size, matched, longest, unbroken, places = min(WINDOW, n), 0, 0, 0, []
     for start, end, shift in pieces:
         good[start:end] = True
         stands[start:end] = (item.word[start:end] == template.word[start + shift : end + shift]) & (item.word[start:end] != _BARE)
         longest = max(longest, int(stands[start:end].sum()))
+        if contradicted:
+            gaps = np.flatnonzero(item.word[start:end] != template.word[start + shift : end + shift])
+            unbroken = max(unbroken, int(np.diff(np.concatenate([[-1], gaps, [end - start]])).max()) - 1)
         places += [start + shift, end + shift]
         cuts = [start - 1, *sorted(q for q in lost if start <= q < end), end]
         matched += sum(max(0, j - i - size) for i, j in zip(cuts, cuts[1:], strict=False))
@@ -311,7 +323,9 @@ def _consistent(pieces, words, item_words, template, item, item_id) -> Leak | No
     if (item.slot | (item.word == _BARE)).all():
         own = [item_words[q] == words[q + shift] for start, end, shift in pieces for q in range(start, end)]
         covered = max(standing, sum(own))
-    if n <= MIN_WORDS:
+    if contradicted:
+        leaked = unbroken >= LONG_RUN or n > MIN_WORDS and standing >= MIN_COVERAGE * n
+    elif n <= MIN_WORDS:
         leaked = covered == n
     else:
         leaked = covered >= MIN_COVERAGE * n or standing >= max(MIN_WORDS, MIN_PART * n) or longest >= LONG_RUN

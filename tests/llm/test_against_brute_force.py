@@ -292,11 +292,28 @@ def test_leaks_and_slots(spark, make_documents, prose):
     ]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     out = {(r.doc_id, r.item_id): r for r in decontamination.leaks(make_documents(docs), bench).collect()}
-    assert {(1, 1), (2, 1), (4, 2)} <= set(out) <= {(1, 1), (2, 1), (4, 2), (6, 1)}
+    assert set(out) == {(1, 1), (2, 1), (4, 2)}  # 60 cannot stand for 75 and for 3
     assert not out[1, 1].reparameterised and out[2, 1].reparameterised
     assert out[2, 1].slots == "12>9,60>75,paris>oslo,rome>bern"
-    if (6, 1) in out:
-        assert out[6, 1].n_matched < out[2, 1].n_matched
+
+
+@pytest.mark.parametrize(
+    "first, second, leaked",
+    [("60", "60", True), ("75", "75", True), ("75", "3", False), ("60", "61", True), ("61", "60", True), ("12", "12", True), ("12", "61", False)],
+)
+def test_contradicting_slots_decide(prose, first, second, leaked):
+    item = "A train leaves Paris at 60 km per hour and reaches Rome after 12 hours with 60 people on board"
+    text = f"A train leaves Oslo at {first} km per hour and reaches Bern after 9 hours with {second} people on board"
+    assert leaked_items(" ".join(prose(30, 1) + [text] + prose(30, 2)), [item]) == [0] * leaked
+
+
+def test_contradicting_slots_of_mostly_verbatim_items(prose):
+    words = prose(50, 500)
+    words[5] = words[40] = "1850"
+    other = words[:5] + ["1860"] + words[6:40] + ["1870"] + words[41:]
+    fill = lambda t: " ".join(prose(30, 1) + t + prose(30, 2))
+    assert leaked_items(fill(other), [" ".join(words)]) == [0]
+    assert leaked_items(fill(other[:30]), [" ".join(words)]) == [0]
 
 
 def test_blocks_of_the_benchmark_give_the_same(spark, make_documents, prose, monkeypatch):
