@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mendery.contract import Contract
 from mendery.functions.text import strip
-from mendery.operators.lookup import known_flag, keyed_lookup
+from mendery.operators.lookup import below_broadcast_limit, known_flag, keyed_lookup
 from mendery.session import settle_table
 
+# Ranges of keys that a scan of the store is filtered by, and the prefix lengths that they may come from.
+MOST_RANGES = 64
+PREFIXES = tuple(range(1, 33))
+
 
 class SchemaDriftError(Exception):
     """A batch carries columns that its contract does not declare."""
@@ -118,15 +122,39 @@ def store_duplicates(checked: DataFrame, contract: Contract, existing: DataFrame
     return found.filter(F.col("__held")).drop("__held")
 
 
+def claim_ranges(claims: DataFrame, most: int = MOST_RANGES) -> list[tuple[str, str]]:
+    """At most ``most`` ranges that together hold all claims, close where the claims are close.
+
+    Claims are grouped by the longest prefix that leaves few enough groups, so that a few claims far from the
+    others do not widen the ranges of those. Only the ends of the ranges come to the driver.
+    """
+    claim = F.col("claim")
+    sizes = claims.agg(*[F.approx_count_distinct(F.left(claim, F.lit(n))).alias(str(n)) for n in PREFIXES]).first()
+    fits = [n for n in PREFIXES if sizes[str(n)] <= most]
+    for n in [*reversed(fits), 0]:
+        groups = claims.filter(claim.isNotNull()).groupBy(F.left(claim, F.lit(n)).alias("__prefix"))
+        ends = groups.agg(F.min(claim).alias("low"), F.max(claim).alias("high")).limit(most + 1).collect()
+        if len(ends) <= most:
+            break
+    return sorted((r["low"], r["high"]) for r in ends)
+
+
 def held_keys(existing: DataFrame, claims: DataFrame) -> DataFrame:
     """Distinct claims that the store holds.
 
     The store is looked up from its own side: its key column is only scanned where Spark broadcasts the
     claims, which are written before and so have a known size. Where they are too many for that, Spark
     filters the scan with a Bloom filter of them. The store is never reduced or sorted as a whole.
+
+    The ranges in which the claims lie are part of the scan's filter, so files, row groups and pages without a
+    key in them are not read. Runs write their rows sorted by key in each file: where ids rise with time, and
+    for small batches of any ids, what is read follows the batch and not the history.
     """
     (column,) = existing.columns
     keys = existing.select(F.col(column).alias("claim"))
+    if not below_broadcast_limit(existing):
+        inside = [F.col(column).between(F.lit(low), F.lit(high)) for low, high in claim_ranges(claims)]
+        keys = existing.filter(reduce(Column.__or__, inside, F.lit(False))).select(F.col(column).alias("claim"))
     return keys.join(claims.select("claim").distinct(), "claim", "left_semi").distinct()
 
 

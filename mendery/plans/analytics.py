@@ -183,6 +183,11 @@ def totals(runs: DataFrame) -> DataFrame:
             )
         ],
     )
+    return with_rates(sums)
+
+
+def with_rates(sums: DataFrame) -> DataFrame:
+    """Add the heal rates to the one row of totals."""
     clean, healed = F.col("total_clean_first_pass"), F.col("total_healed")
     overall = F.try_divide((clean + healed).cast("double"), F.col("total_rows_processed").cast("double"))
     auto = F.try_divide(healed.cast("double"), (healed + F.col("total_quarantined")).cast("double"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from mendery.contract import Contract
 from mendery.operators.diagnose import DIAGNOSIS_TYPE
 from mendery.plans.analytics import with_resolutions
+from mendery.plans.running import TOTALS, merge_sums, run_sums
 from mendery.session import remove_path
 
 _HISTORY = DIAGNOSIS_TYPE.removeprefix("struct<").removesuffix(">")
@@ -39,7 +40,7 @@ AUDIT = (
 ALERTS = "quarantined_count bigint, error_types map<string,bigint>, text string, created_at timestamp, run_id bigint"
 RESOLUTIONS = "run_id bigint, row_index bigint, resolved_at timestamp"
 ATTEMPTS = "attempt bigint, shown_at timestamp, run_id bigint"
-_ATTEMPT, _SHOWN = "__attempt", "__shown"
+_ATTEMPT, _SHOWN, _MERGE = "__attempt", "__shown", "__merge"
 # Markers take 16 bytes a run. Up to this many (64 MB) they are broadcast, beyond it Spark chooses the join.
 BROADCAST_MARKERS = 4_000_000
 
@@ -49,6 +50,12 @@ def known_keys(table: DataFrame, column: str) -> DataFrame:
     return table.select(column).filter(F.col(column).isNotNull()).distinct()
 
 
+def _latest(compacted: DataFrame) -> DataFrame:
+    """The last row of each run that was brought together with others, maybe more than once."""
+    rest = [c for c in compacted.columns if c != "run_id"]
+    return compacted.groupBy("run_id").agg(F.max_by(F.struct(*rest), "finished_at").alias("row")).select("run_id", "row.*")
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str, contract: Contract):
         self.spark, self.root, self.contract = spark, root.rstrip("/"), contract
@@ -159,9 +166,29 @@ class Store:
         live, old = self._read("runs", RUNS), self._read("runs_compacted", RUNS)
         if old.isEmpty():
             return live
-        rest = [c for c in old.columns if c != "run_id"]
-        latest = old.groupBy("run_id").agg(F.max_by(F.struct(*rest), "finished_at").alias("row")).select("run_id", "row.*")
-        return live.unionByName(latest.join(live.select("run_id"), "run_id", "left_anti"))
+        return live.unionByName(_latest(old).join(live.select("run_id"), "run_id", "left_anti"))
+
+    def _merged(self) -> tuple[int, DataFrame]:
+        """The number of the last merge into the totals, and the totals as it left them."""
+        states = self._read("totals", f"{TOTALS}, {_MERGE} bigint")
+        last = states.agg(F.max(_MERGE)).first()[0] or 0
+        return last, states.filter(F.col(_MERGE) == last).drop(_MERGE)
+
+    def _merged_rows(self, last: int, run_ids: list[int]) -> DataFrame:
+        """The rows by which some runs count in the totals of a merge."""
+        rows = self._read("runs_compacted", f"{RUNS}, {_MERGE} bigint")
+        return _latest(rows.filter((F.col(_MERGE) <= last) & F.col("run_id").isin(run_ids)).drop(_MERGE))
+
+    def run_totals(self) -> DataFrame:
+        """Sums over all runs as they stand, for ``totals_of`` and ``map_totals_of`` of ``plans.running``.
+
+        They are those of the last merge, and of the runs that have ended or were repeated since; the runs
+        merged before are read only where one of them was repeated.
+        """
+        last, sums = self._merged()
+        live = self._read("runs", RUNS)
+        again = [r["run_id"] for r in live.select("run_id").distinct().collect()]
+        return merge_sums(sums, run_sums(live), taken_off=run_sums(self._merged_rows(last, again)))
 
     def compact_runs(self) -> int:
         """Bring the rows and the markers of ended runs together in one file each, and return how many runs there were.
@@ -169,11 +196,23 @@ class Store:
         A run writes a folder of its own, so that repeating it touches no other; listing very many of them
         is slow. Their folders are removed only after the file is written; a run that is repeated later has
         a folder again, which counts. Stopping in between leaves rows in both places, and the folder counts.
+
+        Each merge has a number, which its rows carry. The totals are brought up to it from those rows alone and
+        name it too, so a merge that stopped before its totals were written is made up for by the next one.
         """
         ended = [r["run_id"] for r in self._read("runs", RUNS).filter("status <> 'running'").select("run_id").collect()]
         if ended:
-            rows = self._read("runs", RUNS).filter("status <> 'running'")
-            rows.coalesce(1).write.mode("append").parquet(self.path("runs_compacted"))
+            last, sums = self._merged()
+            numbered = self._read("runs_compacted", f"run_id bigint, {_MERGE} bigint")
+            merge = max(numbered.agg(F.max(_MERGE)).first()[0] or 0, last) + 1
+            rows = self._read("runs", RUNS).filter(F.col("run_id").isin(ended))
+            rows.withColumn(_MERGE, F.lit(merge).cast("bigint")).coalesce(1).write.mode("append").parquet(self.path("runs_compacted"))
+            added = self._read("runs_compacted", f"{RUNS}, {_MERGE} bigint").filter(F.coalesce(F.col(_MERGE), F.lit(1)) > last)
+            added = _latest(added.drop(_MERGE))
+            again = [r["run_id"] for r in added.select("run_id").collect()]
+            sums = merge_sums(sums, run_sums(added), taken_off=run_sums(self._merged_rows(last, again)))
+            sums = sums.withColumn(_MERGE, F.lit(merge).cast("bigint"))
+            sums.coalesce(1).write.mode("append").parquet(self.path("totals"))
             marks = self._read("attempts", ATTEMPTS).filter(F.col("run_id").isin(ended))
             marks.coalesce(1).write.mode("append").parquet(self.path("attempts_compacted"))
             for run_id in ended:
@@ -202,6 +241,8 @@ class Store:
     ) -> None:
         """Write rows of a run: beside those of its other attempts, or without an attempt in place of all."""
         rows = frame.drop("run_id")
+        if table == "clean" and self.contract.unique_key:
+            rows = rows.sortWithinPartitions(self.contract.unique_key)  # see ``held_keys``
         if attempt is None:
             rows.write.mode("overwrite").parquet(self.path(table, run_id, part))
         else:

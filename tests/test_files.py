@@ -119,6 +119,98 @@ def test_existing_keys_are_looked_up_from_the_batch(spark, tmp_path, make_rows,
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
+def _rows_scanned(frame):
+    """Rows that the scans below a frame gave out, after running it."""
+    rows = frame.collect()
+    plan, seen = [frame._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        children = node.children()
+        plan += [children.apply(i) for i in range(children.size())]
+        if "FileScan" in node.toString().splitlines()[0] and children.size() == 0:
+            seen += node.metrics().apply("numOutputRows").value()
+    return sorted(map(tuple, rows)), seen
+
+
+def test_what_is_read_of_the_store_follows_the_batch(spark, tmp_path, make_rows, monkeypatch):
+    """Ten times the history, with ids that rise: no more rows are read for the same claims."""
+    from mendery.operators import checks
+
+    monkeypatch.setattr(checks, "below_broadcast_limit", lambda frame: False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        seen = {}
+        for runs in (4, 40):
+            store = Store(spark, str(tmp_path / f"store-{runs}"), ORDERS)
+            ids = [{"order_id": f"ORD-{run:04d}{i:04d}", "run_id": run} for run in range(runs) for i in range(20)]
+            rows = checks.typed_rows(checks.check_contract(make_rows(*ids), ORDERS), ORDERS)
+            rows.coalesce(1).write.partitionBy("run_id").parquet(store.path("clean"))
+            wanted = ["ORD-00010003", "ORD-00010019", "ORD-00030001", "ORD-90000000", None]
+            claims = session.settle_table(spark.createDataFrame([(c,) for c in wanted], "claim string"), "claims")
+            existing = store.existing_keys()
+            assert rows_of(existing.groupBy().count()) == [(runs * 20,)]
+            held, n = _rows_scanned(checks.held_keys(existing, claims))
+            assert held == [("ORD-00010003",), ("ORD-00010019",), ("ORD-00030001",)]
+            seen[runs] = n
+        assert seen[4] == seen[40] <= 2 * 20 + len(wanted)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_claim_ranges(spark):
+    from mendery.operators.checks import claim_ranges
+
+    frame = lambda values: spark.createDataFrame([(v,) for v in values], "claim string")
+    many = [f"ORD-{i:06d}" for i in range(5000, 7000)] + ["A", "ORD-000001", "é"]
+    ranges = claim_ranges(frame([*many, *many, None]), most=16)
+    assert len(ranges) <= 16 and all(any(low <= v <= high for low, high in ranges) for v in many)
+    assert {("A", "A"), ("ORD-000001", "ORD-000001"), ("é", "é")} <= set(ranges)
+    assert claim_ranges(frame(["a", "b", "c"]), most=1) == [("a", "c")]
+    assert claim_ranges(frame([])) == claim_ranges(frame([None])) == []
+    assert claim_ranges(frame(["x" * 40 + str(i) for i in range(10)]), most=8) == [("x" * 40 + "0", "x" * 40 + "9")]
+
+
+def test_totals_are_kept_up_to_date(spark, tmp_path):
+    """After new, repeated and failed runs, merges, and merges that stopped, they equal those over all runs."""
+    from datetime import datetime, timedelta
+
+    from mendery.plans import analytics
+    from mendery.plans.running import map_totals_of, totals_of
+    from mendery.sources.tables import RUNS
+
+    store = Store(spark, str(tmp_path / "store"), ORDERS)
+    clock = iter(datetime(2026, 1, 1) + timedelta(minutes=i) for i in range(100))
+
+    def same():
+        sums, runs = store.run_totals(), store.runs()
+        assert totals_of(sums).collect() == analytics.totals(runs).collect()
+        for column in ("error_types", "fixes_applied"):
+            assert sorted(rows_of(map_totals_of(sums, column))) == sorted(rows_of(analytics.map_totals(runs, column)))
+        return totals_of(sums).first()["total_rows_processed"]
+
+    def run(run_id, n, errors, status="completed", fixes=None):
+        row = (next(clock), next(clock), n, n - len(errors), 0, len(errors), errors, fixes, None, status, run_id)
+        store.write(spark.createDataFrame([row], RUNS).coalesce(1), "runs", run_id)
+
+    assert same() == 0
+    run(1, 10, {"invalid_amount": 2, "invalid_status": 1}, fixes={"coerce_amount": 2})
+    run(2, 5, {"invalid_status": 1}, fixes={})
+    run(4, 7, {}, status="running")
+    assert same() == 15 and store.compact_runs() == 2 and same() == 15
+    run(2, 8, {"invalid_foreign_key": 3})  # repeated after it was merged
+    run(1, 10, {"invalid_amount": 9}, status="failed")  # and one that fails now
+    assert same() == 8
+    # a merge that stops before its totals are written is made up for by the next one
+    path_of = store.path
+    store.path = lambda table, *rest: str(tmp_path / "lost") if table == "totals" else path_of(table, *rest)
+    store.compact_runs()
+    store.path = path_of
+    run(3, 1, {})
+    assert store.compact_runs() == 1 and same() == 9
+    run(4, 7, {"invalid_amount": 1})
+    assert same() == 16
+
+
 def test_run_rows_are_compacted(spark, tmp_path, make_rows, known):
     store = Store(spark, str(tmp_path / "store"), ORDERS)
     for run in (1, 2):
