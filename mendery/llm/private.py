@@ -7,15 +7,22 @@ those. Labels are other (0) and private (1). Potentials:
 * a token inside a base span is observed as private; others score by shape (trained, see ``fit``);
 * neighbouring nodes share a chain potential;
 * nodes with a common key share a skip potential, however far apart they are. Keys are the token without
-  case and outer punctuation, its digits (7 or more), and the name part of an address. Each occurrence is
+  case and outer punctuation, its digits (7 or more), and the name part of an address. The words of a base
+  span also share the key of all its digits (of a phone number also without its country, the last
+  ``NATIONAL``), as do words in a row that together write those digits elsewhere in whatever spacing. Each occurrence is
   linked to the next one with the key and to the first one inside a base span, so that many plain repeats do
   not outvote what is certain; a token that occurs n times costs at most 2 n links and not n * n.
 
 Loopy message passing (sum-product over log-odds) gives each node a belief; nodes that no base span covers
 and whose belief is above one half are reported as kind ``entity``.
 
-The weights are fitted on a bounded sample of documents (``TRAIN_DOCS``, the first by a hash of their ids),
-labelled by the base patterns: shape by logistic regression, chain and skip by how often linked tokens agree.
+The weights of shapes are fitted by logistic regression on a bounded sample of documents (``TRAIN_DOCS``, the first
+by a hash of their ids), labelled by the base patterns. How often linked tokens agree there gives chain and skip,
+but only within bounds that decide in practice: a chain of at most 1, as neighbours of a private token are mostly
+plain, and a skip from 8 to 12, as the base patterns never label the plain repeats that the links are for.
+
+Messages are passed until none changes by more than ``SETTLED`` (they are damped, and no potential pushes tokens
+apart), at most ``ROUNDS`` times.
 """
 
 from __future__ import annotations
@@ -46,7 +53,10 @@ _NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012
 # Bounds of the training sample.
 TRAIN_DOCS = 600
 TRAIN_TOKENS = 400
-ROUNDS = 8
+ROUNDS = 200
+SETTLED = 0.001
+NATIONAL = 10  # digits of a phone number without its country
+RUN_WORDS = 6  # words in a row that may write one number
 _OBSERVED = 30.0
 
 Span = tuple[int, int, str]
@@ -132,6 +142,38 @@ def _keys(core: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(keys))
 
 
+def _number_keys(text: str, span: Span) -> tuple[str, ...]:
+    """Keys of all digits of a base span that is a card or phone number."""
+    start, end, kind = span
+    if kind not in ("card", "phone"):
+        return ()
+    digits = "".join(c for c in text[start:end] if c in "0123456789")
+    if kind == "phone" and len(digits) > NATIONAL:
+        return "#" + digits, "#" + digits[-NATIONAL:]
+    return ("#" + digits,)
+
+
+def _written_numbers(words: list[tuple], wanted: set[str]) -> dict[int, tuple[str, ...]]:
+    """Keys among ``wanted`` that words in a row write together, by the number of the word."""
+    found: dict[int, tuple[str, ...]] = {}
+    if not wanted:
+        return found
+    longest = max(map(len, wanted))
+    digits = ["".join(c for c in w[3] if c in "0123456789") if not any(c.isalpha() for c in w[3]) else "" for w in words]
+    for i, first in enumerate(digits):
+        whole = "#"
+        for j in range(i, min(i + RUN_WORDS, len(words))) if first else ():
+            if not digits[j] or words[j][2] - words[i][2] != j - i:
+                break
+            whole += digits[j]
+            if len(whole) > longest:
+                break
+            if whole in wanted:
+                for k in range(i, j + 1):
+                    found[k] = (*found.get(k, ()), whole)
+    return found
+
+
 def _fails(core: str, digits: int) -> bool:
     """A number as long as a card's without its check digit, or an address with a part over 255."""
     parts = core.split(".")
@@ -152,27 +194,31 @@ def _shape(core: str) -> tuple[float, ...]:
 
 def tokens(text: str, base: list[Span]) -> list[Token]:
     """Identifier-like tokens, and the tokens that share a key with one."""
-    covered = iter(base)
-    spans = sorted((s, e) for s, e, _ in covered)
+    spans = sorted((s, e, kind) for s, e, kind in base)
+    numbers = {span: _number_keys(text, span) for span in spans}
     words, at = [], 0
     looks: set[str] = set()
     for place, m in enumerate(_TOKEN.finditer(text)):
         while at < len(spans) and spans[at][1] <= m.start():
             at += 1
-        observed = any(s < m.end() and e > m.start() for s, e in spans[at : at + 8])
+        over = [x for x in spans[at : at + 8] if x[0] < m.end() and x[1] > m.start()]
         word = m[0]
-        like = observed or ("@" in word) or sum(c in "0123456789" for c in word) >= 5
+        like = bool(over) or ("@" in word) or sum(c in "0123456789" for c in word) >= 5
         core = word.strip(_EDGE)
         if not core:
             continue
         start = m.start() + word.index(core)
         if like:
             looks.update(_keys(core))
-        words.append((start, start + len(core), place, core, observed, like))
+        extra = tuple(k for x in over for k in numbers[x])
+        words.append((start, start + len(core), place, core, bool(over), like, extra))
+    written = _written_numbers(words, {k for keys in numbers.values() for k in keys})
     out = []
-    for start, end, place, core, observed, like in words:
-        if like or core.lower() in looks:
-            out.append(Token(start, end, place, _keys(core), _shape(core), observed))
+    for i, (start, end, place, core, observed, like, extra) in enumerate(words):
+        extra += written.get(i, ())
+        if like or extra or core.lower() in looks:
+            keys = tuple(dict.fromkeys((*_keys(core), *extra)))
+            out.append(Token(start, end, place, keys, _shape(core), observed))
     return out
 
 
@@ -211,7 +257,11 @@ def beliefs(nodes: list[Token], weights: Weights) -> np.ndarray:
     for _ in range(ROUNDS):
         total = own + np.bincount(b, message, len(nodes))
         rest = np.clip(total[a] - message[back], -30, 30)
-        message = 0.5 * message + 0.5 * 2 * np.arctanh(np.clip(pull * np.tanh(rest / 2), -0.999999, 0.999999))
+        sent = 0.5 * message + 0.5 * 2 * np.arctanh(np.clip(pull * np.tanh(rest / 2), -0.999999, 0.999999))
+        change = np.abs(sent - message).max()
+        message = sent
+        if change <= SETTLED:
+            break
     return own + np.bincount(b, message, len(nodes))
 
 
@@ -259,7 +309,9 @@ def fit(documents: DataFrame) -> Weights:
     """Weights from the sample; at most TRAIN_DOCS documents and TRAIN_TOKENS tokens of each."""
     ids = documents.filter("doc_id IS NOT NULL").select("doc_id").distinct()
     chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS).withColumnRenamed("doc_id", "of")
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("text")
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of"))
+    # one text of an id, the smallest: neither a task nor the driver holds an id's repeats
+    texts = texts.groupBy("of").agg(F.min("text").alias("text")).select("text")
 
     def make():
         def rows(texts):
@@ -275,7 +327,7 @@ def fit(documents: DataFrame) -> Weights:
         return rows
 
     schema = "shape array<double>, label array<boolean>, chain_agree bigint, chain_all bigint, skip_agree bigint, skip_all bigint"
-    found = sorted(map_rows(texts, schema, make).collect())[: 4 * TRAIN_DOCS]
+    found = sorted(map_rows(texts, schema, make).collect())
     return train([(np.array(r[0]).reshape(-1, len(SHAPE)), np.array(r[1]), *r[2:]) for r in found])
 
 

@@ -213,6 +213,32 @@ def test_labels_reach_distant_repeats():
     assert [k for *_, k in base] == ["email"] and found == ["jo.field7", "JO.FIELD7"]
 
 
+@pytest.mark.parametrize(
+    "first, again",
+    [
+        ("4111 1111 1111 1111", "4111.1111.1111.1111"),
+        ("4111111111111111", "4111 .1111. 1111 (1111)"),
+        ("+1 555-867-5309", "(555) 867-5309"),
+        ("+1 555-867-5309", "5558675309"),
+    ],
+)
+def test_numbers_in_other_spacing_are_repeats(first, again):
+    text = f"we have {first} on file and {'many more words ' * 30}then {again} was read out, not 12 or 867 or 1111"
+    base, spans = private.find_private(text, private.FIXED)
+    found = [text[s:e] for s, e, k in spans if k == "entity"]
+    assert [text[s:e] for s, e, _ in base] == [first]
+    assert "".join(c for f in found for c in f if c.isdigit()) == "".join(c for c in again if c.isdigit())
+
+
+def test_messages_settle(monkeypatch):
+    """Many links around: one more round than needed changes no belief."""
+    text = " ".join(["mail ann.b77@mail.example.com", *(f"ann.b77 {i}234567 {i}234567" for i in range(9))] * 3)
+    nodes = private.tokens(text, private.base_spans(text))
+    settled = private.beliefs(nodes, private.FIXED)
+    monkeypatch.setattr(private, "SETTLED", 0.0)
+    assert np.abs(settled - private.beliefs(nodes, private.FIXED)).max() < 0.1
+
+
 def test_messages_agree_with_enumeration():
     """On a tree of links loopy message passing is exact; compare signs with all labelings."""
     text = "call +1 555 0100 200 now 15550100200 later 15550100200 end 7777777"
