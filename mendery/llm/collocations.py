@@ -360,7 +360,8 @@ def mine(documents: DataFrame, options: Mining = Mining()) -> tuple[DataFrame, D
     found = settle_table(_mined(counted(rows, _words_and_pairs, options.shards), options), "words-and-pairs")
     short = found.filter(F.col("lang").isNull() & (F.col("n") >= options.support))
     longer = counted(rows, _longer(bit_table(spark, _by_shard(short, options))), options.shards).filter("lang is null")
-    longer = settle_table(_mined(longer, options).filter(F.col("n") >= options.support), "longer-phrases")
+    # counted only in shards in which their pairs are frequent, so these sums say nothing about the support
+    longer = settle_table(_mined(longer, options), "longer-phrases")
 
     union = short.unionByName(longer).select(F.lit(0).alias("shard"), "h")
     exact = counted(rows, _candidates(bit_table(spark, union)))

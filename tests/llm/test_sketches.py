@@ -192,6 +192,21 @@ def test_collocations(make_documents, odd_rows, monkeypatch, slice_bytes):
         assert rows_of(got, *MINED) == plain_collocations(full, support, top=40)
 
 
+def one_of_each_shard(spark, options):
+    """A doc_id of every shard."""
+    ids = spark.range(200).selectExpr(f"id * {collocations.NEIGHBOURS} AS doc_id", "xxhash64(id) AS h").collect()
+    return list({r.h % options.shards: r.doc_id for r in ids}.values())
+
+
+def test_a_longer_phrase_counts_where_its_pairs_are_rare(spark, make_documents):
+    options = collocations.Mining()
+    ids = one_of_each_shard(spark, options)
+    assert len(ids) == options.shards
+    rows = [(i, "a b c. " * (2 if i == ids[0] else 4)) for i in ids]  # 30 in all, 2 in one shard
+    got = collocations.collocations(make_documents(rows), options)
+    assert rows_of(got, *MINED) == plain_collocations([(text, "en") for _, text in rows], 30) == [("en", 1, "a b c", 30, 30, 30, 90, 1000000)]
+
+
 def test_long_texts_are_cut_between_words():
     rng = random.Random(1)
     text = "".join(rng.choice("ab  \n") for _ in range(3000)).encode() + b"c" * 500 + b" d e"
