@@ -6,10 +6,10 @@ loses nothing. Inside a shard this goes by levels: words and pairs of words firs
 whose pairs are all frequent there. Shards are mined by many tasks each: a task counts what it reads and
 sends counts per (shard, hash of the phrase), so neither a shard nor the corpus has to fit anywhere.
 
-The union of the locally frequent phrases is then counted over all documents, by the words themselves. Hashes
-only choose what is counted: two phrases with one hash make a candidate more, never one less. The counts of
-all shards for one hash meet in one task, so a phrase that is frequent in a shard, but whose sum stays below
-the support, is no candidate; nor is a longer phrase with such a pair in it.
+The union of what is frequent in some shard, whatever it sums up to, is then counted over all documents, by the
+words themselves. Hashes only choose what is counted: two phrases with one hash make a candidate more, never one less.
+The support is asked for only of these counts. Sums of the first passes are not used for it: a longer phrase is
+counted there only in shards in which its pairs are frequent, so its sum can be too small.
 
 Which phrases are frequent is sent to the tasks as a bit table of fixed size (two bits a phrase, as in a Bloom
 filter): 8 MB whatever the corpus. A fuller table lets more phrases through to the exact count.
@@ -358,7 +358,7 @@ def mine(documents: DataFrame, options: Mining = Mining()) -> tuple[DataFrame, D
     shard = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / NEIGHBOURS)), F.lit(options.shards)).cast("int")
     rows = documents.select(text.alias("text"), lang.alias("lang"), shard.alias("shard"))
     found = settle_table(_mined(counted(rows, _words_and_pairs, options.shards), options), "words-and-pairs")
-    short = found.filter(F.col("lang").isNull() & (F.col("n") >= options.support))
+    short = found.filter("lang is null")
     longer = counted(rows, _longer(bit_table(spark, _by_shard(short, options))), options.shards).filter("lang is null")
     # counted only in shards in which their pairs are frequent, so these sums say nothing about the support
     longer = settle_table(_mined(longer, options), "longer-phrases")

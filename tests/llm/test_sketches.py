@@ -207,6 +207,19 @@ def test_a_longer_phrase_counts_where_its_pairs_are_rare(spark, make_documents):
     assert rows_of(got, *MINED) == plain_collocations([(text, "en") for _, text in rows], 30) == [("en", 1, "a b c", 30, 30, 30, 90, 1000000)]
 
 
+def test_what_a_shard_finds_frequent_is_counted_exactly(make_documents, monkeypatch):
+    given, make = [], collocations.bit_table
+
+    def table(spark, phrases):
+        given.append(phrases.distinct().count())
+        return make(spark, phrases)
+
+    monkeypatch.setattr(collocations, "bit_table", table)
+    phrases, totals = collocations.mine(make_documents([(1, "x y z. " * 4), (2, "p q. " * 3)]), collocations.Mining())
+    assert given == [5, 6]  # x, y, z, x y, y z; then x y z, too: four times in a shard, whatever their sums
+    assert phrases.count() == 0 and [r.total for r in totals.collect()] == [18]
+
+
 def test_long_texts_are_cut_between_words():
     rng = random.Random(1)
     text = "".join(rng.choice("ab  \n") for _ in range(3000)).encode() + b"c" * 500 + b" d e"
