@@ -17,14 +17,14 @@ filter): 8 MB whatever the corpus. A fuller table lets more phrases through to t
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +32,23 @@ from mendery.llm.common import as_list, bound_batches, mix, record_batch, table
 from mendery.session import settle_table
 
 LONGEST = 4
-BREAK = b"\n"  # stands between pieces; no word is one
+BREAK, END = b"\n", b"\r"  # stand between pieces and after a part of a text; no word is one
 HELD = 5_000_000  # hashes that a task gathers before it counts and sends them
-NAMED = 500_000  # phrases that a task counts before it sends them
+NAMED = 3_000_000  # counts of phrases that a task gathers before it sends them
 NAMED_BYTES = 32 << 20
-KNOWN = 200_000  # words that a task has numbers for
-RUN = 400_000  # words that are worked on at once
+SENT = 50_000  # rows and bytes that are sent at once
+SENT_BYTES = 8 << 20
+RUN = 4 << 20  # bytes of text that are worked on at once
 NEIGHBOURS = 4096  # ids that go to one shard together, so that a task counts for few shards
 SLICE = 2 << 20  # bytes of a text that are cut into words at a time
 TABLE_BITS = 26
 _WIDE = 32_768  # bits of one row of bitmap_construct_agg
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _STEP = 15_485_863  # shifts the bits of one shard against the next
+_BLOCK = 1 << 18
+_LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * _MIX)
+_BACK = np.uint64(pow(int(_MIX), -1, 1 << 64))
+_POWERS, _BACKS = (np.cumprod(np.r_[np.uint64(1), np.full(_BLOCK, x)]) for x in (_MIX, _BACK))
 
 # Fixed values of the contract: what ends a piece, and capitals that are lowered.
 _FOLD = bytes.maketrans(b".,;:!?\x0a\x0b\x0c\x0d\x09" + bytes(range(65, 91)), b"\n" * 10 + b" " + bytes(range(97, 123)))
@@ -75,97 +80,104 @@ def slices(text: bytes) -> Iterator[tuple[list[bytes], int]]:
             end = min(found, default=len(text))
         part = text[at:end].replace(BREAK, b" \n ").split(b" ")
         tokens = carried + [t for t in part if t]
+        last = tokens[-(LONGEST - 1) :]
+        if BREAK in last:
+            last = last[len(last) - last[::-1].index(BREAK) :]
         yield tokens, len(carried)
-        carried = tokens[-(LONGEST - 1) :]
-        if BREAK in carried:
-            carried = carried[len(carried) - carried[::-1].index(BREAK) :]
-        at = end
+        carried, at = last, end
 
 
-class Numbers(dict):
-    """Words by number, with their hashes; emptied between batches when it is full."""
-
-    def __init__(self):
-        super().__init__({BREAK: 0})
-        self.words, self.hashes, self.bytes = [BREAK], array("Q", [0]), 0
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self.words)
-        self.words.append(word)
-        self.hashes.append(xxhash.xxh3_64_intdigest(word))
-        self.bytes += len(word)
-        return number
+def word_hashes(text: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the words that begin at ``starts`` and go on to the next: sums over their bytes, each times a power
+    for its place, divided by the power of the place where the word begins."""
+    bounds = np.append(starts, len(text))
+    sums, back = np.empty((2, len(bounds)), np.uint64)
+    total, up, down = np.zeros(1, np.uint64), np.ones(1, np.uint64), np.ones(1, np.uint64)
+    for at in range(0, len(text) + 1, _BLOCK):
+        block = text[at : at + _BLOCK]
+        a, b = np.searchsorted(bounds, [at, at + _BLOCK])
+        before = np.cumsum(np.concatenate([total, _LETTERS[block] * _POWERS[: len(block)] * up]))
+        sums[a:b], back[a:b] = before[bounds[a:b] - at], _BACKS[bounds[a:b] - at] * down
+        total, up, down = before[-1:], up * _POWERS[-1], down * _BACKS[-1]
+    return mix((sums[1:] - sums[:-1]) * back[:-1])
 
 
 class Stream:
-    """The words of a batch in a row, with the shard and language of each, and hashes of their phrases."""
-
-    def __init__(self, numbers: Numbers, parts: list[tuple[list[bytes], int, int, int]], seeds: list[int]):
-        sizes = [len(tokens) + 1 for tokens, *_ in parts]
-        self.numbers = numbers
-        ids = [list(map(numbers.__getitem__, (*tokens, BREAK))) for tokens, *_ in parts]
-        self.ids = np.concatenate([np.array(i, np.int64) for i in ids])
-        column = lambda k, kind: np.repeat(np.array([p[k] for p in parts], kind), sizes)
-        self.shard, self.lang = column(2, np.int32), column(3, np.int32)
-        ends = np.cumsum([0, *sizes])
-        self.old = np.zeros(len(self.ids), bool)  # words carried over from the part before
-        for (_, carried, _, _), start in zip(parts, ends[:-1], strict=True):
-            self.old[start : start + carried] = True
-        self.word = np.array(numbers.hashes)[self.ids]
-        self._hashes, self._ok = {0: np.array(seeds, np.uint64)[self.lang]}, {0: np.ones(len(self.ids), bool)}
+    """The words of some texts in a row, with the shard and language of each, and hashes of their phrases."""
+
+    def __init__(self, parts: list[tuple[bytes, int, int, bytes]]):
+        """``parts`` are words and breaks with spaces between, how many words are carried, shard, language."""
+        text = np.frombuffer(b"".join([part for words, *_ in parts for part in (words, b" \r ")]), np.uint8)
+        space = text == 32
+        self.text = text[~(space & np.r_[True, space[:-1]])]  # one space after each word
+        self.starts = np.r_[0, np.flatnonzero(self.text == 32) + 1][:-1]
+        kind = self.text[self.starts]
+        ends = np.flatnonzero(kind == END[0]) + 1
+        sizes = np.diff(ends, prepend=0)
+        numbers: dict[bytes, int] = {}
+        langs = [numbers.setdefault(lang, len(numbers)) for *_, lang in parts]
+        self.langs = list(numbers)
+        self.shard, self.lang = np.repeat(np.array([[p[2] for p in parts], langs], np.int32), sizes, axis=1)
+        self.old = np.zeros(len(kind), bool)  # words carried over from the part before
+        for (_, carried, _, _), end, size in zip(parts, ends.tolist(), sizes.tolist(), strict=True):
+            if carried:
+                self.old[end - size : end - size + carried] = True
+        self.word, self.is_word = word_hashes(self.text, self.starts), (kind != BREAK[0]) & (kind != END[0])
+        # languages with one seed would share candidates, not counts
+        seeds = mix(np.array([zlib.crc32(lang) for lang in self.langs], np.uint64) + _MIX)
+        self._hashes, self._ok = {0: seeds[self.lang]}, {0: np.ones(len(kind), bool)}
+
+    def coded(self) -> pa.DictionaryArray:
+        """The words, each with a space, by number."""
+        offsets = np.append(self.starts, len(self.text)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(self.text)]).dictionary_encode()
 
     def h(self, k: int) -> np.ndarray:
         """Hash of the phrase of k words at each place."""
         if k not in self._hashes:
-            n = max(len(self.ids) - k + 1, 0)
+            n = max(len(self.word) - k + 1, 0)
             self._hashes[k] = mix(self.h(k - 1)[:n] * _MIX + self.word[k - 1 :]) if n else self.word[:0]
         return self._hashes[k]
 
     def ok(self, k: int) -> np.ndarray:
         """Where no break is among the k words."""
         if k not in self._ok:
-            n = max(len(self.ids) - k + 1, 0)
-            self._ok[k] = self.ok(k - 1)[:n] & (self.ids[k - 1 :] != 0)
+            n = max(len(self.word) - k + 1, 0)
+            self._ok[k] = self.ok(k - 1)[:n] & self.is_word[k - 1 :]
         return self._ok[k]
 
     def fresh(self, k: int) -> np.ndarray:
         """Where phrases of k words begin that no earlier part has had."""
         return self.ok(k) & ~self.old[k - 1 :]
 
-    def phrase(self, i: int, k: int) -> bytes:
-        return b" ".join([self.numbers.words[j] for j in self.ids[i : i + k].tolist()])
 
-    def runs(self, where: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of the equal phrases among the places. Hashes bring them together, the words
-        tell them apart."""
-        order = where[np.argsort(self.h(k)[where])]
-        rows = np.stack([self.lang[order], *[self.ids[order + j] for j in range(k)]])
-        first = np.flatnonzero(np.r_[True, (rows[:, 1:] != rows[:, :-1]).any(axis=0)]) if len(order) else order
-        return order[first], np.diff(np.r_[first, len(order)])
+def runs(h: np.ndarray, lang: np.ndarray, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Counts of phrases with equal ones brought together. Hashes bring them together, languages and words tell them
+    apart."""
+    if not len(h):
+        return h, lang, ids, n
+    order = np.argsort(h)
+    h, lang, ids = h[order], lang[order], ids[order]
+    differs = (lang[1:] != lang[:-1]) | (ids[1:] != ids[:-1]).any(axis=1)
+    first = np.flatnonzero(np.r_[True, differs])
+    return h[first], lang[first], ids[first], np.add.reduceat(n[order], first)
 
 
-def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Stream, list[str]]]:
-    """Batches of (text, lang, shard) as streams of words, and the languages they name."""
-    numbers = Numbers()
+def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[Stream]:
+    """Batches of (text, lang, shard) as streams of words."""
+    parts, size = [], 0
     for batch in batches:
-        texts, langs, shards = (as_list(batch.column(i)) for i in range(3))
-        names = sorted({lang.decode() for lang in langs})
-        number = {name.encode(): i for i, name in enumerate(names)}
-        seeds = [xxhash.xxh3_64_intdigest(b"lang " + name.encode()) for name in names]
-        parts, size = [], 0
-        for text, lang, shard in zip(texts, langs, shards, strict=True):
-            for tokens, carried in slices(text.translate(_FOLD)):
-                parts.append((tokens, carried, shard, number[lang]))
-                size += len(tokens)
+        for text, lang, shard in zip(*(as_list(batch.column(i)) for i in range(3)), strict=True):
+            text = text.translate(_FOLD)
+            cut = [(text.replace(BREAK, b" \n "), 0)] if len(text) <= SLICE else ((b" ".join(t), c) for t, c in slices(text))
+            for words, carried in cut:
+                parts.append((words, carried, shard, lang))
+                size += len(words) + 3
                 if size >= RUN:
-                    yield Stream(numbers, parts, seeds), names
+                    yield Stream(parts)
                     parts, size = [], 0
-                    if len(numbers) > KNOWN or numbers.bytes > NAMED_BYTES:
-                        numbers = Numbers()
-        if parts:
-            yield Stream(numbers, parts, seeds), names
-        if len(numbers) > KNOWN or numbers.bytes > NAMED_BYTES:
-            numbers = Numbers()
+    if parts:
+        yield Stream(parts)
 
 
 # ---------------------------------------------------------------------------------- counting in tasks
@@ -190,87 +202,110 @@ class Hashes:
 
 
 class Named:
-    """Counts of words by language, sent when enough are held."""
+    """Counts of phrases by language and the numbers of their words, sent when enough are held."""
 
     def __init__(self):
-        self.of: dict[str, dict[bytes, int]] = defaultdict(dict)
-        self.rows = self.size = 0
-
-    def add(self, lang: str, words: bytes, n: int) -> None:
-        counts = self.of[lang]
-        if words in counts:
-            counts[words] += n
-        else:
-            counts[words] = n
-            self.rows += 1
-            self.size += len(words)
+        self.words: list[pa.Array] = []
+        self.langs: list[list[bytes]] = []
+        self.held: dict[int, list[tuple[np.ndarray, ...]]] = {k: [] for k in range(1, LONGEST + 1)}
+        self.rows = self.bytes = 0
+
+    def add(self, stream: Stream, places: dict[int, np.ndarray]) -> None:
+        coded = stream.coded()
+        codes = coded.indices.to_numpy()
+        for k, where in places.items():
+            ids = np.stack([codes[where + j] for j in range(k)], axis=1)
+            found = runs(stream.h(k)[where], stream.lang[where], ids, np.ones(len(where), np.int64))
+            self.held[k].append(found)
+            self.rows += len(found[0])
+        self.words.append(coded.dictionary)
+        self.langs.append(stream.langs)
+        self.bytes += coded.dictionary.nbytes + sum(map(len, stream.langs))
 
     def full(self) -> bool:
-        return self.rows >= NAMED or self.size >= NAMED_BYTES
+        return self.rows >= NAMED or self.bytes >= NAMED_BYTES
 
     def take(self) -> Iterator[pa.RecordBatch]:
-        for lang, counts in self.of.items():
-            n = len(counts)
-            words = pa.array(counts.keys(), pa.binary(), size=n).cast(pa.string())
-            none = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), words, *none, pa.array(counts.values(), pa.int64(), size=n)], schema=_COUNTS_ARROW)
+        if self.rows:
+            words, word_numbers = _as_one([pc.binary_slice(w, 0, -1) for w in self.words])
+            langs, lang_numbers = _as_one([pa.array(names, pa.binary()) for names in self.langs])
+            length = pc.binary_length(words).to_numpy().astype(np.int64) + 1
+        for k, held in self.held.items():
+            if not sum(len(h) for h, *_ in held):
+                continue
+            same = [(h, new[lang], now[ids], n) for (h, lang, ids, n), new, now in zip(held, lang_numbers, word_numbers, strict=True)]
+            _, lang, ids, n = runs(*map(np.concatenate, zip(*same, strict=True)))
+            ends = np.cumsum(length[ids].sum(axis=1))
+            at = 0
+            while at < len(ids):
+                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SENT_BYTES, "right"))
+                to = max(at + 1, min(to, at + SENT))
+                phrase = pc.binary_join_element_wise(*[words.take(pa.array(ids[at:to, j])) for j in range(k)], " ")
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(lang[at:to])), phrase, pa.array(n[at:to])], schema=_NAMED_ARROW)
+                at = to
         self.__init__()
 
 
-_COUNTS = "lang string, words string, shard int, h bigint, n bigint"
-_COUNTS_ARROW = pa.schema([("lang", pa.string()), ("words", pa.string()), ("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
+def _as_one(parts: list[pa.Array]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The different values of several arrays, and the numbers in them of each array's values."""
+    coded = pa.concat_arrays(parts).dictionary_encode()
+    numbers = np.split(coded.indices.to_numpy(), np.cumsum([len(p) for p in parts])[:-1])
+    return coded.dictionary.cast(pa.string()), numbers
 
 
-def _hash_batches(hashes: Hashes) -> Iterator[pa.RecordBatch]:
-    for shard, h, n in hashes.take():
-        for at in range(0, len(h), 100_000):
-            part = h[at : at + 100_000]
-            arrays = [pa.nulls(len(part), pa.string())] * 2
-            arrays += [pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64)), pa.array(n[at : at + 100_000].astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(arrays, schema=_COUNTS_ARROW)
+_NAMED = "lang string, words string, n bigint"
+_NAMED_ARROW = pa.schema([("lang", pa.string()), ("words", pa.string()), ("n", pa.int64())])
+_HASHED = "shard int, h bigint, n bigint"
+_HASHED_ARROW = pa.schema([("shard", pa.int32()), ("h", pa.int64()), ("n", pa.int64())])
 
 
-def counted(documents: DataFrame, pick, shards: int | None = None) -> DataFrame:
-    """Counts from one pass. ``pick(stream, k)`` chooses the places of phrases of k words (None: nowhere).
-
-    With ``shards`` they are counted by shard and hash, and one row per language and task, without words, has the
-    number of all its words; otherwise they are counted by language and words.
-    """
+def counted_by_hash(documents: DataFrame, pick, shards: int) -> DataFrame:
+    """(shard, h, n): counts from one pass, not yet summed up over tasks. ``pick(stream, k)`` chooses the places of
+    phrases of k words (None: nowhere)."""
     bound_batches(documents)
 
-    def by_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named = Named()
-        for stream, langs in streams(batches):
-            for k in range(1, LONGEST + 1):
-                where = np.flatnonzero(pick(stream, k))
-                first, n = stream.runs(where, k)
-                for i, lang, m in zip(first.tolist(), stream.lang[first].tolist(), n.tolist(), strict=True):
-                    named.add(langs[lang], stream.phrase(i, k), m)
-                if named.full():
-                    yield from named.take()
-        yield from named.take()
+    def send(hashes: Hashes) -> Iterator[pa.RecordBatch]:
+        for shard, h, n in hashes.take():
+            for at in range(0, len(h), 2 * SENT):
+                part = h[at : at + 2 * SENT].view(np.int64)
+                arrays = [pa.array(np.full(len(part), shard, np.int32)), pa.array(part), pa.array(n[at : at + 2 * SENT].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, schema=_HASHED_ARROW)
 
-    def by_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, totals = Hashes(shards), Counter()
-        for stream, langs in streams(batches):
-            for lang, n in enumerate(np.bincount(stream.lang[stream.fresh(1)], minlength=len(langs)).tolist()):
-                totals[langs[lang]] += n
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes(shards)
+        for stream in streams(batches):
             for k in range(1, LONGEST + 1):
                 mask = pick(stream, k)
                 if mask is not None:
                     where = np.flatnonzero(mask)
                     hashes.add(stream.shard[where], stream.h(k)[where])
             if hashes.size >= HELD:
-                yield from _hash_batches(hashes)
-        yield from _hash_batches(hashes)
-        rows = [(lang, None, -1, 0, n) for lang, n in totals.items() if n]
-        if rows:
-            yield record_batch(rows, _COUNTS_ARROW)
+                yield from send(hashes)
+        yield from send(hashes)
 
     # Tasks have counted what they hold, so rows are exchanged as they are and then summed up.
-    if shards is None:
-        return documents.mapInArrow(by_words, _COUNTS).repartition("lang", "words")
-    return documents.mapInArrow(by_hash, _COUNTS).repartition("h")
+    return documents.mapInArrow(run, _HASHED).repartition("h")
+
+
+def counted_by_words(documents: DataFrame, pick) -> DataFrame:
+    """(lang, words, n): counts from one pass, not yet summed up over tasks; without words, the number of all words."""
+    bound_batches(documents)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named, totals = Named(), Counter()
+        for stream in streams(batches):
+            every = np.bincount(stream.lang[stream.fresh(1)], minlength=len(stream.langs)).tolist()
+            for lang, n in zip(stream.langs, every, strict=True):
+                totals[lang] += n
+            named.add(stream, {k: np.flatnonzero(pick(stream, k)) for k in range(1, LONGEST + 1)})
+            if named.full():
+                yield from named.take()
+        yield from named.take()
+        rows = [(lang.decode(), None, n) for lang, n in totals.items() if n]
+        if rows:
+            yield record_batch(rows, _NAMED_ARROW)
+
+    return documents.mapInArrow(run, _NAMED).repartition("lang", "words")
 
 
 # ---------------------------------------------------------------------------------- bit tables
@@ -332,23 +367,21 @@ def _longer(bits):
 
 def _candidates(bits):
     def pick(stream: Stream, k: int) -> np.ndarray:
-        return stream.fresh(k) & in_table(bits.value, stream.h(k), 0)
+        n = len(stream.h(k))
+        mask = stream.ok(k).copy()
+        if k > 1:  # what is frequent in a shard has only frequent parts there
+            mask &= stream.chosen[:n] & stream.chosen[1 : n + 1]
+        where = np.flatnonzero(mask)
+        mask[where] = in_table(bits.value, stream.h(k)[where], 0)
+        stream.chosen = mask
+        return mask & stream.fresh(k)
 
     return pick
 
 
-def _mined(counts: DataFrame, options: Mining) -> DataFrame:
-    """(h, lang, n, shards): the phrases that are frequent in a shard, in bits of ``shards``, with their number in all
-    shards; and the totals of the languages. The counts of all shards lie in one partition, so this is one exchange."""
-    local = F.expr(f"if(n >= {options.local_support}, shiftleft(1L, shard), 0L)")
-    by_shard = counts.groupBy("h", "lang", "shard").agg(F.sum("n").alias("n")).withColumn("local", local)
-    return by_shard.groupBy("h", "lang").agg(F.sum("n").alias("n"), F.bit_or("local").alias("shards")).filter("lang is not null or shards <> 0")
-
-
-def _by_shard(mined: DataFrame, options: Mining) -> DataFrame:
-    """(shard, h) of the shards in which phrases are frequent."""
-    number = F.explode(F.sequence(F.lit(0), F.lit(options.shards - 1)))
-    return mined.select("h", "shards", number.alias("shard")).filter("(shiftright(shards, shard) & 1) = 1").select("shard", "h")
+def _frequent(counts: DataFrame, options: Mining) -> DataFrame:
+    """(shard, h) of what is frequent in a shard."""
+    return counts.groupBy("h", "shard").agg(F.sum("n").alias("n")).filter(F.col("n") >= options.local_support).select("shard", "h")
 
 
 def mine(documents: DataFrame, options: Mining = Mining()) -> tuple[DataFrame, DataFrame]:
@@ -357,17 +390,14 @@ def mine(documents: DataFrame, options: Mining = Mining()) -> tuple[DataFrame, D
     text, lang = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("lang"), F.lit("und"))
     shard = F.pmod(F.xxhash64(F.floor(F.col("doc_id") / NEIGHBOURS)), F.lit(options.shards)).cast("int")
     rows = documents.select(text.alias("text"), lang.alias("lang"), shard.alias("shard"))
-    found = settle_table(_mined(counted(rows, _words_and_pairs, options.shards), options), "words-and-pairs")
-    short = found.filter("lang is null")
-    longer = counted(rows, _longer(bit_table(spark, _by_shard(short, options))), options.shards).filter("lang is null")
-    # counted only in shards in which their pairs are frequent, so these sums say nothing about the support
-    longer = settle_table(_mined(longer, options), "longer-phrases")
+    short = settle_table(_frequent(counted_by_hash(rows, _words_and_pairs, options.shards), options), "words-and-pairs")
+    longer = counted_by_hash(rows, _longer(bit_table(spark, short)), options.shards)
+    longer = settle_table(_frequent(longer, options), "longer-phrases")
 
     union = short.unionByName(longer).select(F.lit(0).alias("shard"), "h")
-    exact = counted(rows, _candidates(bit_table(spark, union)))
-    total = F.sum("n").alias("n")
-    phrases = exact.groupBy("lang", "words").agg(total).filter(F.col("n") >= options.support)
-    return settle_table(phrases, "phrases"), found.filter("lang is not null").select("lang", F.col("n").alias("total"))
+    exact = counted_by_words(rows, _candidates(bit_table(spark, union))).groupBy("lang", "words").agg(F.sum("n").alias("n"))
+    exact = settle_table(exact.filter((F.col("n") >= options.support) | F.col("words").isNull()), "phrases")
+    return exact.filter("words is not null"), exact.filter("words is null").select("lang", F.col("n").alias("total"))
 
 
 def collocations(documents: DataFrame, options: Mining = Mining()) -> DataFrame:

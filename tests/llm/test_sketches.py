@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,6 +208,57 @@ def test_a_longer_phrase_counts_where_its_pairs_are_rare(spark, make_documents):
     assert rows_of(got, *MINED) == plain_collocations([(text, "en") for _, text in rows], 30) == [("en", 1, "a b c", 30, 30, 30, 90, 1000000)]
 
 
+def test_collocations_over_many_shards(make_documents, monkeypatch):
+    monkeypatch.setattr(collocations, "NEIGHBOURS", 1)
+    rows = [(i, babble(i, 90, words=9), "s", ["en", None, "und", "fr"][i % 4]) for i in range(40)]
+    full = [(r[1], r[3]) for r in rows]
+    for support, shards in ((30, 8), (9, 3)):
+        options = collocations.Mining(support=support, shards=shards)
+        got = collocations.collocations(make_documents(rows).repartition(3), options)
+        assert rows_of(got, *MINED) == plain_collocations(full, support)
+
+
+@pytest.mark.parametrize("block", [8, 64, 1 << 18])
+def test_hashes_of_words_do_not_depend_on_their_place(monkeypatch, block):
+    monkeypatch.setattr(collocations, "_BLOCK", block)
+    monkeypatch.setattr(collocations, "_POWERS", collocations._POWERS[: block + 1])
+    monkeypatch.setattr(collocations, "_BACKS", collocations._BACKS[: block + 1])
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé\x00") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    parts = [(" ".join(rng.choice(words) for _ in range(200)).encode(), 0, i % 3, b"en") for i in range(9)]
+    stream = collocations.Stream([*parts, (b"", 0, 0, b"fr"), (b" \n  " + parts[0][0] + b" ", 0, 1, b"en")])
+    texts = stream.coded().to_pylist()
+    assert b"".join(texts).decode().split() == b" ".join(p + b" \r" for p, *_ in [*parts, (b"\n " + parts[0][0],)]).decode().replace("\r", "").split()
+    found = dict(zip(texts, stream.word.tolist(), strict=True))
+    assert [found[t] for t in texts] == stream.word.tolist() and len(set(found.values())) == len(found)
+
+
+def test_long_words_and_many_languages_are_counted_in_parts(monkeypatch):
+    for name, value in (("SLICE", 40), ("RUN", 300), ("SENT", 2), ("SENT_BYTES", 60), ("NAMED", 50)):
+        monkeypatch.setattr(collocations, name, value)
+    rows = [(f"{'x' * 50} y{'z' * (i % 3)} x\ty. Q q Q! " + babble(i, 30, words=6), f"l{i % 5}") for i in range(40)]
+    columns = [pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([0] * len(rows), pa.int32())]
+    named, got, sent, largest = collocations.Named(), Counter(), 0, 0
+    for stream in collocations.streams(iter(pa.Table.from_arrays(columns, names=["text", "lang", "shard"]).to_batches(max_chunksize=7))):
+        named.add(stream, {k: np.flatnonzero(stream.fresh(k)) for k in range(1, 5)})
+        if named.full():
+            sent += 1
+            for batch in named.take():
+                largest = max(largest, batch.num_rows)
+                for r in batch.to_pylist():
+                    got[r["lang"], r["words"]] += r["n"]
+    for batch in named.take():
+        for r in batch.to_pylist():
+            got[r["lang"], r["words"]] += r["n"]
+    want = Counter()
+    for text, lang in rows:
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", low):
+            words = re.findall("[^ \t]+", piece)
+            want.update((lang, " ".join(words[i : i + k])) for k in range(1, 5) for i in range(len(words) - k + 1))
+    assert got == want and sent > 5 and largest == 2
+
+
 def test_what_a_shard_finds_frequent_is_counted_exactly(make_documents, monkeypatch):
     given, make = [], collocations.bit_table
 
